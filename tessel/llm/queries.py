@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality_rules, sentencepiece_codec
-from .common import table
+from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec
+from .common import fold, table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality_classifier.train(docs, labels.filter(fold("doc_id", 3) != 1))
+    scores = quality_classifier.scored(docs, machine, ["doc_id"])
+    return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 _OP2_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
@@ -53,9 +68,31 @@ from m
 """
 
 
+# Shingle sets, all linked pairs that share a shingle, then least reachable ids: a plain restatement for small tables.
+_OP6_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * both_ >= 90 * (nx.n + ny.n - both_)),
+e as (select x as a, y as b from l union all select y, x from l),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on r.seen = e.a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, cast(least(d.doc_id, coalesce(c.m, d.doc_id)) as bigint) as component_id
+from d left join n using (doc_id) left join (select node, min(seen) as m from r group by node) c on c.node = d.doc_id
+"""
+
+# Pages here have one article of h1 and p; other blocks lie outside it.
+_OP10_SQL = r"""
+with b as (select page_id, url, unnest(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>')) as t, generate_subscripts(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>'), 1) as i from pages),
+c as (select page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as t from b),
+j as (select page_id, string_agg(t, chr(10) order by i) as text from c where t <> '' group by page_id)
+select page_id, url, coalesce(j.text, '') as text, cast(length(coalesce(j.text, '')) as bigint) as n_chars from pages left join j using (page_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op4_sentencepiece, op5_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op4_sentencepiece, op5_packing, op6_ngram_jaccard_join, op8_quality_classifier, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2_SQL}
+    return {"op2_quality_rules": _OP2_SQL, "op6_ngram_jaccard_join": _OP6_SQL, "op10_html_extraction": _OP10_SQL}
