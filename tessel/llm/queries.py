@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec
+from . import fingerprints, html_extract, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 from .common import fold, table
 
 
@@ -18,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("rule")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
@@ -32,6 +38,19 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load, a recount of German under a new version, the withdrawal of a source's English documents, and the load once more."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, name=f"token-counts-{uuid.uuid4().hex}")
+    rollup.commit("load-1", token_counts.inserted(docs, "words-1"))
+    german = docs.filter("lang = 'de'")
+    rollup.commit("recount-2", token_counts.revised(german, german, "words-1", "words-2"))
+    hot = docs.filter("source = 'src0' and lang = 'en'")
+    rollup.commit("withdraw-3", token_counts.deleted(hot, "words-1"))
+    rollup.commit("load-1", token_counts.inserted(docs, "words-1"))  # a batch that comes again changes nothing
+    return rollup.totals()
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality_classifier.train(docs, labels.filter(fold("doc_id", 3) != 1))
@@ -81,6 +100,15 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, cast(least(d.do
 from d left join n using (doc_id) left join (select node, min(seen) as m from r group by node) c on c.node = d.doc_id
 """
 
+_OP7_SQL = r"""
+with d as (select source, lang, coalesce(text, '') as text from documents),
+r as (select source, lang, 'words-1' as tokenizer_version, 1 as s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as t, length(text) as c from d
+  union all select source, lang, 'words-1', -1, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), length(text) from d where lang = 'de' or source = 'src0' and lang = 'en'
+  union all select source, lang, 'words-2', 1, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), length(text) from d where lang = 'de')
+select source, lang, tokenizer_version, cast(sum(s) as bigint) as n_docs, cast(sum(s * t) as bigint) as n_tokens, cast(sum(s * c) as bigint) as n_chars
+from r group by all having sum(s) <> 0 or sum(s * t) <> 0 or sum(s * c) <> 0
+"""
+
 # Pages here have one article of h1 and p; other blocks lie outside it.
 _OP10_SQL = r"""
 with b as (select page_id, url, unnest(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>')) as t, generate_subscripts(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>'), 1) as i from pages),
@@ -91,8 +119,8 @@ select page_id, url, coalesce(j.text, '') as text, cast(length(coalesce(j.text,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op4_sentencepiece, op5_packing, op6_ngram_jaccard_join, op8_quality_classifier, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_lm_scoring, op4_sentencepiece, op5_packing, op6_ngram_jaccard_join, op7_token_counts, op8_quality_classifier, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2_SQL, "op6_ngram_jaccard_join": _OP6_SQL, "op10_html_extraction": _OP10_SQL}
+    return {"op2_quality_rules": _OP2_SQL, "op6_ngram_jaccard_join": _OP6_SQL, "op7_token_counts": _OP7_SQL, "op10_html_extraction": _OP10_SQL}
