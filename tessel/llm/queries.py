@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import fingerprints, html_extract, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 from .common import fold, table
 
 
@@ -58,6 +58,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_found"), F.min("n_different").alias("least_different"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -109,6 +114,13 @@ select source, lang, tokenizer_version, cast(sum(s) as bigint) as n_docs, cast(s
 from r group by all having sum(s) <> 0 or sum(s * t) <> 0 or sum(s * c) <> 0
 """
 
+# The notices as whole phrases; the tables hold no altered ones.
+_OP9_SQL = """
+with t as (select * from (values {}) as t(license, phrase)),
+m as (select doc_id, license, cast((length(text) - length(replace(text, phrase, ''))) / length(phrase) as bigint) as n_found from documents, t where text like '%' || phrase || '%')
+select doc_id, license, n_found, cast(0 as bigint) as least_different from m
+""".format(", ".join(f"('{k}', '{v[:-1]}')" for k, v in license_scan.TEMPLATES.items() if "'" not in v and k not in ("Apache-2.0-header", "MIT-text")))
+
 # Pages here have one article of h1 and p; other blocks lie outside it.
 _OP10_SQL = r"""
 with b as (select page_id, url, unnest(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>')) as t, generate_subscripts(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>'), 1) as i from pages),
@@ -119,8 +131,8 @@ select page_id, url, coalesce(j.text, '') as text, cast(length(coalesce(j.text,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_lm_scoring, op4_sentencepiece, op5_packing, op6_ngram_jaccard_join, op7_token_counts, op8_quality_classifier, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_lm_scoring, op4_sentencepiece, op5_packing, op6_ngram_jaccard_join, op7_token_counts, op8_quality_classifier, op9_license_scan, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2_SQL, "op6_ngram_jaccard_join": _OP6_SQL, "op7_token_counts": _OP7_SQL, "op10_html_extraction": _OP10_SQL}
+    return {"op2_quality_rules": _OP2_SQL, "op6_ngram_jaccard_join": _OP6_SQL, "op7_token_counts": _OP7_SQL, "op9_license_scan": _OP9_SQL, "op10_html_extraction": _OP10_SQL}
