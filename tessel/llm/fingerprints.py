@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import id_text, shards
+from .common import id_text, shards, written
 
 _space = re.compile(r"\s+")
 
@@ -42,8 +42,12 @@ def canonical(text: str | None) -> str:
     return _space.sub(" ", text).strip()
 
 
+def _bytes(text: str | None) -> bytes:
+    return canonical(text).encode("utf-8", "surrogatepass")
+
+
 def digest(text: str | None) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_128_hexdigest(_bytes(text))
 
 
 def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -59,18 +63,34 @@ def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return separated(texts.mapInArrow(run, "doc_id bigint, fingerprint string" + ", text string" * keep_text), texts, ["fingerprint"])
 
 
+#: Buckets with several rows that are broadcast, at some 50 bytes each; where there are more, the rows of all buckets are compared.
+MOST_SHARED = 200_000
+
+
 def mixed_buckets(texts: DataFrame) -> DataFrame:
-    """Digests that stand for more than one canonical string, by comparing bytes inside each bucket."""
+    """Digests that stand for more than one canonical string, by comparing bytes inside each bucket.
 
-    def run(batches):
+    A bucket with one row needs no comparison: where the others are few enough
+    to be broadcast, only their rows are sent on.
+    """
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(_bytes(t)) for t in batch.column(0).to_pylist()], pa.binary())], ["digest"])
+
+    def form(batches):
         # the compressor is deterministic and invertible, so equal strings and only they give equal bytes
         pack = zstandard.ZstdCompressor(level=1, write_content_size=False)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                forms = [canonical(t).encode("utf-8", "surrogatepass") for t in batch.column(0).slice(start, 512).to_pylist()]
+                forms = [_bytes(t) for t in batch.column(0).slice(start, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in forms], pa.binary()), pa.array([pack.compress(x) for x in forms], pa.binary())], ["digest", "form"])
 
-    forms = texts.select("text").mapInArrow(run, "digest binary, form binary")
+    texts = texts.select("text")
+    shared = written(texts.mapInArrow(name, "digest binary").groupBy("digest").count().filter("count > 1").select("digest"), "buckets")
+    forms = texts.mapInArrow(form, "digest binary, form binary")
+    if shared.count() <= MOST_SHARED:
+        forms = forms.join(F.broadcast(shared), "digest", "left_semi")
     both = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("most"))
     return both.filter("least != most").select(F.lower(F.hex("digest")).alias("fingerprint"))
 
@@ -83,7 +103,7 @@ def separated(df: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
         return df
     if "text" not in df.columns:
         raise ValueError(f"digest {found[0]} stands for several strings; ask for the texts to tell them apart")
-    exact = F.udf(lambda t: hashlib.sha256(canonical(t).encode("utf-8", "surrogatepass")).hexdigest())
+    exact = F.udf(lambda t: hashlib.sha256(_bytes(t)).hexdigest())
     own = df.join(mixed.withColumn("_mixed", F.lit(True)), "fingerprint", "left")
     return own.withColumn("fingerprint", F.when(F.col("_mixed"), F.concat_ws("-", "fingerprint", exact("text"))).otherwise(F.col("fingerprint"))).select(df.columns)
 
