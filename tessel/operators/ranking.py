@@ -129,7 +129,7 @@ def search_twice(queries: DataFrame, items: DataFrame, top_k: int = 5, least: in
     poor = queries.join(n, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < least).drop("n")
     plain = T.words(T.squeezed(F.regexp_replace(T._text("name"), r"[^a-zA-Z0-9\s]", " ")))
     word = F.get(F.filter(plain, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$")), F.lit(0))
-    again = search(poor.withColumn("name", word).filter("name is not null"), items, top_k)
+    again = search(poor.withColumn("name", word).filter("name is not null").persist(), items, top_k)
     new = again.join(first.select("query_id", "code"), ["query_id", "code"], "left_anti")
     both = first.withColumn("pass", F.lit(1)).unionByName(new.withColumn("pass", F.lit(2)))
     # codes that a search returns twice count once

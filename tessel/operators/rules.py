@@ -205,8 +205,10 @@ def judged(rows: DataFrame, p: Profile = CURRENT, strict: bool = False) -> DataF
 
 def first_accepted(rows: DataFrame) -> DataFrame:
     """H1: of judged() rows the accepted one of least rank for each query_id."""
-    best = rows.filter("accepted").groupBy("query_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "query_id"]), "rank").alias("_r"))
-    return best.select("query_id", "_r.*")
+    # no filter on the rules: it would be pushed below them with all their inputs repeated
+    own = F.struct(*[c for c in rows.columns if c != "query_id"])
+    best = rows.groupBy("query_id").agg(F.min_by(own, F.when(F.col("accepted"), F.col("rank"))).alias("_r"))
+    return best.filter("_r is not null").select("query_id", "_r.*")
 
 
 # --- the browser's rules, all native ---

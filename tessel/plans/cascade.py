@@ -126,7 +126,8 @@ def run(queries: DataFrame, items: DataFrame, flow: Flow = BATCH, reranker: Rera
     """CA1 to CA3, and CA4 but for its cache. queries: query_id, name, pack, compname[, query]; items: prepared()."""
     asked = queries if flow.with_company else queries.withColumn("compname", F.lit(""))
     hits = ranking.search_twice(asked, items, top_k) if flow.twice else ranking.search(asked, items, top_k)
-    rows = candidate_rows(queries, hits)
+    # a few short rows per query; kept, as each rule reads them and the planner would weigh search and rules as one
+    rows = candidate_rows(queries, hits).persist()
     found = rules.first_accepted(rules.judged(rows, flow.profile))
     sure = F.lit(True) if flow.any_score else F.col("score") >= flow.accept
     method = F.lit("Heuristic")

@@ -223,7 +223,7 @@ def browser_search(spark, sf_dir):
 def candidate_rules(spark, sf_dir):
     """Every rule of each profile on the candidates of each vendor row."""
     v, it = vendor(spark, sf_dir), items(spark, sf_dir)
-    rows = cascade.candidate_rows(v, ranking.search(v, it))
+    rows = cascade.candidate_rows(v, ranking.search(v, it)).persist()
     out = None
     for p in rules.PROFILES.values():
         one = rules.judged(rows, p).select(F.lit(p.name).alias("profile"), "query_id", "rank", "code", "valid", "similar_brand", "doses_match", "form_match", "accepted", F.bround("score", 6).alias("score"))
