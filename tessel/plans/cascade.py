@@ -92,7 +92,6 @@ def candidate_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def reranked(rows: DataFrame, profile: rules.Profile, reranker: Reranker, open_: DataFrame) -> DataFrame:
     """LLM1: the reranker's choice for the queries of open_ that passes the strict rules; one row per choice."""
-    shared = rows.sparkSession.sparkContext.broadcast(reranker)
     fields = ["rank", *ITEM]
     lists = rows.join(open_.select("query_id"), "query_id", "left_semi").groupBy("query_id", "query", "q_name", "q_comp").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
 
@@ -101,7 +100,7 @@ def reranked(rows: DataFrame, profile: rules.Profile, reranker: Reranker, open_:
             out = []
             for r in pdf.itertuples(index=False):
                 cands = [dict(x.asDict() if hasattr(x, "asDict") else x) for x in r.c]
-                n = shared.value.choose(r.query, cands, r.q_name, r.q_comp)
+                n = reranker.choose(r.query, cands, r.q_name, r.q_comp)
                 if n is not None and 1 <= n <= len(cands):
                     out.append((r.query_id, int(cands[n - 1]["rank"])))
             yield pd.DataFrame(out, columns=["query_id", "rank"])
@@ -112,11 +111,10 @@ def reranked(rows: DataFrame, profile: rules.Profile, reranker: Reranker, open_:
 
 
 def _verified(found: DataFrame, reranker) -> DataFrame:
-    shared = found.sparkSession.sparkContext.broadcast(reranker)
 
     def ask(batches):
         for pdf in batches:
-            keep = [bool(shared.value.verify(r["query"], r, r["q_name"], r["q_comp"])) for r in pdf.to_dict("records")]
+            keep = [bool(reranker.verify(r["query"], r, r["q_name"], r["q_comp"])) for r in pdf.to_dict("records")]
             yield pdf[keep]
 
     return found.mapInPandas(ask, found.schema)
