@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +29,43 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """np.unique of numbers by one sort, which is much faster here."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+class WordHashes(dict):
+    """64-bit hashes of words as bytes, emptied before a text when it has reached `most` entries."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+        return out
+
+    def of(self, words: list[str], *more: int) -> np.ndarray:
+        """An array of the words' hashes and of further numbers behind them."""
+        if len(self) > self.most:
+            self.clear()
+        return np.frombuffer(b"".join([*map(self.__getitem__, words), *(m.to_bytes(8, "little") for m in more)]), "<u8")
+
+
+def released() -> None:
+    """At a task's end: an idle Python worker keeps no memory that Arrow has put by."""
+    pa.default_memory_pool().release_unused()
+
+
+def rare_collections() -> None:
+    """For Python workers with large tables of strings: they make no cycles, and looking for some in the tables costs more than the work."""
+    gc.set_threshold(1_000_000, 20, 50)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

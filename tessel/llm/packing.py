@@ -17,6 +17,7 @@ the order of the input files; every id lies in exactly one piece.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import accumulate
 
@@ -25,30 +26,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written, _OTHERS
+from .common import _OTHERS, id_text, rare_collections, released, written
 
 SEQ_LEN = 4096
 END_ID = 2
 #: Entries of the table of encoded chunks that a Python worker keeps.
-CHUNKS = 300_000
+CHUNKS = 500_000
 
 _codecs: dict[str, "ChunkTokenizer"] = {}
+#: Printable ASCII without apostrophes (which open contractions) and without the first sign of special tokens, and the letters of Latin-1: text that NFC leaves alone.
+_plain = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+_latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_parts = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level models write the bytes that are no visible Latin-1 characters as those from 256 on.
+_visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _visible)}
 
 
-class ChunkTokenizer:
-    """Encodes with a tokenizers file, each distinct chunk between white space once.
+class ChunkTokenizer(dict):
+    """Encodes with a tokenizers file, each distinct chunk between white space once: a table from chunks to ids.
 
     Its pre-tokenizer never joins characters across ASCII white space, so a
-    text's ids are its chunks' ids in a row. The table of chunks is emptied
-    when it reaches `most` entries.
+    text's ids are its chunks' ids in a row. The table is emptied before a
+    text when it has reached `most` entries.
     """
 
     def __init__(self, path: str, most: int = CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
+        self.tokenize = self.tokenizer.model.tokenize
+        for p in ("The Cat,", "a1b22c!?", "x-y_z.", "Q&A", "#*$%&|>!", "[^~]{}`@", "Éçà Ñß-ÿ."):  # is the fast way this file's way?
+            if self.encode([p])[0] != self._library(p):
+                raise ValueError("this tokenizer file has other rules than lower case, letters, digits and the rest apart")
 
     @classmethod
     def of(cls, path: str) -> "ChunkTokenizer":
@@ -58,27 +72,44 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
+        out, ids = [], self.__getitem__
         for text in texts:
             text = text or ""
             for ch in _OTHERS:
                 if ch in text:
                     text = text.replace(ch, " ")
-            chunks = text.split(" ")
-            got = list(map(self.known.get, chunks))
-            if None in got:
-                new = list({c for c, g in zip(chunks, got) if g is None})
-                table = self.known
-                if len(table) + len(new) > self.most:
-                    table.clear()
-                    table[""] = b""
-                    new = list({c for c in chunks if c})
-                for start in range(0, len(new), 4096):
-                    part = new[start : start + 4096]
-                    for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        table[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-                got = [table[c] for c in chunks]
-            out.append(b"".join(got))
+            if len(self) > self.most:
+                self.clear()
+            out.append(b"".join(map(ids, text.split(" "))))
+        return out
+
+    def forget(self) -> None:
+        """At a task's end: the next one has mostly other rare chunks, and an idle worker should be small."""
+        self.clear()
+        self.parts.clear()
+        released()
+
+    def _library(self, text: str) -> bytes:
+        return b"".join([self.four[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha() and (chunk.isascii() or _latin(chunk)):
+            out = self._part(chunk.lower())
+        elif _plain(chunk):
+            out = b"".join(map(self._part, _parts.findall(chunk.lower())))
+        else:
+            out = self._library(chunk) if chunk else b""
+        self[chunk] = out
+        return out
+
+    def _part(self, part: str) -> bytes:
+        """Of a stretch of letters, a digit or other signs: the file's rules for it, without the library's bookkeeping."""
+        out = self.parts.get(part)
+        if out is None:
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            four = self.four
+            out = self.parts[part] = b"".join([four[t.id] for t in self.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
         return out
 
 
@@ -87,6 +118,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     end = end_id.to_bytes(4, "little")
 
     def encode(batches):
+        rare_collections()
         codec, part, before = ChunkTokenizer.of(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -96,6 +128,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                 at = list(accumulate(n, initial=before))
                 before = at.pop()
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
+        codec.forget()
 
     return id_text(docs).mapInArrow(encode, "doc_id bigint, part int, before bigint, n bigint, ids binary")
 

@@ -15,14 +15,13 @@ table yields an empty one; texts of any length are encoded whole.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, rare_collections, released
 
 MARK = "▁"
 #: Entries of the chunk table of a Python worker.
@@ -66,26 +65,25 @@ class ChunkCodec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         split = [_chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        out = []
-        for chunks in split:
-            got = list(map(self.known.get, chunks))
-            if None in got:
-                self._learn(split, chunks)
-                got = [self.known[c] for c in chunks]
-            out.append(b"".join([self.begin, *got, self.end]))
-        return out
-
-    def _learn(self, split: list[list[str]], chunks: list[str]) -> None:
-        """Adds the new chunks of all of split, or of `chunks` alone where they are too many."""
-        new = {c for row in split for c in row if c not in self.known}
+        self._learn(set().union(*split))
+        known = self.known.__getitem__
+        return [self.begin + b"".join(map(known, chunks)) + self.end for chunks in split]
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = chunks.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {MARK: self.lone}
-            new = {c for c in chunks if c != MARK}
+            new = chunks - {MARK}
         new = list(new)
         # the library puts one marker in front of what it encodes
         for c, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)):
             self.known[c] = np.asarray(ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """At a task's end: an idle worker should be small."""
+        self.known = {MARK: self.lone}
+        released()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, as the library's decode has it."""
         surface = self.surface
@@ -101,12 +99,14 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (bytes, little-endian unsigned 32-bit), one row per document."""
 
     def run(batches):
+        rare_collections()
         codec = ChunkCodec.of(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
                 ids = codec.encode(rows.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        codec.forget()
 
     return id_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
@@ -115,6 +115,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids, text: the decoded text of each row of encode()."""
 
     def run(batches):
+        rare_collections()
         codec = ChunkCodec.of(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
