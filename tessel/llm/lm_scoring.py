@@ -37,7 +37,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shards, words_of, written
+from .common import WordHashes, distinct_sorted, lower_ascii, rare_collections, shards, words_of, written
 
 CLASSES = 32
 ROUNDS = 3
@@ -49,7 +49,6 @@ NONE = 255
 _END = xxhash.xxh3_64_intdigest("")
 _ROWS = "block bigint, shard int, data binary"
 
-_words: dict[str, int] = {}
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -75,33 +74,27 @@ def load(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def hashes(text: str | None) -> list[int]:
+def hashes(text: str | None, table: WordHashes) -> np.ndarray:
     """Of the lower-cased words and the end token."""
-    words = words_of(lower_ascii(text)) if text else []
-    if len(_words) > 500_000:
-        _words.clear()
-    got = list(map(_words.get, words))
-    if None in got:
-        for i, g in enumerate(got):
-            if g is None:
-                got[i] = _words[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    got.append(_END)
-    return got
+    return table.of(words_of(lower_ascii(text)) if text else [], _END)
 
 
 def blocks_of(docs: DataFrame, n_shards: int, held_out) -> DataFrame:
     """block, shard, data: a block's documents (shard -1) and its words in each shard, with their counts in training documents."""
 
     def run(batches):
+        rare_collections()
         task, number = TaskContext.get().partitionId(), 0
         ids, held, lengths, tokens = [], [], [], []
-        total = 0
+        total, table = 0, WordHashes()
 
         def out():
             block = task << 24 | number
             flat = np.concatenate(tokens)
             trains = np.repeat(~np.array(held, bool), lengths)
-            own, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
+            own = distinct_sorted(flat)
+            codes = np.searchsorted(own, flat)
+            counts = np.bincount(codes, minlength=len(own))
             by_count = np.argsort(-counts, kind="stable")  # small codes for frequent words
             place = np.empty(len(own), np.int64)
             place[by_count] = np.arange(len(own))
@@ -117,7 +110,7 @@ def blocks_of(docs: DataFrame, n_shards: int, held_out) -> DataFrame:
 
         for batch in batches:
             for doc_id, text, out_ in zip(*(c.to_pylist() for c in batch.columns)):
-                got = np.array(hashes(text), np.uint64)
+                got = hashes(text, table)
                 ids.append(doc_id)
                 held.append(bool(out_))
                 lengths.append(len(got))
@@ -162,7 +155,10 @@ def _phi(x):
 
 
 def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Each word's best class. left, right: words x classes, its counts of neighbour classes; pairs: class bigrams."""
+    """Each word's best class. left, right: words x classes, its counts of neighbour classes; pairs: class bigrams.
+
+    A class without words is left empty: it would look best to all words at once.
+    """
     k = len(pairs)
     totals = pairs.sum(0)
     out = classes.copy()
@@ -185,14 +181,20 @@ def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, classes: n
                 _add(gain, w[few], _phi(m[c[few]] + x[few, None]) - _phi(m[c[few]]))
             stay += np.bincount(w, less(m[c, own[w]], x), len(n))
         rows = np.arange(len(n))
-        gain[rows, own] = stay
         gain[:, k - 1] = -np.inf  # the end token's
+        gain[:, totals == 0] = -np.inf
+        gain[rows, own] = stay
         best = gain.argmax(1)
         moves = (n > 0) & (own != k - 1) & (gain[rows, best] > stay + 1e-9)
         out[part] = np.where(moves, best, own)
     return out
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """What the classes contribute to the log-likelihood of the training text."""
+    return float(_phi(pairs).sum() - _phi(pairs.sum(0)).sum() - _phi(pairs.sum(1)).sum())
+
+
 def _add(gain, w, rows) -> None:
     if len(w):  # w ascends
         starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -340,7 +342,7 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
             rows.append((key[0], int(s), dump(mine_at.astype(np.uint32), *[y for x, i in zip(cells, some) for y in (np.diff(i, prepend=0).astype(np.uint32), x[i])])))
         return _frame(rows)
 
-    def improved(shared):
+    def improved(shared, part: int):
         def run(key, news, mine):
             pairs = shared.value
             words = {b: load(d) for b, d in zip(mine["block"], mine["data"])}
@@ -356,19 +358,29 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
                     side[own[i // classes], i % classes] += x
             safe = np.where(c == NONE, 0, c)
             new = exchange(*sums, counts, safe, pairs)
+            if part:  # later rounds move every other word, so that few neighbours move at once
+                hashes_ = load(mine.loc[mine["block"] == -1, "data"].iloc[0])[0]
+                new = np.where((hashes_ >> np.uint64(7)) % np.uint64(2) == part % 2, new, safe)
             return _frame([(-1, key[0], dump(np.where(c == NONE, NONE, new).astype(np.uint8)))])
 
         return run
 
-    for _ in range(rounds if n else 0):
+    best, best_value = None, -np.inf
+    for number in range((rounds if n else 0) + 1):
         answered = written(told(), "told")
-        shared = spark.sparkContext.broadcast(pairs_of(answered))
+        pairs = pairs_of(answered)
+        value = likelihood(pairs)
+        if best is not None and value <= best_value:
+            break  # moved together, the words have lost: the classes before stand
+        best, best_value = (answered, pairs), value
+        if number == rounds or not n:
+            break
+        shared = spark.sparkContext.broadcast(pairs)
         news = payload.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(neighbours, _ROWS)
         state = answers.join(current.select("shard", F.lit(-1).cast("bigint").alias("block"), F.col("data").alias("now")), ["shard", "block"], "left").select("block", "shard", "data", "now")
-        current = written(news.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(improved(shared), _ROWS), "classes")
-
-    answered = written(told(), "told")
-    shared = spark.sparkContext.broadcast(Model(pairs_of(answered), n, v, weight))
+        current = written(news.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(improved(shared, number), _ROWS), "classes")
+    answered, pairs = best
+    shared = spark.sparkContext.broadcast(Model(pairs, n, v, weight))
 
     def score(key, mine, said):
         import pandas as pd
