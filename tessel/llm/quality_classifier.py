@@ -20,15 +20,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import rare_collections, released, words_of
 
 #: Labelled rows that training may read at most.
 TRAIN_ROWS = 8000
@@ -37,7 +39,6 @@ BUCKETS = 1 << 14
 FACTORS = 8
 EPOCHS = 12
 
-_runs = [(re.compile(p), s) for p, s in ((r"[A-ZÀ-Þ]+", "A"), (r"[a-zß-ÿ]+", "a"), (r"[0-9]+", "0"), (r"[^A-Za-z0-9]+", None))]
 _known: dict[str, tuple[int, int]] = {}
 _N_STATS = 12
 _BINS = 8
@@ -79,7 +80,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     """Indices and values of a text's inputs: words, then shapes, then bins and values of the statistics."""
     text = text or ""
     words = words_of(text)
-    if len(_known) > 300_000:
+    if len(_known) > 200_000:
         _known.clear()
     got = list(map(_known.get, words))
     if None in got:
@@ -196,9 +197,13 @@ def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None)
     shared = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rare_collections()
         own = shared.value
-        return texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
+        for texts in batches:
+            yield texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
+        _known.clear()
+        released()
 
     names = columns or docs.columns
     return docs.select(*[F.col(f"`{c}`") for c in names], score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_score")).withColumnRenamed("_score", "score")
