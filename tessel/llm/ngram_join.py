@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, lower_ascii, shards, words_of, written
+from .common import WordHashes, distinct_sorted, id_text, lower_ascii, rare_collections, released, shards, words_of, written
 from .components import components
 
 WIDTH = 3
@@ -50,7 +50,6 @@ MOST_FREQUENT = 4_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S29, _S32 = np.uint64(29), np.uint64(32)
-_words: dict[str, int] = {}
 
 
 def mixed(a, b):
@@ -60,26 +59,19 @@ def mixed(a, b):
     return h ^ (h >> _S32)
 
 
-def token_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct 64-bit token hashes of a text."""
+def token_set(text: str | None, width: int = WIDTH, table: WordHashes | None = None) -> np.ndarray:
+    """The sorted distinct 64-bit token hashes of a text; table: words' hashes that a task keeps."""
     words = words_of(lower_ascii(text)) if text else []
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(" ".join(words), len(words))], np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    got = list(map(_words.get, words))
-    if None in got:
-        for i, g in enumerate(got):
-            if g is None:
-                got[i] = _words[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    hashes = np.array(got, np.uint64)
+    hashes = (WordHashes() if table is None else table).of(words)
     n = len(hashes) - width + 1
     h = hashes[:n] * _M3
     for k in range(1, width):
         h = mixed(h, hashes[k : k + n])
-    return np.unique(h)
+    return distinct_sorted(h)
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -99,31 +91,29 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (set size), cls (null: empty set)."""
+#: Bits of the sketch that tells most unlike sets apart.
+SKETCH = 2048
+
+
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """Parities of how many tokens fall on each bit: two sketches differ in no more bits than their sets in tokens."""
+    return np.packbits(np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
-    def run(batches):
-        for batch in batches:
-            sets = [token_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n", "cls"])
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n bigint, cls bigint")
+class _Lately:
+    """The classes that a task has had lately."""
 
+    def __init__(self, most: int = 500_000):
+        self.seen: set[int] = set()
+        self.most = most
 
-def _new_sets(batches, width: int, at: int):
-    """Of each batch the (class, set) pairs that this task has not had lately."""
-    seen: set[int] = set()
-    for batch in batches:
-        out = []
-        for text in batch.column(at).to_pylist():
-            tokens = token_set(text, width)
-            cls = class_of(tokens)
-            if cls is not None and cls not in seen:
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(cls)
-                out.append((cls, tokens))
-        yield out
+    def new(self, cls: int | None) -> bool:
+        if cls is None or cls in self.seen:
+            return False
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        self.seen.add(cls)
+        return True
 
 
 def _place(tokens: np.ndarray, n_shards: int) -> np.ndarray:
@@ -131,45 +121,72 @@ def _place(tokens: np.ndarray, n_shards: int) -> np.ndarray:
     return ((tokens >> np.uint64(40)) % np.uint64(n_shards) << _S32) | (tokens & np.uint64(0xFFFFFFFF))
 
 
-def frequent_tokens(docs: DataFrame, width: int = WIDTH, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Sorted places of the tokens that at least `frequent` classes have.
+def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Two kinds of rows from one scan, told apart by shard.
 
-    Tasks send each shard its tokens with eight bits of the class as packed
-    numbers; a shard counts the distinct ones. Two tokens of one place count as
-    one, which makes them more frequent and nothing else.
+    shard null: doc_id, n (set size), cls (null: empty set), sketch of every
+    document. Else blob: a task's tokens of this shard with eight bits of their
+    class, as packed numbers.
     """
     n_shards = shards(docs.sparkSession)
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "sketch": pa.binary(), "shard": pa.int32(), "blob": pa.binary()}
 
-    def collect(batches):
-        held: list[np.ndarray] = []
-        total = 0
+    def rows_of(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()], list(kinds))
 
-        def out():
-            values = np.unique(np.concatenate(held))
+    def run(batches):
+        rare_collections()
+        lately, table, held, total = _Lately(), WordHashes(), [], 0
+
+        def tokens_out():
+            values = distinct_sorted(np.concatenate(held))
+            held.clear()
             shard = (values >> np.uint64(40)).astype(np.int64)
             cuts = np.searchsorted(shard, np.arange(n_shards + 1))
             rows = [(s, packed(values[a:b] & np.uint64((1 << 40) - 1))) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
-
-        for sets in _new_sets(batches, width, 0):
-            for cls, tokens in sets:
-                held.append((_place(tokens, n_shards) << np.uint64(8)) | np.uint64(cls & 255))
-                total += len(tokens)
-                if total > 3_000_000:
-                    yield out()
+            return rows_of(len(rows), shard=[r[0] for r in rows], blob=[r[1] for r in rows])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                n, classes, sketches = [], [], []
+                for text in part.column(1).to_pylist():
+                    tokens = token_set(text, width, table)
+                    cls = class_of(tokens)
+                    n.append(len(tokens))
+                    classes.append(cls)
+                    sketches.append(sketch_of(tokens) if cls is not None else None)
+                    if lately.new(cls):
+                        held.append((_place(tokens, n_shards) << np.uint64(8)) | np.uint64(cls & 255))
+                        total += len(tokens)
+                yield rows_of(len(n), doc_id=part.column(0), n=n, cls=classes, sketch=sketches)
+                if total > 1_500_000:
+                    yield tokens_out()
                     held, total = [], 0
         if held:
-            yield out()
+            yield tokens_out()
+        released()
+
+    return id_text(docs).mapInArrow(run, "doc_id bigint, n bigint, cls bigint, sketch binary, shard int, blob binary")
+
+
+def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Sorted places of the tokens that at least `frequent` classes have; blobs: shard, blob of gathered().
+
+    Two tokens of one place count as one, which makes them more frequent and
+    nothing else.
+    """
 
     def count(key, pdf):
         import pandas as pd
 
-        values = np.unique(np.concatenate([unpacked(b) for b in pdf["blob"]]))
-        tokens, n = np.unique(values >> np.uint64(8), return_counts=True)
+        values = distinct_sorted(np.concatenate([unpacked(b) for b in pdf["blob"]])) >> np.uint64(8)
+        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        tokens, n = values[starts], np.diff(np.r_[starts, len(values)])
         often = n >= frequent
         return pd.DataFrame({"shard": [key[0]], "tokens": [tokens[often].astype("<u4").tobytes()], "n": [n[often].astype("<u2").tobytes()]})
 
-    per_shard = written(id_text(docs).select("text").mapInArrow(collect, "shard int, blob binary").groupBy("shard").applyInPandas(count, "shard int, tokens binary, n binary"), "frequent")
+    per_shard = written(blobs.groupBy("shard").applyInPandas(count, "shard int, tokens binary, n binary"), "frequent")
     floor = frequent
     level = lambda f: per_shard.agg(F.sum(_at_least(f)("n"))).first()[0] or 0
     while level(floor) > most:
@@ -230,32 +247,49 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT, c
 
 
 def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int = PERCENT, combined: int = COMBINED) -> DataFrame:
-    """key, cls, n, hot (of frequent tokens): the prefix keys of every class; copies may repeat rows."""
+    """key, cls, n, r, hot (of frequent tokens): the prefix keys of every class; copies may repeat rows.
+
+    r: how many tokens the set has that no partner of this key can share: its
+    rare ones for a hot key (else a rare key would find the pair), or none.
+    """
     spark = docs.sparkSession
     n_shards, shared = shards(spark), spark.sparkContext.broadcast(often)
 
     def run(batches):
-        is_often = Frequent(shared.value)
-        for sets in _new_sets(batches, width, 0):
-            for start in range(0, len(sets), 256):
-                keys, cls, n, hot = [], [], [], []
-                for c, tokens in sets[start : start + 256]:
-                    for is_hot, got in enumerate(prefix_keys(tokens, is_often(_place(tokens, n_shards)), percent, combined)):
-                        keys.append(got)
-                        cls.append(np.full(len(got), c, np.int64))
-                        n.append(np.full(len(got), len(tokens), np.int32))
-                        hot.append(np.full(len(got), bool(is_hot)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(hot))], ["key", "cls", "n", "hot"])
-
-    return id_text(docs).select("text").mapInArrow(run, "key bigint, cls bigint, n int, hot boolean")
+        rare_collections()
+        is_often, lately, table = Frequent(shared.value), _Lately(), WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                out = []
+                for text in batch.column(0).slice(start, 256).to_pylist():
+                    tokens = token_set(text, width, table)
+                    cls = class_of(tokens)
+                    if not lately.new(cls):
+                        continue
+                    often_ = is_often(_place(tokens, n_shards))
+                    for hot, got in enumerate(prefix_keys(tokens, often_, percent, combined)):
+                        if len(got):
+                            out.append((got, cls, len(tokens), int((~often_).sum()) if hot else 0, bool(hot)))
+                if out:
+                    size = [len(o[0]) for o in out]
+                    column = lambda i, t: pa.array(np.repeat(np.array([o[i] for o in out], t), size))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, bool)], ["key", "cls", "n", "r", "hot"])
+        released()
+
+    return id_text(docs).select("text").mapInArrow(run, "key bigint, cls bigint, n int, r int, hot boolean")
+
+
+def may_link(x, y, percent: int):
+    """Whether sets x and y, columns (n, r), can link: all they share is at most what either has beside its r."""
+    most = F.least(x[0] - x[1], y[0] - y[1]).cast("bigint")
+    return most * 100 >= (x[0] + y[0] - most) * percent
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """key, cls, n, leader, leader_n: the rows of every key that more than one class has; leader: its least class."""
+    """key, cls, n, r, leader, leader_n, leader_r: the rows of every key that several classes have; leader: the one with the least r."""
     rows = rows.distinct()
-    lead = rows.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"))
-    return rows.join(lead, "key")
+    lead = rows.groupBy("key").agg(F.min(F.struct("r", "cls", "n")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return rows.join(lead.select("key", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.r").alias("leader_r")), "key")
 
 
 def shared_keys_sorted(rows: DataFrame) -> DataFrame:
@@ -288,9 +322,30 @@ def shared_keys_sorted(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, cls bigint, n int, leader bigint, leader_n int")
 
 
+#: Documents to compare whose ids are broadcast, 8 bytes each; where there are more, texts are joined by shuffle.
+MOST_WANTED = 500_000
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) whose sketches allow a link; classes: cls, size, sketch. No linked pair is left out."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= (100 - percent) * n))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b: classes) that link; classes: cls, doc (a document that has it)."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
+    wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc"), "cls"), "wanted")
 
     def compress(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -299,25 +354,26 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int =
                 rows = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in rows.column(1).to_pylist()], pa.binary())], ["doc", "z"])
 
-    texts = id_text(docs).mapInArrow(compress, "doc bigint, z binary")
+    own = id_text(docs)
+    if wanted.count() <= MOST_WANTED:
+        own = own.join(F.broadcast(wanted.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = own.mapInArrow(compress, "doc bigint, z binary")
     texts = written(wanted.join(texts, "doc").select("cls", "z"), "texts", "none")
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
 
     def compare(batches):
-        known: dict[int, np.ndarray] = {}
+        rare_collections()
+        known: dict[int, np.ndarray | None] = {}
+        table = WordHashes()
 
         def tokens(cls, z):
-            got = known.get(cls)
-            if got is None:
+            if cls not in known:
                 if len(known) > 2000:
                     known.clear()
-                got = token_set(zstandard.decompress(z).decode("utf-8", "surrogatepass"), width)
-                if class_of(got) == cls:  # else another row with this doc_id
-                    known[cls] = got
-                else:
-                    return None
-            return got
+                got = token_set(zstandard.decompress(z).decode("utf-8", "surrogatepass"), width, table)
+                known[cls] = got if class_of(got) == cls else None  # else another row has this doc_id too
+            return known[cls]
 
         for batch in batches:
             out = []
@@ -335,33 +391,37 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int =
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, combined: int = COMBINED) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    signed = written(signatures(docs, width), "sets")
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, so that linked sets share two tokens")
-    keys = written(index(docs, frequent_tokens(docs, width, frequent), width, percent, combined), "keys")
-    single = shared_keys_sorted(keys.filter("not hot").select("key", "cls", "n"))
-    members = written(single.unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n"))), "members")
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"))
-
-    like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    stars = members.filter((F.col("cls") != F.col("leader")) & like(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = written(stars, "pairs")
+    scanned = written(gathered(docs, width), "sets")
+    signed = scanned.filter("shard is null").select("doc_id", "n", "cls", "sketch")
+    often = frequent_tokens(scanned.filter("shard is not null").select("shard", "blob"), frequent)
+    keys = written(index(docs, often, width, percent, combined), "keys")
+    single = shared_keys_sorted(keys.filter("not hot").select("key", "cls", "n")).withColumns({"r": F.lit(0), "leader_r": F.lit(0)})
+    members = written(single.unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
+    classes = written(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("size"), F.max("sketch").alias("sketch")), "classes")
+
+    stars = members.filter((F.col("cls") != F.col("leader")) & may_link((F.col("n"), F.col("r")), (F.col("leader_n"), F.col("leader_r")), percent))
+    stars = stars.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+    stars = written(likely(stars, classes, percent), "pairs")
     edges = written(verified(stars, docs, classes, width, percent), "links")
     labels = components(edges)
 
-    # what the comparison with a key's least member left apart
-    apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    # what the comparison with a key's leader left apart
+    apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
     split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
     apart = written(apart.join(split, "key"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & like(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(verified(written(rest, "pairs"), docs, classes, width, percent), "links")
-    if more.limit(1).count():
-        labels = components(edges.union(more))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & may_link((F.col("x.n"), F.col("x.r")), (F.col("y.n"), F.col("y.r")), percent))
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    rest = written(likely(rest, classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        more = written(verified(rest, docs, classes, width, percent), "links")
+        if more.limit(1).count():
+            labels = components(edges.union(more))
 
     placed = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("component"))
-    placed = written(placed, "classes")
+    placed = written(placed, "placed")
     least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = placed.join(least, "component").select("cls", "component_id")
-    return signed.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
