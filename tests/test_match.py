@@ -185,3 +185,28 @@ def test_empty_tables(spark, items, asked):
     assert cascade.run(none, items).count() == 0
     assert cascade.run(asked, items.limit(0)).filter("code is not null").count() == 0
     assert rules.first_accepted(rules.judged(cascade.candidate_rows(none, ranking.search(none, items)))).count() == 0
+
+
+def test_search_is_a_scan_of_definitions(items, asked):
+    """Every score of every hit, and that no better item was passed over."""
+    q = {r.query_id: r for r in asked.select("query_id", T.search_form("name").alias("norm"), T.tokens("name").alias("tokens"), T.search_form("compname").alias("comp"), ranking.pack_score("pack", F.lit("strip of 10 tablets")).alias("p")).collect()}
+    every = items.select("item_id", "norm", "tokens", "comp_norm", "pack").collect()
+    reach = {(r.norm, r.item_id) for r in blocking.candidates(asked.select(T.search_form("name").alias("norm")), items).collect()}
+    packs = {(r.query_id, r.item_id): r.s for r in asked.join(items.select("item_id", F.col("pack").alias("ip"))).select("query_id", "item_id", ranking.pack_score("pack", "ip").alias("s")).collect()}
+    got = {}
+    for r in ranking.search(asked, items).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.final_score))
+    for i, r in q.items():
+        want = []
+        for it in every:
+            stage = K.token_set_ratio_of(r.norm, it.norm)
+            if (r.norm, it.item_id) not in reach or stage < 50:
+                continue
+            brand = r.tokens[1] if len(r.tokens[0]) <= 2 and len(r.tokens) > 1 else r.tokens[0]
+            known = brand in it.norm or brand in it.comp_norm or any(K.ratio_of(brand, w) >= 75 for w in it.norm.split() + it.comp_norm.split())
+            like = K.partial_ratio_of(r.comp, it.comp_norm) if r.comp and it.comp_norm else 50
+            final = stage * (0.65 if len(brand) > 2 and not known else 1) * 0.75 + packs[i, it.item_id] * 0.25 + (10 if like >= 60 else -15 if like < 30 else 0)
+            want.append((-final, [-x for x in ranking.token_features_of(r.tokens, it.tokens)], it.item_id))
+        want = sorted(want)[:5]
+        assert [(k, n) for k, (_, _, n) in enumerate(want, 1)] == [(k, n) for k, n, _ in sorted(got.get(i, []))]
+        assert all(abs(-w[0] - g[2]) <= 0.0501 for w, g in zip(want, sorted(got.get(i, []))))
