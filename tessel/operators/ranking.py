@@ -122,6 +122,11 @@ def search(queries: DataFrame, items: DataFrame, top_k: int = 5) -> DataFrame:
     return rows.select("query_id", "rank", "item_id", "code", "name", "compname", "pack", "strength", *[F.bround(c, 1).alias(n) for c, n in (("name_score", "name_score"), ("pack_score", "pack_score"), ("final", "final_score"))])
 
 
+def clamped(top_k: int, least: int = 1, most: int = 20) -> int:
+    """PF9: the number of hits that the strict interface allows."""
+    return max(least, min(most, int(top_k)))
+
+
 def search_twice(queries: DataFrame, items: DataFrame, top_k: int = 5, least: int = 4, most: int = 8) -> DataFrame:
     """Search; queries with fewer than `least` hits search again with their first longer word, and new codes follow."""
     first = search(queries, items, top_k).persist()  # top_k short rows per query, used three times

@@ -201,6 +201,47 @@ like_ as (select probe, idx, key, row_number() over (partition by probe, idx ord
 found as (select probe, idx, key from like_ where n <= 40 union select probe, idx, key from pk where probe = key union select probe, idx, key from pk where length(probe) < 3 and starts_with(key, probe))"""
 
 
+def dice(a: str, b: str) -> str:
+    grams = lambda c, i: f"list_distinct(list_transform(range(1, greatest(length({c}) - 1, 1) + 1), lambda {i}: substr({c}, {i}, 2)))"
+    x, y = grams(a, "i"), grams(b, "j")
+    return f"(case when {a} = {b} then 1.0 when length({a}) < 2 or length({b}) < 2 then 0.0 else 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) end)"
+
+
+def _browser_sql(top: int) -> str:
+    """The browser's search: its hits up to a rank."""
+    hit = "list_filter(it, lambda x: starts_with(x, t))[1]"
+    kind = f"list_transform(qt, lambda t: case when {hit} = t then 'e' when {hit} is not null then 'p' when length(t) >= 3 and len(list_filter(it, lambda x: length(x) >= 3 and {dice('t', 'x')} >= 0.7)) > 0 then 'l' else 'n' end)"
+    count = lambda k: f"len(list_filter(k, lambda x: x = '{k}'))"
+    qp, ip = t5("v.pack"), t5("c.pack")
+    return f"""with v as (select query_id, name, pack, compname, {t6('name')} as qt from ({VENDOR}) where length(trim(name)) >= 2),
+    c as (select item_id, code, name, compname, pack, {strength('name')} as strength, {t6('name')} as it from ({CATALOG})),
+    u as (select distinct qt, it from v join c on contains(lower(c.name), qt[1]) or contains(lower(c.compname), qt[1])),
+    f as (select qt, it, {kind} as k, coalesce(list_position(list_transform(range(1, least(len(qt), len(it)) + 1), lambda i: qt[i] <> it[i]), true) - 1, least(len(qt), len(it))) as front from u),
+    g as (select qt, it, {count('e')} as e, {count('p')} as p, {count('l')} as l, front from f),
+    h as (select v.query_id, v.name as q_name, v.pack as q_pack, v.compname as q_comp, c.item_id, c.code, c.name, c.compname, c.pack, c.strength, round_even(e + p + l * 0.8, 1) as matched, front,
+      ((e + p + l * 0.8::double) / len(v.qt) * 60 + e / len(v.qt) * 20 + front * 20) * 0.75 + (case when v.pack = '' or c.pack = '' then 50 when {qp} = {ip} then 100 when contains({ip}, {qp}) or contains({qp}, {ip}) then 80 else 50 end) * 0.25 as score
+      from v join c on contains(lower(c.name), v.qt[1]) or contains(lower(c.compname), v.qt[1]) join g on g.qt = v.qt and g.it = c.it),
+    r as (select *, row_number() over (partition by query_id order by matched desc, front desc, score desc, item_id) as rank from h where score >= 35),
+    hits as (select * from r where rank <= {top})"""
+
+
+def _browser_match_sql() -> str:
+    both = "trim(q_name || ' ' || q_pack)"
+    flat = lambda c: f"replace({c}, ' ', '')"
+    doses = lambda c: f"list_filter({c}, lambda n: length(n) > 1 or n not in ({_list(L.BROWSER_COUNTS)}))"
+    sides = f"""{_browser_sql(1)}, a as (select query_id, item_id, code, name as c_name, compname as c_comp, pack as c_pack, strength as c_strength, q_comp, lower({both}) as ql, lower(name) as cl, {t5('name')} as cn, {t5('compname')} as cb,
+      split_part({t5(both)}, ' ', 1) as v, split_part({t5('q_name')}, ' ', 1) as h, regexp_extract_all({t5('q_name')}, '\\d+') as qn, regexp_extract_all(name || ' ' || strength, '\\d+') as n_, {company('q_comp')} as qc, {company('compname')} as cc from hits),
+    b as (select *, {flat('cn')} as cnf, {flat('cb')} as cbf, {doses('qn')} as qd, {doses('n_')} as cd from a)"""
+    brand = f"(contains(cn, v) or contains(cb, v) or contains(cnf, v) or contains(cbf, v) or contains(v, cnf) or contains(v, cbf) or {dice('v', 'cn')} >= 0.75)"
+    exact = f"(h = cnf or h = cbf or contains(cnf, h) or contains(cbf, h) or {dice('h', 'cn')} >= 0.78)"
+    form_ok = "not (contains(ql, 'inj') and contains(cl, 'tab')) and not (contains(ql, 'tab') and contains(cl, 'inj'))"
+    comp = f"(trim(q_comp) = '' or c_comp = '' or qc = '' or cc = '' or qc = cc or len(list_filter(list_intersect(string_split(qc, ' '), string_split(cc, ' ')), lambda w: length(w) >= 3)) > 0 or {dice('qc', 'cc')} >= 0.75 or length(qc) >= 4 and length(cc) >= 4 and (contains(qc, cc) or contains(cc, qc)))"
+    nums = "case when len(qn) = 0 then len(list_filter(n_, lambda n: length(n) > 1)) = 0 when len(qd) > 0 then len(list_filter(qd, lambda n: not list_contains(cd, n))) = 0 else len(cd) = 0 end"
+    ok = f"{brand} and (len(qn) = 0 or list_has_any(qd, n_)) and {form_ok} and {comp} and {exact} and {nums}"
+    return f"""{sides}, m as (select * from b where {ok})
+    select q.query_id, m.item_id, m.code, m.c_name as m_name, m.c_comp as m_comp, m.c_pack as m_pack, m.c_strength as m_strength, cast(null as double) as score, case when m.code is null then 'No Match' else 'Browser' end as method from ({VENDOR}) q left join m on q.query_id = m.query_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     names = f"with {_NAMES} "
     return {
@@ -226,6 +267,8 @@ def oracle_sql() -> dict[str, str]:
         "prefix_index": f"with {_POSTS} select idx, key, n_items, first_item from keys",
         "like_keys": f"with {_POSTS}, {_PROBES}, {_FOUND} select probe, idx, key from found",
         "candidate_counts": f"with {_POSTS}, {_PROBES}, {_FOUND}, m as (select distinct w.norm, posts.item_id from w join found on w.probe = found.probe join posts on posts.idx = found.idx and posts.key = found.key) select norm, count(*) as n_items, min(item_id) as first_item from m group by norm",
+        "browser_search": _browser_sql(15) + " select query_id, rank, item_id, code, name, compname, pack, strength, round_even(score, 6) as score, matched, front from hits",
+        "match_browser": _browser_match_sql(),
         "timing_stats": """select count(*) as n_total, count(l) as n_llm, round_even(count(l) / greatest(1, count(*)), 3) as llm_fraction, round_even(sum(value) / greatest(1, count(*)), 2) as avg_search_ms, round_even(max(value), 2) as max_search_ms,
             round_even(sum(value / 10) / greatest(1, count(*)), 2) as avg_heur_ms, round_even(sum(l) / greatest(1, count(l)), 2) as avg_llm_ms, round_even(max(l), 2) as max_llm_ms from (select value, case when event_type = 'error' then value * 100 end as l from events)""",
         "most_in_flight": "with m as (select epoch_us(ts) as t, 1 as d from events union all select epoch_us(ts) + cast(floor(value * 60000000) as bigint), -1 from events) select cast(max(n) as bigint) as most_in_flight from (select sum(d) over (order by t, d rows unbounded preceding) as n from m)",

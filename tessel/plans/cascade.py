@@ -144,6 +144,17 @@ def run(queries: DataFrame, items: DataFrame, flow: Flow = BATCH, reranker: Rera
     return queries.select("query_id").join(named, "query_id", "left").withColumn("method", F.coalesce("method", F.lit("No Match")))
 
 
+def run_cached(queries: DataFrame, items: DataFrame, store, reranker: Reranker | None = None) -> DataFrame:
+    """CA4 with its cache (sources.cache.ResultCache): hits come from there, all else is matched and stored, misses too."""
+    hits = store.lookup(queries, items).select("query_id", "item_id", "code").persist()
+    named = hits.join(items.select("item_id", F.col("name").alias("m_name"), F.col("compname").alias("m_comp"), F.col("pack").alias("m_pack"), F.col("strength").alias("m_strength")), "item_id")
+    known = named.select("query_id", "item_id", "code", "m_name", "m_comp", "m_pack", "m_strength", F.lit(None).cast("double").alias("score"), F.lit("Cache").alias("method"))
+    rest = queries.join(hits.select("query_id"), "query_id", "left_anti")
+    new = run(rest, items, HYBRID, reranker).persist()
+    store.save(rest, new)
+    return known.unionByName(new)
+
+
 def run_browser(queries: DataFrame, items: DataFrame) -> DataFrame:
     """CA5: the best item of the browser's search where it passes the browser's rules."""
     hits = ranking.browser_search(queries, items, top_k=1)

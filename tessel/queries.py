@@ -217,7 +217,8 @@ def search_twice(spark, sf_dir):
 
 
 def browser_search(spark, sf_dir):
-    return ranking.browser_search(vendor(spark, sf_dir), items(spark, sf_dir))
+    found = ranking.browser_search(vendor(spark, sf_dir), items(spark, sf_dir))
+    return found.withColumns({"rank": F.col("rank").cast("bigint"), "front": F.col("front").cast("bigint")})
 
 
 def candidate_rules(spark, sf_dir):
@@ -257,8 +258,7 @@ def match_report(spark, sf_dir):
 
 
 def report_summary(spark, sf_dir):
-    rows = match_report(spark, sf_dir)
-    return report.summary(rows).join(report.histogram(rows))  # one row each
+    return report.overview(match_report(spark, sf_dir))
 
 
 def unmatched_list(spark, sf_dir):

@@ -151,6 +151,15 @@ def test_cache(spark, items, asked, tmp_path):
     assert store.latest().count() == store.latest().select("query_normalized").distinct().count()
 
 
+def test_cached_flow(spark, items, asked, tmp_path):
+    store = cache.ResultCache(spark, str(tmp_path / "flow"))
+    one = {r.query_id: (r.code, r.method) for r in cascade.run_cached(asked, items, store).collect()}
+    two = {r.query_id: (r.code, r.method) for r in cascade.run_cached(asked, items, store).collect()}
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in two.items()}
+    assert all((two[k][1] == "Cache") == (v[0] is not None) for k, v in one.items())
+    assert ranking.clamped(0) == 1 and ranking.clamped(99) == 20
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.csv").write_text("﻿CODE,Name,COMPNAME,Pack\n 1 ,PAN 40,ALKEM,10S\n,NO CODE,,\n3,,X,\n4,DOLO 650,,\n", encoding="utf-8")
     rows = catalog.read_catalog(spark, str(tmp_path / "c.csv")).orderBy("item_id").collect()
