@@ -231,26 +231,28 @@ class Frequent:
         return out
 
 
-def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT, combined: int = COMBINED) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of rare tokens; keys of frequent ones, by pairs or, in long prefixes, alone."""
+def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT, combined: int = COMBINED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of rare tokens, and keys of frequent ones, by pairs or, in long prefixes, alone; each with its place in the order."""
     n = len(tokens)
     first = n - -(-percent * n // 100) + 1
     rare, common = tokens[~often], tokens[often]
-    f, hot = common[: max(0, first + 1 - len(rare))], []
+    places = len(rare) + np.arange(len(common))
+    f, hot = max(0, first + 1 - len(rare)), []
     # sets that link are of like size: beside the bound both kinds are made, so that either side finds the other
-    if len(f) > 1 and first <= 100 * combined // percent + 2:
-        i, j = np.triu_indices(len(f), 1)
-        hot.append(mixed(f[i], f[j]))
+    if min(f, len(common)) > 1 and first <= 100 * combined // percent + 2:
+        i, j = np.triu_indices(min(f, len(common)), 1)
+        hot.append((mixed(common[i], common[j]), places[i]))
     if first > combined:
-        hot.append(common[: max(0, first - len(rare))])
-    return rare[:first], np.concatenate(hot) if hot else np.empty(0, np.uint64)
+        hot.append((common[: max(0, f - 1)], places[: max(0, f - 1)]))
+    return [(rare[:first], np.arange(len(rare[:first]))), tuple(np.concatenate(x) for x in zip(*hot)) if hot else (common[:0], places[:0])]
 
 
 def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int = PERCENT, combined: int = COMBINED) -> DataFrame:
     """key, cls, n, r, hot (of frequent tokens): the prefix keys of every class; copies may repeat rows.
 
-    r: how many tokens the set has that no partner of this key can share: its
-    rare ones for a hot key (else a rare key would find the pair), or none.
+    r: how many of the set's tokens come before the key's in the order. A pair
+    is found by the first token that both have, so where it is, none of these
+    is shared; elsewhere the pair may be passed over.
     """
     spark = docs.sparkSession
     n_shards, shared = shards(spark), spark.sparkContext.broadcast(often)
@@ -267,20 +269,20 @@ def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int =
                     if not lately.new(cls):
                         continue
                     often_ = is_often(_place(tokens, n_shards))
-                    for hot, got in enumerate(prefix_keys(tokens, often_, percent, combined)):
+                    for hot, (got, places) in enumerate(prefix_keys(tokens, often_, percent, combined)):
                         if len(got):
-                            out.append((got, cls, len(tokens), int((~often_).sum()) if hot else 0, bool(hot)))
+                            out.append((got, cls, len(tokens), places, bool(hot)))
                 if out:
                     size = [len(o[0]) for o in out]
                     column = lambda i, t: pa.array(np.repeat(np.array([o[i] for o in out], t), size))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, bool)], ["key", "cls", "n", "r", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), column(1, np.int64), column(2, np.int32), pa.array(np.concatenate([o[3] for o in out]).astype(np.int32)), column(4, bool)], ["key", "cls", "n", "r", "hot"])
         released()
 
     return id_text(docs).select("text").mapInArrow(run, "key bigint, cls bigint, n int, r int, hot boolean")
 
 
 def may_link(x, y, percent: int):
-    """Whether sets x and y, columns (n, r), can link: all they share is at most what either has beside its r."""
+    """Whether sets x and y, columns (n, r), can link if the key's is the first token that both have: all they share is at most what either has beside its r."""
     most = F.least(x[0] - x[1], y[0] - y[1]).cast("bigint")
     return most * 100 >= (x[0] + y[0] - most) * percent
 
@@ -298,28 +300,28 @@ def shared_keys_sorted(rows: DataFrame) -> DataFrame:
     def run(batches):
         held = None  # the run of equal keys that may go on in the next batch
         for batch in batches:
-            key, cls, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
-                key, cls, n = (np.concatenate(x) for x in zip(held, (key, cls, n)))
-            if not len(key):
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            if not len(columns[0]):
                 continue
-            cut = np.searchsorted(key, key[-1], "left")
-            held = key[cut:], cls[cut:], n[cut:]
-            yield runs(key[:cut], cls[:cut], n[:cut])
+            cut = np.searchsorted(columns[0], columns[0][-1], "left")
+            held = [c[cut:] for c in columns]
+            yield runs(*[c[:cut] for c in columns])
         if held is not None:
             yield runs(*held)
 
-    def runs(key, cls, n):
+    def runs(key, r, cls, n):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[new], cls[new], n[new]
+        key, r, cls, n = key[new], r[new], cls[new], n[new]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.r_[starts, len(key)])
         lead, many = np.repeat(starts, size), np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, cls, n, cls[lead], n[lead])], ["key", "cls", "n", "leader", "leader_n"])
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, cls, n, r, cls[lead], n[lead], r[lead])], ["key", "cls", "n", "r", "leader", "leader_n", "leader_r"])
 
-    dealt = rows.repartition(shards(rows.sparkSession), "key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(run, "key bigint, cls bigint, n int, leader bigint, leader_n int")
+    dealt = rows.select("key", "r", "cls", "n").repartition(shards(rows.sparkSession), "key").sortWithinPartitions("key", "r", "cls")
+    return dealt.mapInArrow(run, "key bigint, cls bigint, n int, r int, leader bigint, leader_n int, leader_r int")
 
 
 #: Documents to compare whose ids are broadcast, 8 bytes each; where there are more, texts are joined by shuffle.
@@ -397,8 +399,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     signed = scanned.filter("shard is null").select("doc_id", "n", "cls", "sketch")
     often = frequent_tokens(scanned.filter("shard is not null").select("shard", "blob"), frequent)
     keys = written(index(docs, often, width, percent, combined), "keys")
-    single = shared_keys_sorted(keys.filter("not hot").select("key", "cls", "n")).withColumns({"r": F.lit(0), "leader_r": F.lit(0)})
-    members = written(single.unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
+    members = written(shared_keys_sorted(keys.filter("not hot")).unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
     classes = written(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("size"), F.max("sketch").alias("sketch")), "classes")
 
     stars = members.filter((F.col("cls") != F.col("leader")) & may_link((F.col("n"), F.col("r")), (F.col("leader_n"), F.col("leader_r")), percent))
