@@ -107,21 +107,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables written so far under this session; results that still read them must have been taken."""
+    for i in range(len(_made) - 1, -1, -1):
+        if _made[i][0]() is spark:
+            _delete(spark, _made.pop(i)[1])
+
+
 @atexit.register
 def _clean() -> None:
-    for ref, path in _made:
-        spark = ref()
-        if spark is not None and spark.sparkContext._jsc is not None:
+    for spark in {ref() for ref, _ in _made} - {None}:
+        if spark.sparkContext._jsc is not None:  # a session that was stopped before leaves its folders
             try:
-                _delete(spark, path)
-            except Exception:  # the session may have gone first; then its folder stays
+                release(spark)
+            except Exception:
                 return
 
 
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors.
 
-    The tables are removed when the driver's process ends.
+    The tables are removed by release(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{tag}-{uuid.uuid4().hex}"
