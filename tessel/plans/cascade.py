@@ -106,7 +106,7 @@ def reranked(rows: DataFrame, profile: rules.Profile, reranker: Reranker, open_:
             yield pd.DataFrame(out, columns=["query_id", "rank"])
 
     chosen = lists.mapInPandas(choose, "query_id bigint, rank int")
-    strict = rules.judged(rows.join(chosen, ["query_id", "rank"]), profile, strict=True)
+    strict = rules.judged(rows.join(chosen, ["query_id", "rank"]).persist(), profile, strict=True)
     return strict.filter("valid")
 
 
@@ -126,7 +126,7 @@ def run(queries: DataFrame, items: DataFrame, flow: Flow = BATCH, reranker: Rera
     hits = ranking.search_twice(asked, items, top_k) if flow.twice else ranking.search(asked, items, top_k)
     # a few short rows per query; kept, as each rule reads them and the planner would weigh search and rules as one
     rows = candidate_rows(queries, hits).persist()
-    found = rules.first_accepted(rules.judged(rows, flow.profile))
+    found = rules.first_accepted(rules.judged(rows, flow.profile)).persist()  # a row per query at most
     sure = F.lit(True) if flow.any_score else F.col("score") >= flow.accept
     method = F.lit("Heuristic")
     if reranker is None and flow.low_without_model:
