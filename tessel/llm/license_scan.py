@@ -1,23 +1,29 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines that hold a licensing word, and for templates
-longer than a line the lines that follow, up to the template's number of words.
-Each block is compressed alone and with each template as a zstandard raw
-dictionary; the size saved ranks the templates. Winners are confirmed, best
-first, by the exact difference of wording: words of the template that are
-missing and words that stand between its own. Text beside a confirmed notice is
-looked at again, so a line may hold several.
+Candidate blocks are windows around each licensing word: for each template as
+many words before and behind it as a notice of it can have, whatever lines they
+are in. Templates that share too few words with their window to be confirmed
+are passed over, which loses none. Each window is compressed alone and with
+the template as a zstandard raw dictionary; the size saved ranks the templates.
+Winners are confirmed by the exact difference of wording: words of the template
+that are missing and words that stand between its own, in the alignment where
+these are fewest. Of notices that overlap, the one with most words that agree
+stays, on a tie the one ranked higher. Text beside a confirmed notice is looked
+at again, so a window may hold several.
 
 Edge cases: null and empty texts have no notices; repeated rows and repeated
 lines are reported each; templates that save the same are tried by name; an
-empty table yields an empty one; a null doc_id is kept; long texts are read
-whole and blocks are no longer than a line or the longest template.
+empty table yields an empty one; a null doc_id is kept; long texts and lines
+are read whole; a notice without a licensing word left is not a candidate.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -44,11 +50,11 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words that make a line a candidate.
+#: Words that make the text around them a candidate.
 CANDIDATE = r"(?i)licen[cs]e|copyright|redistribut|permission|public domain|\bgnu\b|creative commons|\bcc[ -]by\b|free software|apache|mozilla"
 #: Share of a template's words that may differ.
 MOST_DIFFERENT = 0.1
-#: Share of its own compressed size that a template must save of a block's to be compared with it.
+#: Share of its own compressed size that a template saves of a short block with its unaltered notice, at least; it ranks and rejects nothing.
 LEAST_SAVED = 0.3
 
 _word = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -63,6 +69,8 @@ class Scanner:
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for k, v in templates.items()}
         self.size = {k: len(self.alone.compress(v.lower().encode())) for k, v in templates.items()}
         self.candidate = re.compile(CANDIDATE)
+        self.counts = {k: Counter(v) for k, v in self.words.items()}
+        self.most = {k: int(most_different * len(v)) for k, v in self.words.items()}
 
     @classmethod
     def of(cls, templates: dict[str, str], most_different: float) -> "Scanner":
@@ -71,63 +79,82 @@ class Scanner:
             _scanners[key] = cls(templates, most_different)
         return _scanners[key]
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the bytes that they save of the compressed block, as a share of their own compressed size."""
+    def saved(self, name: str, block: str) -> float:
+        """The bytes that a template saves of the compressed block, as a share of its own compressed size."""
         data = block.lower().encode("utf-8", "replace")
-        size = len(self.alone.compress(data))
-        saved = [((size - len(c.compress(data))) / self.size[k], k) for k, c in self.given.items()]
-        return sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
+        return (len(self.alone.compress(data)) - len(self.given[name].compress(data))) / self.size[name]
 
     def difference(self, name: str, words: list[str]) -> tuple[int, int, int]:
-        """Words that differ, and the first and last word of the block that belong to the template; -1, if none do."""
+        """The least number of words that differ, and the first and last word of the block that belong to the template; -1, if none do."""
         own = self.words[name]
-        same = [m for m in SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return len(own), -1, -1
-        first, last = same[0].b, same[-1].b + same[-1].size - 1
-        matched = sum(m.size for m in same)
-        return (len(own) - matched) + (last - first + 1 - matched), first, last
+        # cost and first word that agrees, of the template's words so far against words that end here
+        row = [(0, -1)] * (len(words) + 1)
+        for i, x in enumerate(own, 1):
+            new = [(i, -1)]
+            for j, w in enumerate(words):
+                if x == w:
+                    n, first = row[j]
+                    new.append((n, j if first < 0 else first))
+                else:
+                    (n, first), (m, other) = row[j + 1], new[j]
+                    new.append((n + 1, first) if n <= m else (m + 1, other))
+            row = new
+        last = min(range(len(row)), key=lambda j: row[j][0])
+        n, first = row[last]
+        return (n, first, last - 1) if first >= 0 else (len(own), -1, -1)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(template, start, end, words that differ, share saved) of every notice, in order of place."""
+        if not text or not (hits := [m.start() for m in self.candidate.finditer(text)]):
+            return []
+        places = [m.span() for m in _word.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        starts = [a for a, _ in places]
+        hits = sorted({max(0, bisect_right(starts, at) - 1) for at in hits}) if words else []
+        known = {k: [0, *accumulate(w in own for w in words)] for k, own in self.counts.items()} if hits else {}
+        taken: list[tuple[int, int]] = []  # words of confirmed notices, in order
+        tried: dict[tuple[str, int, int], tuple | None] = {}
+
+        def tested(name: str, lo: int, hi: int):
+            need, total = len(self.words[name]) - self.most[name], known[name]
+            if total[hi] - total[lo] < need or (self.counts[name] & Counter(words[lo:hi])).total() < need:
+                return None
+            saved = self.saved(name, text[places[lo][0] : places[hi - 1][1]])
+            n, first, last = self.difference(name, words[lo:hi])
+            return (n - len(self.words[name]), -saved, name, lo + first, lo + last + 1, n) if first >= 0 and n <= self.most[name] else None
+
+        def best(hit: int):
+            """The best notice in the words around the hit that no confirmed one has taken."""
+            k = bisect_left(taken, (hit + 1,))
+            after, before = taken[k][0] if k < len(taken) else len(words), taken[k - 1][1] if k else 0
+            found = []
+            for name, own in self.words.items():
+                reach = len(own) + self.most[name]
+                key = name, max(before, hit - reach), min(after, hit + reach + 1)
+                if key not in tried:
+                    tried[key] = tested(*key)
+                if tried[key]:
+                    found.append(tried[key])
+            return min(found, default=None)
+
+        heap = [(x, hit) for hit in hits if (x := best(hit))]
+        heapq.heapify(heap)
         out: list[tuple[str, int, int, int, float]] = []
-        if not text or not self.candidate.search(text):
-            return out
-        starts = [0] + [m.end() for m in re.finditer("\n", text)]
-        ends = [s - 1 for s in starts[1:]] + [len(text)]
-        done = 0
-        for i, (a, b) in enumerate(zip(starts, ends)):
-            todo = [(max(a, done), b)]
-            while todo:
-                at, to = todo.pop()
-                if at >= to or not self.candidate.search(text, at, to):
-                    continue
-                found = self._best(text, at, to, ends[i + 1 :] if to == b else [])
-                if found:
-                    out.append(found)
-                    done = max(done, found[2])
-                    todo += [(at, found[1]), (found[2], to)]
+        while heap:
+            (_, saved, name, first, end, n), hit = heapq.heappop(heap)
+            k = bisect_left(taken, (end,))
+            if k and taken[k - 1][1] > first:  # a better one has some of its words
+                k = bisect_left(taken, (hit + 1,))
+                if not (k and taken[k - 1][1] > hit) and (x := best(hit)):
+                    heapq.heappush(heap, (x, hit))
+                continue
+            insort(taken, (first, end))
+            out.append((name, places[first][0], places[end - 1][1], n, -saved))
+            # a hit beside it may have another notice in the same window
+            if not first <= hit < end and (x := best(hit)):
+                heapq.heappush(heap, (x, hit))
         return sorted(out, key=lambda x: x[1])
 
-    def _best(self, text: str, at: int, to: int, later: list[int]):
-        """The first template by rank that is confirmed in text[at:to] or, if it is longer, up to one of the later line ends."""
-        blocks: dict[int, list[tuple[str, int, int]]] = {}
-        best = []
-        for name, own in self.words.items():
-            end, lines = to, iter(later)
-            while len(_word.findall(text, at, end)) < len(own) and (end := next(lines, -1)) >= 0:
-                pass
-            end = end if end >= 0 else later[-1] if later else to
-            if end not in blocks:
-                blocks[end] = [(m[0].lower(), m.start(), m.end()) for m in _word.finditer(text, at, end)]
-                best += [(saved, n, end) for saved, n in self.ranked(text[at:end])]
-        for saved, name, end in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
-            words = blocks[end]
-            n, first, last = self.difference(name, [w for w, _, _ in words])
-            if first >= 0 and n <= self.most_different * len(self.words[name]):
-                return name, words[first][1], words[last][2], n, saved
-        return None
-
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, most_different: float = MOST_DIFFERENT) -> DataFrame:
     """doc_id, license, start, end (code points), n_different, saved: a row for each notice found."""

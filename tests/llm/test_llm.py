@@ -418,6 +418,21 @@ def test_licenses(docs, none):
     assert text[a:b] == "Released under the MIT License" and saved > license_scan.LEAST_SAVED
 
 
+@pytest.mark.parametrize("n_words", [100, 300, 600, 1000, 3000, 20000])
+def test_unaltered_notice_in_a_long_line(n_words):
+    s, rng = license_scan.Scanner(), random.Random(n_words)
+    for name, template in license_scan.TEMPLATES.items():
+        words = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
+        words.insert(rng.randrange(n_words), template)
+        assert [(x[0], x[3]) for x in s.scan(" ".join(words))] == [(name, 0)]
+
+
+def test_notices_beside_each_other():
+    s, names = license_scan.Scanner(), list(license_scan.TEMPLATES)
+    text = " ".join(license_scan.TEMPLATES[k] for k in names + ["MIT", "MIT"])
+    assert [(x[0], x[3]) for x in s.scan(text)] == [(k, 0) for k in names + ["MIT", "MIT"]]
+
+
 # --- 10 html ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
