@@ -50,8 +50,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words that make the text around them a candidate.
-CANDIDATE = r"(?i)licen[cs]e|copyright|redistribut|permission|public domain|\bgnu\b|creative commons|\bcc[ -]by\b|free software|apache|mozilla"
+#: Words that make the text around them a candidate; a line may end inside a phrase.
+CANDIDATE = r"(?i)licen[cs]e|copyright|redistribut|permission|public[\W_]+domain|\bgnu\b|creative[\W_]+commons|\bcc[\W_]+by\b|free[\W_]+software|apache|mozilla"
 #: Share of a template's words that may differ.
 MOST_DIFFERENT = 0.1
 #: Share of its own compressed size that a template saves of a short block with its unaltered notice, at least; it ranks and rejects nothing.

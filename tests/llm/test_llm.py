@@ -433,6 +433,19 @@ def test_notices_beside_each_other():
     assert [(x[0], x[3]) for x in s.scan(text)] == [(k, 0) for k in names + ["MIT", "MIT"]]
 
 
+def test_notices_that_wrap(spark):
+    s = license_scan.Scanner()
+    assert [(x[0], x[3]) for x in s.scan("Some words of prose before it. Released under\nthe MIT License.")] == [("MIT", 0)]
+    rows = []
+    for name, template in license_scan.TEMPLATES.items():
+        words = template.split()
+        for k in range(1, len(words)):
+            for gap in ("\n", "\r\n", "\n# "):
+                rows.append((len(rows), "Some words of prose before it. " + " ".join(words[:k]) + gap + " ".join(words[k:]) + " Some behind it.", name))
+    got = {(r.doc_id, r.license, r.n_different) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, license string")).collect()}
+    assert got == {(i, name, 0) for i, _, name in rows}
+
+
 # --- 10 html ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
