@@ -339,6 +339,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_a_shuffled_path(spark):
+    for n, step in ((3000, 1), (1000, 4)):  # step: links to so many on either side
+        rng = random.Random(n)
+        ids = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        edges = [(ids[i], ids[i + k]) for i in range(n) for k in range(1, step + 1) if i + k < n]
+        got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert sorted(r.node for r in got) == sorted(ids) and {r.component for r in got} == {min(ids)}
+
+
+def test_join_of_a_chain_of_revisions(spark):
+    words = [f"w{i}" for i in range(420)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(250)]
+    random.Random(6).shuffle(rows)
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=96).collect()
+    assert len(got) == 250 and {r.component_id for r in got} == {0}
+
+
 # --- 7 token counts ---
 
 
