@@ -2,13 +2,15 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by
 their container (navigation, adverts and the like are dropped; an article's own
-blocks are kept), link density, stop-word density and length; short ones, and
-middling ones, stay undecided. The second pass gives an undecided block the
+blocks are kept, save lists and blocks of links alone), link density, stop-word
+density and length; short ones, and middling ones, stay undecided. The second pass gives an undecided block the
 label of its nearest decided neighbours: theirs where both sides agree, else
 that of the nearer one, the one before on a tie.
 
 Edge cases: a null or empty page, and one without kept blocks, has an empty
-text; unclosed and misnested tags end with their container; a "<" that opens no
+text; class names never drop html, body, main, an article or what holds one
+(comments that are articles, and articles in a marked part of another, go with
+that part); unclosed and misnested tags end with their container; a "<" that opens no
 tag is text; repeated rows give equal texts; an empty table yields an empty
 one; pages of any length are read whole; null page_id and url are kept.
 """
@@ -37,6 +39,12 @@ RAW = "script|style|textarea|title|template|svg|noframes|xmp"
 BOILER = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies footer copyright pagination pager toolbar complementary contentinfo search skip widget".split())
 #: Parts of class, id and role that mark the article.
 ARTICLE = frozenset("article articlebody post entry story main content".split())
+#: First parts of names that say what an element has around it, not what it is.
+BESIDE = frozenset("has with no without".split())
+#: Elements that no class, id or role makes boilerplate.
+NEVER = frozenset("html body main article".split())
+#: Elements whose text is prose, however much of it is links.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption td th dt dd li address summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 STOP_WORDS = frozenset(
     "the of and to in is it that was for on are as with they be at this have from or by not but what all were when we there can an your which their if will do "
@@ -58,37 +66,64 @@ class Block:
     links: int  # characters inside links
     inside: str  # "boiler", "article" or ""
     label: str = ""
+    n_links: int = 0
+    of: str = ""  # the nearest element around it that holds blocks
+    in_list: int = -1  # place of the nearest list around it
 
 
-def _container(name: str, rest: str, inside: str) -> str:
-    """What an element's content is inside of."""
+@dataclass(eq=False)
+class Marked:
+    """Boilerplate by class, id or role alone, until an article opens in it."""
+
+    otherwise: str | Marked
+    opened: bool = False
+
+
+def _settled(inside: str | Marked) -> str:
+    while isinstance(inside, Marked):
+        if not inside.opened:
+            return "boiler"
+        inside = inside.otherwise
+    return inside
+
+
+def _container(name: str, rest: str, inside: str | Marked, nested: bool = False) -> str | Marked:
+    """What an element's content is inside of; nested: whether an article element is around it."""
     if inside == "boiler":
         return inside
     if name in DROPPED or _hidden.search(rest):
         return "boiler"
-    if name == "header" and inside != "article":
+    if name == "header" and _settled(inside) != "article":
         return "boiler"
-    marks = {p.lower() for m in _marks.finditer(rest) for p in _parts.split(m[2] or m[3] or m[4] or "")} if "=" in rest else set()
-    if marks & BOILER:
-        return "boiler"
-    if name in ("article", "main") or marks & ARTICLE and name in ("div", "section", "td"):
+    marks = {p for m in _marks.finditer(rest) for w in (m[2] or m[3] or m[4] or "").lower().split() if (own := _parts.split(w))[0] not in BESIDE for p in own} if "=" in rest else set()
+    if name in ("article", "main"):
+        if _settled(inside) == "boiler":
+            if name == "article" and (nested or marks & BOILER and not marks & ARTICLE):
+                return inside
+            while isinstance(inside, Marked):
+                inside.opened, inside = True, inside.otherwise
         return "article"
-    return inside
+    own = "article" if marks & ARTICLE and name in ("div", "section", "td") and _settled(inside) != "boiler" else inside
+    return Marked(own) if marks & BOILER and name not in NEVER else own
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks with text, in order, undecided."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    parts: list[tuple[str, bool]] = []
-    inside, in_link = "", False
+    stack: list[tuple[str, str | Marked, int]] = []
+    parts: list[tuple[str, int]] = []  # text and the place of the link that it is in, or 0
+    states: list[str | Marked] = []
+    inside, in_link = "", 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 links = sum(len("".join(html.unescape(p).split())) for p, link in parts if link)
-                out.append(Block(text, links, inside))
+                of = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "")
+                in_list = next((at for n, _, at in reversed(stack) if n in ("ul", "ol")), -1)
+                out.append(Block(text, links, "", n_links=len({link for p, link in parts if link and not p.isspace()}), of=of, in_list=in_list))
+                states.append(inside)
             parts.clear()
 
     page, at = page or "", 0
@@ -100,9 +135,9 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         if name == "br":
-            parts.append((" ", False))
+            parts.append((" ", 0))
         if name == "a":
-            in_link = not m["end"]
+            in_link = 0 if m["end"] else m.end()
         if name in BLOCKS:
             flush()
         if name in VOID:
@@ -112,8 +147,8 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if name == "p" and stack and stack[-1][0] == "p":
                 inside = stack.pop()[1]
-            stack.append((name, inside))
-            new = _container(name, m["rest"], inside)
+            new = _container(name, m["rest"], inside, name == "article" and any(n == name for n, _, _ in stack))
+            stack.append((name, inside, m.start()))
             if new != inside and parts:
                 flush()
             inside = new
@@ -127,15 +162,23 @@ def blocks(page: str | None) -> list[Block]:
     if at < len(page):
         parts.append((page[at:], in_link))
     flush()
+    for b, state in zip(out, states):
+        b.inside = _settled(state)
     return out
 
 
 def decide(found: list[Block]) -> list[Block]:
     """Sets the label of each block: good or bad."""
     article = any(b.inside == "article" for b in found)
-    for b in found:
-        density = b.links / max(1, len(b.text) - b.text.count(" "))
-        if b.inside == "boiler" or article and b.inside != "article" or density > MOST_LINKS:
+    linked = [b.links / max(1, len(b.text) - b.text.count(" ")) > MOST_LINKS for b in found]
+    lists: dict[int, list[bool]] = {}
+    for b, much in zip(found, linked):
+        if b.in_list >= 0:
+            lists.setdefault(b.in_list, []).append(much)
+    for b, much in zip(found, linked):
+        if much and article:  # an article's prose may be links; a list of nothing else, and bare links in a row, are navigation
+            much = all(lists[b.in_list]) and len(lists[b.in_list]) > 1 if b.in_list >= 0 else b.of not in PROSE and b.n_links > 1
+        if b.inside == "boiler" or article and b.inside != "article" or much:
             b.label = "bad"
         elif article:
             b.label = "good"

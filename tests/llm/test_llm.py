@@ -482,6 +482,27 @@ def test_blocks_without_an_article():
     assert html_extract.main_text(page).split("\n") == [good.strip(), "Short one.", good.strip()]
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>{}</article></body>", "<html class='no-ads'><body><article>{}</article></body></html>", "<main class='search-page'>{}</main>",
+    "<article class='post has-comments'>{}</article>", "<div class='content with-sidebar'><article>{}</article></div>", "<div class='content with-sidebar'>{}<article><p>More.</p></article></div>",
+    "<div class='content with-sidebar'>{}</div>", "<div id=widget><div class='social'><main>{}</main></div></div>", "<div class='menu'><p>No</p></div><div class='with-menu'><div><article>{}</article></div></div><div class='ad'>No</div>",
+])
+def test_class_names_do_not_drop_an_article(page):
+    assert "First paragraph.\nSecond one." in html_extract.main_text(page.format("<p>First paragraph.</p><div class='sidebar'><p>No</p></div><p>Second one.</p>")).replace("\nMore.", "")
+    assert "No" not in html_extract.main_text(page.format("<p>First paragraph.</p><div class='sidebar'><p>No</p></div><p>Second one.</p>"))
+
+
+def test_boilerplate_that_holds_articles_goes():
+    page = "<main><article><p>Text.</p><div class='related'><article><p>Teaser</p></article></div></article><ol class='comments'><li><article class='comment'><p>Me</p></article></ol><aside><article><p>Aside</p></article></aside></main>"
+    assert html_extract.main_text(page) == "Text."
+
+
+def test_links_in_an_article():
+    page = "<article><p><a href=x>A whole sentence that is a link.</a></p><p>See <a href=x>this long page</a>, <a href=y>that</a>.</p><ul><li><a href=x>Only a link</a></li><li>An item with words.</li></ul>"
+    nav = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><div><a href=x>Back</a> | <a href=y>Next</a></div></article>"
+    assert html_extract.main_text(page + nav).split("\n") == ["A whole sentence that is a link.", "See this long page, that.", "Only a link", "An item with words."]
+
+
 def test_extract(spark):
     schema = "page_id bigint, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (None, None, None, None), (3, "x", "<p>" + "the and of " * 20000, None)], schema)
