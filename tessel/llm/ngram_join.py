@@ -23,7 +23,8 @@ whole sets.
 
 Edge cases: a null or empty text, and one without words, has an empty set and
 is a component of its own; fewer words than `width` make one token; repeated
-rows share a class; an empty table yields an empty one; a null doc_id is kept
+rows share a class; an empty table yields an empty one; rows with one doc_id and
+different texts are compared each; a null doc_id is kept, links like any other
 and is never the id of a component unless it has no other member.
 """
 
@@ -124,12 +125,12 @@ def _place(tokens: np.ndarray, n_shards: int) -> np.ndarray:
 def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Two kinds of rows from one scan, told apart by shard.
 
-    shard null: doc_id, n (set size), cls (null: empty set), sketch of every
-    document. Else blob: a task's tokens of this shard with eight bits of their
+    shard null: doc_id, h (hash of the text), n (set size), cls (null: empty
+    set), sketch of every document. Else blob: a task's tokens of this shard with eight bits of their
     class, as packed numbers.
     """
     n_shards = shards(docs.sparkSession)
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "sketch": pa.binary(), "shard": pa.int32(), "blob": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "h": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "sketch": pa.binary(), "shard": pa.int32(), "blob": pa.binary()}
 
     def rows_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()], list(kinds))
@@ -159,7 +160,7 @@ def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     if lately.new(cls):
                         held.append((_place(tokens, n_shards) << np.uint64(8)) | np.uint64(cls & 255))
                         total += len(tokens)
-                yield rows_of(len(n), doc_id=part.column(0), n=n, cls=classes, sketch=sketches)
+                yield rows_of(len(n), doc_id=part.column(0), h=part.column(2), n=n, cls=classes, sketch=sketches)
                 if total > 1_500_000:
                     yield tokens_out()
                     held, total = [], 0
@@ -167,7 +168,7 @@ def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield tokens_out()
         released()
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n bigint, cls bigint, sketch binary, shard int, blob binary")
+    return id_text(docs).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, h bigint, n bigint, cls bigint, sketch binary, shard int, blob binary")
 
 
 def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -324,7 +325,7 @@ def shared_keys_sorted(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, cls bigint, n int, r int, leader bigint, leader_n int, leader_r int")
 
 
-#: Documents to compare whose ids are broadcast, 8 bytes each; where there are more, texts are joined by shuffle.
+#: Documents to compare whose ids and hashes are broadcast, 16 bytes each; where there are more, texts are joined by shuffle.
 MOST_WANTED = 500_000
 
 
@@ -346,43 +347,43 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b: classes) that link; classes: cls, doc (a document that has it)."""
-    wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc"), "cls"), "wanted")
+    """Those of pairs (a, b: classes) that link; classes: cls, doc, h (a document that has it, whose id may be null or another's too, and the hash of its text)."""
+    wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc", "h"), "cls"), "wanted")
+    same = lambda x, y: x.doc.eqNullSafe(y.doc) & (x.h == y.h)
 
     def compress(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, lately = zstandard.ZstdCompressor(level=1), _Lately()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in rows.column(1).to_pylist()], pa.binary())], ["doc", "z"])
+                rows = [r for r in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)) if lately.new(r[::2])]
+                z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for _, t, _ in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(z, pa.binary())], ["doc", "h", "z"])
 
-    own = id_text(docs)
+    own = id_text(docs).withColumnRenamed("doc_id", "doc").withColumn("h", F.xxhash64("text"))
     if wanted.count() <= MOST_WANTED:
-        own = own.join(F.broadcast(wanted.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    texts = own.mapInArrow(compress, "doc bigint, z binary")
-    texts = written(wanted.join(texts, "doc").select("cls", "z"), "texts", "none")
+        few = wanted.select("doc", "h").distinct()
+        own = own.join(F.broadcast(few), same(own, few), "left_semi")
+    texts = own.mapInArrow(compress, "doc bigint, h bigint, z binary")
+    texts = written(wanted.join(texts, same(wanted, texts)).select("cls", "z"), "texts", "none")
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
 
     def compare(batches):
         rare_collections()
-        known: dict[int, np.ndarray | None] = {}
+        known: dict[int, np.ndarray] = {}
         table = WordHashes()
 
         def tokens(cls, z):
             if cls not in known:
                 if len(known) > 2000:
                     known.clear()
-                got = token_set(zstandard.decompress(z).decode("utf-8", "surrogatepass"), width, table)
-                known[cls] = got if class_of(got) == cls else None  # else another row has this doc_id too
+                known[cls] = token_set(zstandard.decompress(z).decode("utf-8", "surrogatepass"), width, table)
             return known[cls]
 
         for batch in batches:
             out = []
             for a, b, za, zb in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = tokens(a, za), tokens(b, zb)
-                if x is None or y is None:
-                    continue
                 both_ = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both_ >= percent * (len(x) + len(y) - both_):
                     out.append((a, b))
@@ -396,11 +397,13 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, so that linked sets share two tokens")
     scanned = written(gathered(docs, width), "sets")
-    signed = scanned.filter("shard is null").select("doc_id", "n", "cls", "sketch")
+    signed = scanned.filter("shard is null").select("doc_id", "h", "n", "cls", "sketch")
     often = frequent_tokens(scanned.filter("shard is not null").select("shard", "blob"), frequent)
     keys = written(index(docs, often, width, percent, combined), "keys")
     members = written(shared_keys_sorted(keys.filter("not hot")).unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
-    classes = written(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("size"), F.max("sketch").alias("sketch")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("l")  # null ids last
+    classes = signed.filter("cls is not null").groupBy("cls").agg(first, F.max("n").alias("size"), F.max("sketch").alias("sketch"))
+    classes = written(classes.select("cls", F.col("l.doc_id").alias("doc"), F.col("l.h").alias("h"), "size", "sketch"), "classes")
 
     stars = members.filter((F.col("cls") != F.col("leader")) & may_link((F.col("n"), F.col("r")), (F.col("leader_n"), F.col("leader_r")), percent))
     stars = stars.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()

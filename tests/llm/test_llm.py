@@ -348,6 +348,16 @@ def test_components_of_a_shuffled_path(spark):
         assert sorted(r.node for r in got) == sorted(ids) and {r.component for r in got} == {min(ids)}
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_join_of_repeated_and_null_ids(spark, turned):
+    text = lambda k, a, b: " ".join(f"{k}{i}" for i in range(a, b))
+    rows = [(1, text("a", 0, 60)), (1, text("b", 0, 60)), (2, text("a", 0, 61)), (3, text("b", 0, 61)), (1, text("c", 0, 60)), (4, text("c", 0, 61))]
+    rows += [(5, text("n", 0, 60)), (None, text("n", 4, 62)), (6, text("n", 6, 66)), (None, text("m", 0, 60)), (None, text("m", 0, 61)), (7, text("m", 0, 62))]
+    rows = rows[::-1] if turned else rows
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert Counter(map(tuple, ngram_join.linked(df).collect())) == plain_components(rows, 3, 90)
+
+
 def test_join_of_a_chain_of_revisions(spark):
     words = [f"w{i}" for i in range(420)]
     rows = [(i, " ".join(words[i : i + 60])) for i in range(250)]
