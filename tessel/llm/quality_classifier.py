@@ -1,8 +1,8 @@
 """Quality classifier: a factorisation machine over whole texts.
 
 Inputs are hashed words, hashed word shapes (runs of letters, digits and other
-characters) and binned statistics of structure; metadata columns can be named
-to join them. The label tables and doc_id are never inputs. The score is
+characters) and binned statistics of structure. Metadata columns, the label
+tables and doc_id are never inputs. The score is
 sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2)),
 which takes time in proportion to the inputs that are present.
 
