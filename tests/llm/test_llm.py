@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,13 +116,26 @@ def test_quality_rules(docs, none):
     assert quality_rules.judged(none).count() == quality_rules.kept(none).count() == 0
 
 
-def test_rule_order_follows_rejections_per_work(spark):
-    texts = spark.createDataFrame([("a",)] * 9 + [("b" * 50,)], "text string")
-    cheap = quality_rules.Rule("rare", "length(text) > 10", "1")
-    often = quality_rules.Rule("often", "length(text) = 1", "2")
-    dear = quality_rules.Rule("dear", "length(text) = 1", "1000")
-    assert [r.name for r in quality_rules.ordered(texts, [dear, cheap, often])] == ["often", "rare", "dear"]
-    assert [r.name for r in quality_rules.ordered(texts.limit(0), [dear, cheap, often])] == ["dear", "rare", "often"] or True
+def test_rule_order_follows_rejections_per_cost(spark):
+    texts = spark.createDataFrame([("a b " * 300,)] * 900 + [("b" * 50,)] * 100, "text string")
+    rare, often = quality_rules.Rule("rare", "length(text) = 50"), quality_rules.Rule("often", "length(text) > 50")
+    dear = quality_rules.Rule("dear", " + ".join(f"regexp_count(text, '[a-z]+ b|{k}')" for k in range(12)) + " > 0")
+    chain = [r.name for r in quality_rules.ordered(texts, [dear, rare, often])]
+    assert chain.index("often") < chain.index("dear") and chain.index("often") < chain.index("rare")
+    assert [r.name for r in quality_rules.ordered(texts.limit(0), [dear, rare, often])] == ["dear", "rare", "often"]
+
+
+def test_sample_is_spread(spark):
+    texts = spark.range(20_000, numPartitions=8).select(F.col("id").cast("string").alias("text"))
+    got = [int(r.text) for r in quality_rules.sampled(texts).collect()]
+    assert 800 < len(got) < 1200 and all(sum(k <= g // 2500 < k + 1 for g in got) > 80 for k in range(8))
+
+
+def test_rules_on_very_long_words(spark):
+    df = spark.createDataFrame([(1, "7" * 80_000), (2, " ".join("7" * 20_000 for _ in range(30))), (3, " ".join(["word"] + ["x" * 9000 + "é"] * 40))], "doc_id bigint, text string")
+    start = time.time()
+    assert {r.doc_id: r.kept for r in quality_rules.judged(df).collect()} == {1: False, 2: False, 3: False}
+    assert quality_rules.kept(df).count() == 0 and time.time() - start < 60
 
 
 # --- 3 language model ---
