@@ -77,9 +77,20 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def shards(spark: SparkSession) -> int:
-    """Number of hash shards for a shuffle: what the session is set to, which follows the size of the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input, as stored, that one hash shard answers for at most.
+SHARD_BYTES = 32 << 20
+MOST_SHARDS = 1 << 20
+
+
+def shards(docs: DataFrame) -> int:
+    """Number of hash shards for a shuffle of what docs hold: spark.sql.shuffle.partitions, or more where the input is larger than SHARD_BYTES each.
+
+    The size is the optimizer's estimate, which for files is their length; where
+    it knows none (an estimate of a petabyte or more) the setting alone counts.
+    """
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_SHARDS, max(n, -(-size // SHARD_BYTES) if size < 1 << 50 else 0))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -126,7 +126,7 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("_key", F.coalesce("doc_id", F.lit(LEAST)))
-    n = shards(spark) * per_partition
+    n = shards(docs) * per_partition
     cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))  # ascending; a key belongs to the slot of the first cut that isn't under it
 
@@ -147,7 +147,7 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     own = F.struct(F.col("slot").alias("slot"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("before").alias("slot"), F.lit(True).alias("tail"))
     rows = rows.select("doc_id", "text", F.explode(F.when(F.col("_key") == F.col("first"), F.array(own, tail)).otherwise(F.array(own))).alias("at"))
-    dealt = rows.select("doc_id", "text", "at.*").repartition(shards(spark), "slot")
+    dealt = rows.select("doc_id", "text", "at.*").repartition(shards(docs), "slot")
     return dealt.sortWithinPartitions("slot", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 

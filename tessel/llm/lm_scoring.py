@@ -249,7 +249,7 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
     held_out: a boolean Column of the documents that the model must not learn from.
     """
     spark = docs.sparkSession
-    n_shards = shards(spark)
+    n_shards = shards(docs)
     gathered = written(blocks_of(docs, n_shards, held_out), "blocks")
     # dealt once; lost parts are read again from the written table
     payload = gathered.filter("shard = -1").select("block", "data").repartition(n_shards, "block").persist(StorageLevel.DISK_ONLY)

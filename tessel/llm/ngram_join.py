@@ -8,24 +8,32 @@ Prefixes. All tokens are put in one order: rare ones first, each class of
 frequency by hash. Two sets that link share so many tokens that the first k
 they share are within the first n - ceil(percent * n / 100) + k of either. If
 the first one they share is rare, it is in the prefix for k = 1 of both, and a
-single-token key finds the pair. Otherwise all they share are frequent, and a
-key of two frequent tokens from the prefix for k = 2 finds it. A token is
-frequent when FREQUENT classes have it, counted over all documents in hash
-shards. Sets whose prefix is longer than COMBINED would have too many
-combinations: for these, and for those near that bound, frequent tokens are
-keys by themselves. Which keys are used changes the cost and never the result.
+single-token key finds the pair. Otherwise all they share are frequent. These
+are dealt by hash to g groups; of the first g + 1 that both have two fall into
+one group, so a key of two frequent tokens of one group, from the prefix for
+k = g + 1, finds the pair. g grows with the set's size (1 for short ones), so
+that keys stay in proportion to the prefix however long a set is; sets near
+the next size's bound make that one's keys too. A token is frequent when
+FREQUENT classes have it, counted over all documents in hash shards. Which
+tokens count as frequent changes the cost and never the result.
 
 Verification. The members of a key are first compared with its least member.
 Links found that way join most of a large group of near copies at the price of
 one comparison each; then only pairs of a key that are still in different
-components are compared. Texts of the documents that take part are compared by
-whole sets.
+components are compared. Where a key still has many such members, they are
+dealt on by bands of their sketches (parities of tokens by hash): sets that
+link differ in few tokens, so that of one band more than that one is equal in
+both. Their pairs are found by sizes and places first, so that members of no
+two sizes that could link meet. Texts of the documents that take part are
+compared by whole sets.
 
 Edge cases: a null or empty text, and one without words, has an empty set and
-is a component of its own; fewer words than `width` make one token; repeated
-rows share a class; an empty table yields an empty one; rows with one doc_id and
-different texts are compared each; a null doc_id is kept, links like any other
-and is never the id of a component unless it has no other member.
+is a component of its own; fewer words than `width` make one token; very long
+texts are one set like any other; repeated rows share a class; an empty table
+yields an empty one; rows with one doc_id and different texts are compared
+each; a null doc_id is kept, links like any other and is never the id of a
+component unless it has no other member; ties of frequency and of the least
+member go by hash; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,10 +52,13 @@ WIDTH = 3
 PERCENT = 90
 #: A token of so many classes is frequent.
 FREQUENT = 16
-#: Prefixes up to this length use combinations of frequent tokens.
-COMBINED = 64
-#: Frequent tokens that are broadcast, at 8 bytes each; where there are more, FREQUENT is doubled until they fit.
+#: Frequent tokens that are broadcast, at 8 bytes each. Where there are more, FREQUENT is doubled, to CLASSES at
+#: most; where there are still more, a share of them by hash is treated as frequent.
 MOST_FREQUENT = 4_000_000
+#: Values that classes are counted by: a token's count goes no further.
+CLASSES = 1 << 12
+#: Members of a key, left in different components, that meet each other directly; more go through bands.
+HOT = 64
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -92,13 +103,47 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-#: Bits of the sketch that tells most unlike sets apart.
-SKETCH = 2048
+#: Bits of the smallest sketch, and of a band at least.
+SKETCH, BAND = 2048, 12
 
 
-def sketch_of(tokens: np.ndarray) -> bytes:
+def size_class(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def size_classes(n: int, percent: int) -> list[int]:
+    """A set's power of two, and the next if a set of that size can link with it: of any two that link, one of the larger's is among the other's."""
+    c = size_class(n)
+    return [c, c + 1] if 100 * n >= percent << (c + 1) else [c]
+
+
+def most_apart(c: int, percent: int) -> int:
+    """Tokens in which two sets that link can differ, of sizes below that of class c + 1."""
+    return (100 - percent) * (1 << (c + 2)) // (100 + percent)
+
+
+def sketch_bits(c: int, percent: int) -> int:
+    """Bits of the sketches of size class c: enough for bands of the next class."""
+    return max(SKETCH, 1 << (BAND * most_apart(c + 1, percent)).bit_length())
+
+
+def sketch_of(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
     """Parities of how many tokens fall on each bit: two sketches differ in no more bits than their sets in tokens."""
-    return np.packbits(np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    bits = sketch_bits(size_class(len(tokens)), percent)
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches as the smaller sketches of the same sets; size: bytes."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, size), 1) if sketches.shape[1] > size else sketches
+
+
+def bands_of(sketch: bytes, c: int, percent: int) -> list[int]:
+    """Hashes of a sketch's bands for size class c: one more than the tokens that can differ, so one is equal in both."""
+    bits = np.unpackbits(folded(np.frombuffer(sketch, np.uint8)[None], sketch_bits(c - 1, percent) // 8)[0])
+    n = most_apart(c, percent) + 1
+    cuts = np.linspace(0, len(bits), n + 1).astype(np.int64)
+    return [xxhash.xxh3_64_intdigest(np.packbits(bits[x:y]).tobytes(), (c << 32) + i) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
 
 
 class _Lately:
@@ -122,14 +167,13 @@ def _place(tokens: np.ndarray, n_shards: int) -> np.ndarray:
     return ((tokens >> np.uint64(40)) % np.uint64(n_shards) << _S32) | (tokens & np.uint64(0xFFFFFFFF))
 
 
-def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def gathered(docs: DataFrame, n_shards: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Two kinds of rows from one scan, told apart by shard.
 
     shard null: doc_id, h (hash of the text), n (set size), cls (null: empty
-    set), sketch of every document. Else blob: a task's tokens of this shard with eight bits of their
+    set), sketch of every document. Else blob: a task's tokens of this shard with twelve bits of their
     class, as packed numbers.
     """
-    n_shards = shards(docs.sparkSession)
     kinds = {"doc_id": pa.int64(), "h": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "sketch": pa.binary(), "shard": pa.int32(), "blob": pa.binary()}
 
     def rows_of(rows: int, **columns) -> pa.RecordBatch:
@@ -142,9 +186,9 @@ def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         def tokens_out():
             values = distinct_sorted(np.concatenate(held))
             held.clear()
-            shard = (values >> np.uint64(40)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-            rows = [(s, packed(values[a:b] & np.uint64((1 << 40) - 1))) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            shard = (values >> np.uint64(44)).astype(np.int64)
+            cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            rows = [(int(shard[a]), packed(values[a:b] & np.uint64((1 << 44) - 1))) for a, b in zip(cuts, cuts[1:])]
             return rows_of(len(rows), shard=[r[0] for r in rows], blob=[r[1] for r in rows])
 
         for batch in batches:
@@ -156,9 +200,9 @@ def gathered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     cls = class_of(tokens)
                     n.append(len(tokens))
                     classes.append(cls)
-                    sketches.append(sketch_of(tokens) if cls is not None else None)
+                    sketches.append(sketch_of(tokens, percent) if cls is not None else None)
                     if lately.new(cls):
-                        held.append((_place(tokens, n_shards) << np.uint64(8)) | np.uint64(cls & 255))
+                        held.append((_place(tokens, n_shards) << np.uint64(12)) | np.uint64(cls & (CLASSES - 1)))
                         total += len(tokens)
                 yield rows_of(len(n), doc_id=part.column(0), h=part.column(2), n=n, cls=classes, sketch=sketches)
                 if total > 1_500_000:
@@ -181,7 +225,7 @@ def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT, most: int = MOST
     def count(key, pdf):
         import pandas as pd
 
-        values = distinct_sorted(np.concatenate([unpacked(b) for b in pdf["blob"]])) >> np.uint64(8)
+        values = distinct_sorted(np.concatenate([unpacked(b) for b in pdf["blob"]])) >> np.uint64(12)
         starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
         tokens, n = values[starts], np.diff(np.r_[starts, len(values)])
         often = n >= frequent
@@ -190,9 +234,9 @@ def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT, most: int = MOST
     per_shard = written(blobs.groupBy("shard").applyInPandas(count, "shard int, tokens binary, n binary"), "frequent")
     floor = frequent
     level = lambda f: per_shard.agg(F.sum(_at_least(f)("n"))).first()[0] or 0
-    while level(floor) > most:
+    while (reached := level(floor)) > most and level(2 * floor):
         floor *= 2
-    keep = _over(floor)
+    keep = _over(floor, min(1.0, most / max(1, reached)))
     parts = [np.frombuffer(r[1], "<u4").astype(np.uint64) | (np.uint64(r[0]) << _S32) for r in per_shard.select("shard", keep("tokens", "n")).toLocalIterator()]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
@@ -205,12 +249,16 @@ def _at_least(floor: int):
     return how_many
 
 
-def _over(floor: int):
+def _over(floor: int, share: float):
     @F.pandas_udf("binary")
     def keep(tokens, n):
         import pandas as pd
 
-        return pd.Series([np.frombuffer(t, "<u4")[np.frombuffer(x, "<u2") >= floor].tobytes() for t, x in zip(tokens, n)])
+        out = []
+        for t, x in zip(tokens, n):
+            got = np.frombuffer(t, "<u4")[np.frombuffer(x, "<u2") >= floor]
+            out.append((got[(got.astype(np.uint64) * _M1 >> _S32) <= np.uint64(share * 0xFFFFFFFF)] if share < 1 else got).tobytes())
+        return pd.Series(out)
 
     return keep
 
@@ -232,31 +280,37 @@ class Frequent:
         return out
 
 
-def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT, combined: int = COMBINED) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys of rare tokens, and keys of frequent ones, by pairs or, in long prefixes, alone; each with its place in the order."""
+def n_groups(c: int, percent: int) -> int:
+    """Groups of frequent tokens for sets of size class c."""
+    return max(1, (1 << c) * (100 - percent) // 640)
+
+
+def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of rare tokens, and of pairs of frequent ones in one group; each with the number of tokens that its place in the order shows to be unshared."""
     n = len(tokens)
     first = n - -(-percent * n // 100) + 1
-    rare, common = tokens[~often], tokens[often]
-    places = len(rare) + np.arange(len(common))
-    f, hot = max(0, first + 1 - len(rare)), []
-    # sets that link are of like size: beside the bound both kinds are made, so that either side finds the other
-    if min(f, len(common)) > 1 and first <= 100 * combined // percent + 2:
-        i, j = np.triu_indices(min(f, len(common)), 1)
-        hot.append((mixed(common[i], common[j]), places[i]))
-    if first > combined:
-        hot.append((common[: max(0, f - 1)], places[: max(0, f - 1)]))
-    return [(rare[:first], np.arange(len(rare[:first]))), tuple(np.concatenate(x) for x in zip(*hot)) if hot else (common[:0], places[:0])]
-
-
-def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int = PERCENT, combined: int = COMBINED) -> DataFrame:
+    rare, common, hot = tokens[~often], tokens[often], [(tokens[:0], np.empty(0, np.int64))]
+    for g in sorted({n_groups(c, percent) for c in size_classes(n, percent)}):
+        few = common[: max(0, first + g - len(rare))]
+        of = (few >> np.uint64(17)) % np.uint64(g)
+        order = np.argsort(of, kind="stable")
+        few, of, place = few[order], of[order], len(rare) + order
+        for step in range(1, len(few)):
+            i = np.flatnonzero(of[step:] == of[:-step])
+            if not len(i):
+                break
+            # of the tokens before a pair's second one, each group has one at most that both sets have
+            hot.append((mixed(mixed(few[i], few[i + step]), np.uint64(g)), np.maximum(place[i + step] - g, 0)))
+    return [(rare[:first], np.arange(len(rare[:first]))), tuple(np.concatenate(x) for x in zip(*hot))]
+
+
+def index(docs: DataFrame, often: np.ndarray, n_shards: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, cls, n, r, hot (of frequent tokens): the prefix keys of every class; copies may repeat rows.
 
-    r: how many of the set's tokens come before the key's in the order. A pair
-    is found by the first token that both have, so where it is, none of these
-    is shared; elsewhere the pair may be passed over.
+    r: how many of the set's tokens are not shared where the key is the first
+    that both sets have; where it isn't, the pair may be passed over.
     """
-    spark = docs.sparkSession
-    n_shards, shared = shards(spark), spark.sparkContext.broadcast(often)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
         rare_collections()
@@ -270,7 +324,7 @@ def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int =
                     if not lately.new(cls):
                         continue
                     often_ = is_often(_place(tokens, n_shards))
-                    for hot, (got, places) in enumerate(prefix_keys(tokens, often_, percent, combined)):
+                    for hot, (got, places) in enumerate(prefix_keys(tokens, often_, percent)):
                         if len(got):
                             out.append((got, cls, len(tokens), places, bool(hot)))
                 if out:
@@ -283,7 +337,7 @@ def index(docs: DataFrame, often: np.ndarray, width: int = WIDTH, percent: int =
 
 
 def may_link(x, y, percent: int):
-    """Whether sets x and y, columns (n, r), can link if the key's is the first token that both have: all they share is at most what either has beside its r."""
+    """Whether sets x and y, columns (n, r), can link if the key is the first that both have: all they share is at most what either has beside its r."""
     most = F.least(x[0] - x[1], y[0] - y[1]).cast("bigint")
     return most * 100 >= (x[0] + y[0] - most) * percent
 
@@ -295,7 +349,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return rows.join(lead.select("key", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.r").alias("leader_r")), "key")
 
 
-def shared_keys_sorted(rows: DataFrame) -> DataFrame:
+def shared_keys_sorted(rows: DataFrame, n_parts: int) -> DataFrame:
     """The same of keys with few rows each, in one pass over sorted partitions."""
 
     def run(batches):
@@ -321,7 +375,7 @@ def shared_keys_sorted(rows: DataFrame) -> DataFrame:
         lead, many = np.repeat(starts, size), np.repeat(size > 1, size)
         return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, cls, n, r, cls[lead], n[lead], r[lead])], ["key", "cls", "n", "r", "leader", "leader_n", "leader_r"])
 
-    dealt = rows.select("key", "r", "cls", "n").repartition(shards(rows.sparkSession), "key").sortWithinPartitions("key", "r", "cls")
+    dealt = rows.select("key", "r", "cls", "n").repartition(n_parts, "key").sortWithinPartitions("key", "r", "cls")
     return dealt.mapInArrow(run, "key bigint, cls bigint, n int, r int, leader bigint, leader_n int, leader_r int")
 
 
@@ -338,8 +392,13 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            x, y = (np.array(batch.column(i).to_pylist(), object) for i in (4, 5))
+            size = np.array([(len(a), len(b)) for a, b in zip(x, y)])
+            differ = np.zeros(batch.num_rows, np.int64)
+            for m, k in {tuple(s) for s in size.tolist()}:
+                at = np.flatnonzero((size[:, 0] == m) & (size[:, 1] == k))
+                one, two = (folded(np.frombuffer(b"".join(v[at]), np.uint8).reshape(len(at), -1), min(m, k)) for v in (x, y))
+                differ[at] = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= (100 - percent) * n))
 
@@ -392,15 +451,54 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int =
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, combined: int = COMBINED) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def banded(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """apart (key, cls, n, r, component) with each key made finer by the bands of its members' sketches; pairs that link stay together under one key at least."""
+    rows = apart.join(classes.select("cls", "sketch"), "cls").select("key", "cls", "n", "r", "component", "sketch")
+
+    def run(batches):
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                columns = [c.to_pylist() for c in batch.slice(start, 256).columns]
+                out = []
+                for key, cls, n, r, component, sketch in zip(*columns):
+                    if cls not in known:
+                        if len(known) > 2000:
+                            known.clear()
+                        known[cls] = [b for c in size_classes(n, percent) for b in bands_of(sketch, c, percent)]
+                    out += [(xxhash.xxh3_64_intdigest(b.to_bytes(8, "little"), key & 0xFFFFFFFFFFFFFFFF) - (1 << 63), cls, n, r, component) for b in known[cls]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["key", "cls", "n", "r", "component"])
+
+    return rows.mapInArrow(run, "key bigint, cls bigint, n int, r int, component bigint")
+
+
+def met(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) of classes of one key (key, cls, n, r, component) in different components whose sizes and places allow a link.
+
+    Sizes and places meet first, each once for a key, and only where two of
+    them allow a link their members.
+    """
+    kinds = apart.groupBy("key", "n", "r").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    x, y = kinds.alias("x"), kinds.alias("y")
+    ordered = F.struct("x.n", "x.r") <= F.struct("y.n", "y.r")
+    several = F.least("x.least", "y.least") != F.greatest("x.most", "y.most")
+    kinds = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & several & may_link((F.col("x.n"), F.col("x.r")), (F.col("y.n"), F.col("y.r")), percent))
+    kinds = kinds.select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.r").alias("r"), F.col("y.n").alias("n2"), F.col("y.r").alias("r2"))
+    left = kinds.join(apart, ["key", "n", "r"]).select("key", F.col("n2").alias("n"), F.col("r2").alias("r"), F.col("cls").alias("c1"), F.col("component").alias("k1"))
+    both = left.join(apart, ["key", "n", "r"]).filter("c1 != cls and k1 != component")
+    return both.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b")).distinct()
+
+
+def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, h, n, cls of every document, and cls, doc, h (the class's least document), component of every class."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, so that linked sets share two tokens")
-    scanned = written(gathered(docs, width), "sets")
+    n_shards = shards(docs)
+    scanned = written(gathered(docs, n_shards, width, percent), "sets")
     signed = scanned.filter("shard is null").select("doc_id", "h", "n", "cls", "sketch")
-    often = frequent_tokens(scanned.filter("shard is not null").select("shard", "blob"), frequent)
-    keys = written(index(docs, often, width, percent, combined), "keys")
-    members = written(shared_keys_sorted(keys.filter("not hot")).unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
+    often = frequent_tokens(scanned.filter("shard is not null").select("shard", "blob"), frequent, most_frequent)
+    keys = written(index(docs, often, n_shards, width, percent), "keys")
+    members = written(shared_keys_sorted(keys.filter("not hot"), n_shards).unionByName(shared_keys(keys.filter("hot").select("key", "cls", "n", "r"))), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("l")  # null ids last
     classes = signed.filter("cls is not null").groupBy("cls").agg(first, F.max("n").alias("size"), F.max("sketch").alias("sketch"))
     classes = written(classes.select("cls", F.col("l.doc_id").alias("doc"), F.col("l.h").alias("h"), "size", "sketch"), "classes")
@@ -413,19 +511,47 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
 
     # what the comparison with a key's leader left apart
     apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
-    split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+    split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
     apart = written(apart.join(split, "key"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & may_link((F.col("x.n"), F.col("x.r")), (F.col("y.n"), F.col("y.r")), percent))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    many = apart.filter(F.col("m") > hot)
+    rest = apart.filter(F.col("m") <= hot).drop("m")
+    if many.limit(1).count():
+        finer = written(banded(many.drop("m"), classes, percent), "bands")
+        rest = rest.unionByName(finer.join(finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"), "key"))
+    rest = met(rest, percent)
     rest = written(likely(rest, classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         more = written(verified(rest, docs, classes, width, percent), "links")
         if more.limit(1).count():
             labels = components(edges.union(more))
 
-    placed = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("component"))
-    placed = written(placed, "placed")
-    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = placed.join(least, "component").select("cls", "component_id")
-    return signed.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", "h", F.coalesce("component", "cls").alias("component"))
+    return signed.select("doc_id", "h", "n", "cls"), written(own, "placed")
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    signed, own = placed(docs, width, percent, frequent, hot, most_frequent)
+    least = own.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = own.join(least, "component").select("cls", "component_id")
+    return signed.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def firsts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs, with all their columns, without all documents but one of each component: that of least doc_id, null ids last, ties by hash of the text.
+
+    Rows that share both doc_id and text count as one document; documents
+    without words all stay.
+    """
+    signed, own = placed(docs, width, percent)
+    best = own.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h")).alias("l"))
+    stay = best.select(F.col("l.doc").alias("d"), F.col("l.h").alias("x")).union(signed.filter("cls is null").select("doc_id", "h").distinct())
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("i"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    kept = row.join(stay, F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("x")), "left_semi")
+    twice = signed.filter("cls is not null").groupBy("doc_id", "h").count().filter("count > 1")
+    if twice.limit(1).count():  # rows that stand for one document several times
+        again = twice.select(F.col("doc_id").alias("d"), F.col("h").alias("x"))
+        same = F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("x"))
+        one = kept.join(again, same, "left_semi").groupBy("i", "t").agg(F.first("row").alias("row")).select("row", "i", "t")
+        kept = kept.join(again, same, "left_anti").unionByName(one)
+    return kept.select("row.*")

@@ -314,21 +314,63 @@ def test_join_edge_cases(docs, none, width, percent):
     assert ngram_join.linked(none, width, percent).count() == 0
 
 
-@pytest.mark.parametrize("frequent,combined", [(3, 64), (2, 6), (1000, 64)])
-def test_join_of_near_copies(spark, frequent, combined):
+@pytest.mark.parametrize("frequent,percent,hot,most", [(3, 90, 64, 10**6), (2, 80, 2, 10**6), (1000, 90, 3, 10**6), (2, 90, 2, 40)])
+def test_join_of_near_copies(spark, frequent, percent, hot, most):
     rng = random.Random(frequent)
     word = lambda: f"w{rng.randrange(4000)}"
     shared = [word() for _ in range(60)]
     rows = []
     for g in range(8):
-        base = [word() for _ in range(rng.choice([6, 25, 80, 300]))] + shared * (g % 2)
+        base = [word() for _ in range([6, 25, 80, 300, 1500, 120, 130, 700][g])] + shared * (g % 2)
         for _ in range(12):
             own = list(base)
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 5, len(base) // 40])):
                 own[rng.randrange(len(own))] = word()
-            rows.append((len(rows), " ".join(own)))
+            rows.append((len(rows), " ".join(own[: len(own) - rng.choice([0, 0, len(own) // 30])])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    assert Counter(map(tuple, ngram_join.linked(df, frequent=frequent, combined=combined).collect())) == plain_components(rows, 3, 90)
+    assert Counter(map(tuple, ngram_join.linked(df, 3, percent, frequent, hot, most).collect())) == plain_components(rows, 3, percent)
+
+
+def test_frequent_tokens_never_run_out(spark):
+    """Where more tokens than may be broadcast reach the highest count, a share of them is frequent."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for shard in range(3):
+        tokens = rng.integers(0, 1 << 32, 200, dtype=np.uint64)
+        values = np.unique(np.concatenate([(tokens << np.uint64(12)) | np.uint64(c) for c in range(ngram_join.CLASSES)]))
+        rows.append((shard, ngram_join.packed(values)))
+    blobs = spark.createDataFrame(rows, "shard int, blob binary")
+    assert len(ngram_join.frequent_tokens(blobs, 16, 1000)) == 600
+    assert 150 < len(ngram_join.frequent_tokens(blobs, 16, 250)) < 350
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefix_keys_and_bands_find_all_links(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.choice([2, 5, 20, 60, 126, 130, 500, 1020, 3000, 9000]))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        rate = rng.random() * (100 - percent) / 100
+        b = np.unique(np.r_[a[rng.random(len(a)) > rate], rng.integers(0, 1 << 62, int(rng.integers(0, 2 + int(n * rate / 2))), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        share = np.uint64(1000 * rng.choice([0.0, 0.5, 0.97, 1.0]))
+        often = lambda s: s % np.uint64(1000) < share  # noqa: E731, B023
+        keys = [dict(zip(np.concatenate([k for k, _ in got]).tolist(), np.concatenate([r for _, r in got]).tolist())) for got in (ngram_join.prefix_keys(s, often(s), percent) for s in (a, b))]
+        found = [k for k in keys[0].keys() & keys[1].keys() if min(len(a) - keys[0][k], len(b) - keys[1][k]) * (100 + percent) >= percent * (len(a) + len(b))]
+        assert found or len(a) == len(b) == both
+        bands = [{x for c in ngram_join.size_classes(len(s), percent) for x in ngram_join.bands_of(ngram_join.sketch_of(s, percent), c, percent)} for s in (a, b)]
+        assert bands[0] & bands[1]
+
+
+def test_a_passage_in_many_documents(spark):
+    """Documents that are one passage and a little of their own: most pairs cannot link by their sizes and places alone."""
+    passage = [f"p{i}" for i in range(62)]
+    rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(8)])) for i in range(300)]
+    rows += [(1000 + i, " ".join(passage + [f"near{i}"])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.linked(df, hot=20).collect())) == plain_components(rows, 3, 90)
 
 
 def test_sketch_never_loses_a_link():
@@ -336,10 +378,19 @@ def test_sketch_never_loses_a_link():
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 3000), dtype=np.uint64))
         b = np.unique(np.r_[a[rng.random(len(a)) > 0.05], rng.integers(0, 1 << 60, 3, dtype=np.uint64)])
-        x, y = (np.frombuffer(ngram_join.sketch_of(s), np.uint8) for s in (a, b))
+        x, y = (np.frombuffer(ngram_join.sketch_of(s), np.uint8)[None] for s in (a, b))
+        x, y = (ngram_join.folded(s, min(x.shape[1], y.shape[1])) for s in (x, y))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_texts_of_many_or_few_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST_WANTED", most)
+    rows = [(i, " ".join(f"{k}w{j}" for j in range(40)) + (" tail" if i % 2 else "")) for i, k in enumerate("aabbccdd")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.linked(df).collect())) == plain_components(rows, 3, 90)
+
+
 def test_packed_numbers():
     for values in ([], [0], [5, 6, 2**40 - 1]):
         a = np.array(values, np.uint64)
