@@ -1,19 +1,26 @@
 """Quality classifier: a factorisation machine over whole texts.
 
 Inputs are hashed words, hashed word shapes (runs of letters, digits and other
-characters) and binned statistics of structure. Metadata columns, the label
-tables and doc_id are never inputs. The score is
+characters), values and bins of statistics of structure, and hashed metadata:
+one input for each column that is named (a number by its power of two). The
+score is
 sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2)),
-which takes time in proportion to the inputs that are present.
+which takes time in proportion to the inputs that are present. Texts are taken
+in batches: one sort gives the counts of all words of a batch.
 
 Training reads a bounded sample of labelled rows (TRAIN_ROWS, the least by hash
 of doc_id); only their hashed inputs reach the driver, where Adagrad fits the
-weights. Scoring is one pass without a shuffle.
+weights. Scoring is one pass without a shuffle. What must not be learnt from
+(the label tables, ids, sources) is not to be named as metadata; op8 and the
+pipeline name n_chars alone.
 
 Edge cases: a null or empty text has no words and is scored by its structure
-alone; conflicting labels of one doc_id count as their mean, ties as 1; null
-labels are ignored; without labels every score is 0.5; repeated rows are scored
-alike; an empty table yields an empty one; a null doc_id is kept.
+and metadata alone; very long texts are scored whole, in a batch of their own;
+a null in a metadata column is a value of its own; conflicting labels of one
+doc_id count as their mean, ties as 1; null labels are ignored; without labels
+every score is 0.5; repeated rows are scored alike; an empty table yields an
+empty one; a null doc_id is kept; an extra column named score stays out of
+scored() unless its columns are named, and kept() passes all columns through.
 """
 
 from __future__ import annotations
@@ -22,12 +29,13 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import rare_collections, released, words_of
@@ -39,74 +47,152 @@ BUCKETS = 1 << 14
 FACTORS = 8
 EPOCHS = 12
 
-_known: dict[str, tuple[int, int]] = {}
+#: Hash buckets of metadata.
+META = 1 << 10
 _N_STATS = 12
 _BINS = 8
+#: Characters of texts that are taken at once, or one text if it has more.
+BATCH_CHARS = 500_000
+
+_LETTER, _UPPER, _DIGIT, _SYMBOL, _POINT = 1, 2, 4, 8, 16
+
+
+_letters, _digits, _again = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
+
+
+def _case(letters: str) -> str:
+    return "A" if letters.isupper() else "a" if letters.islower() else "Aa" if letters.istitle() else "aA"
 
 
 def _shape(word: str) -> str:
-    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa" if m[0].istitle() else "aA", word)
-    out = re.sub(r"\d+", "0", out)
-    return re.sub(r"(.)\1+", r"\1\1", out)[:24]
-
-
-def _buckets(word: str, buckets: int) -> tuple[int, int]:
-    return xxhash.xxh32_intdigest(word) % buckets, xxhash.xxh32_intdigest(_shape(word), 1) % buckets
-
-
-def _stats(text: str, words: list[str], distinct: int, top: int) -> list[float]:
-    """Shares between 0 and 1 of structure."""
-    n, chars = max(1, len(words)), max(1, len(text))
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text))) if not text.isascii() else sum(map(len, re.findall(r"[A-Za-z]+", text)))
-    pairs = len(set(zip(words, words[1:])))
-    return [
-        min(1.0, math.log10(1 + len(words)) / 5),
-        min(1.0, sum(map(len, words)) / n / 16),
-        letters / chars,
-        sum(map(len, re.findall(r"[A-ZÀ-Þ]+", text))) / chars,
-        sum(map(len, re.findall(r"[0-9]+", text))) / chars,
-        min(1.0, len(re.findall(r"[#*$%&|<>!]", text)) / n),
-        distinct / n,
-        top / n,
-        1 - len(set(lines)) / max(1, len(lines)),
-        min(1.0, len(lines) / n * 4),
-        1 - pairs / max(1, n - 1) if n > 1 else 0.0,
-        min(1.0, len(re.findall(r"[.,;:?]", text)) / n),
-    ]
-
-
-def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's inputs: words, then shapes, then bins and values of the statistics."""
-    text = text or ""
-    words = words_of(text)
-    if len(_known) > 200_000:
-        _known.clear()
-    got = list(map(_known.get, words))
-    if None in got:
-        for i, g in enumerate(got):
-            if g is None:
-                got[i] = _known[words[i]] = _buckets(words[i], buckets)
-    index, value = [], []
-    distinct = top = 0
-    if got:
-        pairs = np.array(got, np.int64)
-        for part, offset in ((0, 0), (1, buckets)):
-            at, n = np.unique(pairs[:, part], return_counts=True)
-            if part == 0:
-                distinct, top = len(at), int(n.max())
-            x = 1 + np.log(n)
-            index.append(at + offset)
-            value.append(x / np.sqrt((x * x).sum()))
-    stats = np.array(_stats(text, words, distinct, top))
-    base = 2 * buckets
-    index += [base + np.arange(_N_STATS), base + _N_STATS + np.arange(_N_STATS) * _BINS + np.minimum((stats * _BINS).astype(int), _BINS - 1)]
-    value += [stats, np.ones(_N_STATS) / 2]
-    return np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32)
+    letters = word.rstrip(".,;:!?#*$%&")
+    if letters.isalpha():  # most words
+        marks = word[len(letters) :]
+        return _case(letters) + (marks if len(marks) < 2 else _again.sub(r"\1\1", marks)[:22])
+    return _again.sub(r"\1\1", _digits.sub("0", _letters.sub(lambda m: _case(m[0]), word)))[:24]
+
+
+class Buckets(dict):
+    """The hash buckets of a word and of its shape, as bytes; emptied before a batch when it has reached `most` entries."""
+
+    def __init__(self, buckets: int = BUCKETS, most: int = 200_000):
+        super().__init__()
+        self.buckets, self.most = buckets, most
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = (xxhash.xxh32_intdigest(word) % self.buckets).to_bytes(4, "little") + (xxhash.xxh32_intdigest(_shape(word), 1) % self.buckets).to_bytes(4, "little")
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4").reshape(-1, 2).astype(np.int64)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What each character of the basic plane is."""
+    kinds = np.array([_LETTER if chr(c).isalpha() else 0 for c in range(1 << 16)], np.uint8)
+    for flag, chars in ((_DIGIT, "0123456789"), (_SYMBOL, "#*$%&|<>!"), (_POINT, ".,;:?"), (_UPPER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, range(0xC0, 0xDF))))):
+        kinds[[ord(c) for c in chars]] |= flag
+    return kinds
+
+
+def _counted(doc: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and count of the distinct pairs of both, in order."""
+    keys = np.sort(doc * buckets + bucket)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    keys, n = keys[at], np.diff(np.r_[at, len(keys)])
+    return keys // buckets, keys % buckets, n
+
+
+def inputs(texts: list[str], table: Buckets, metadata: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and values of the inputs of several texts, text after text, and how many each has: words, shapes, values and bins of the statistics, metadata."""
+    size, buckets = len(texts), table.buckets
+    split = [words_of(t) for t in texts]
+    n_words = np.array([len(w) for w in split], np.int64)
+    doc = np.repeat(np.arange(size), n_words)
+    both = table.of([w for words in split for w in words])
+    index, value, of = [], [], []
+    distinct, top = np.zeros(size), np.zeros(size)
+    for part in (0, 1):
+        d, at, n = _counted(doc, both[:, part], buckets)
+        x = 1 + np.log(n)
+        norm = np.sqrt(np.bincount(d, x * x, size))
+        index.append(at + part * buckets)
+        value.append(x / norm[d])
+        of.append(d)
+        if part == 0:
+            distinct = np.bincount(d, minlength=size).astype(float)
+            np.maximum.at(top, d, n)
+    near = doc[1:] == doc[:-1]
+    pairs = np.bincount(_counted(doc[1:][near], both[:-1, 0][near] * buckets + both[1:, 0][near], buckets * buckets)[0], minlength=size) if len(doc) else np.zeros(size)
+
+    chars = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    flags = _kinds()[np.minimum(codes, 0xFFFF)]
+    beyond = np.flatnonzero(codes > 0xFFFF)
+    if len(beyond):
+        own, inverse = np.unique(codes[beyond], return_inverse=True)
+        flags[beyond] = np.array([_LETTER * chr(c).isalpha() for c in own], np.uint8)[inverse]
+    ends = np.cumsum(chars)
+    share = {}
+    for flag in (_LETTER, _UPPER, _DIGIT, _SYMBOL, _POINT):
+        total = np.r_[0, np.cumsum((flags & flag) != 0)]
+        share[flag] = (total[ends] - total[ends - chars]).astype(float)
+    lines = [[x for x in t.split("\n") if x and not x.isspace()] for t in texts]
+    n_lines, own_lines = np.array([len(x) for x in lines]), np.array([len(set(x)) for x in lines])
+    word_chars = np.array([sum(map(len, w)) for w in split])
+    n, c = np.maximum(1, n_words), np.maximum(1, chars)
+    stats = np.stack([
+        np.minimum(1, np.log10(1 + n_words) / 5), np.minimum(1, word_chars / n / 16), share[_LETTER] / c, share[_UPPER] / c, share[_DIGIT] / c, np.minimum(1, share[_SYMBOL] / n),
+        distinct / n, top / n, 1 - own_lines / np.maximum(1, n_lines), np.minimum(1, n_lines / n * 4), np.where(n_words > 1, 1 - pairs / np.maximum(1, n - 1), 0), np.minimum(1, share[_POINT] / n),
+    ], 1)
+    base, each = 2 * buckets, np.arange(_N_STATS)
+    index += [np.tile(base + each, size), (base + _N_STATS + each * _BINS + np.minimum((stats * _BINS).astype(int), _BINS - 1)).ravel()]
+    value += [stats.ravel(), np.full(size * _N_STATS, 0.5)]
+    of += [np.repeat(np.arange(size), _N_STATS)] * 2
+    for column in metadata or []:
+        index.append(base + _N_STATS * (1 + _BINS) + np.array([xxhash.xxh32_intdigest(x) % META for x in column], np.int64))
+        value.append(np.ones(size))
+        of.append(np.arange(size))
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(index)[order].astype(np.int32), np.concatenate(value)[order].astype(np.float32), np.bincount(of, minlength=size)
+
+
+def features(text: str | None, buckets: int = BUCKETS, metadata: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of one text's inputs."""
+    return inputs([text or ""], Buckets(buckets), [[m] for m in metadata])[:2]
+
+
+def runs(texts: list[str | None], most: int = BATCH_CHARS):
+    """Ranges of texts that together have `most` characters at most, or one text."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if total + size > most and i > start:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+def described(docs: DataFrame, metadata: tuple[str, ...]) -> list:
+    """Columns of strings that stand for metadata: name=value, numbers by sign and power of two."""
+    kinds = dict(docs.dtypes)
+    out = []
+    for name in metadata:
+        c = F.col(f"`{name}`")
+        if kinds[name] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[name].startswith("decimal"):
+            c = F.concat(F.signum(c).cast("int").cast("string"), F.lit("^"), F.floor(F.log2(1 + F.abs(c.cast("double")))).cast("string"))
+        out.append(F.concat(F.lit(f"{name}="), F.coalesce(c.cast("string"), F.lit("\0null"))))
+    return out
 
 
 def size_of(buckets: int) -> int:
-    return 2 * buckets + _N_STATS * (1 + _BINS)
+    return 2 * buckets + _N_STATS * (1 + _BINS) + META
 
 
 @dataclass
@@ -118,6 +204,7 @@ class Machine:
     w0: float = 0.0
     w: np.ndarray = field(default=None)  # type: ignore[assignment]
     v: np.ndarray = field(default=None)  # type: ignore[assignment]
+    metadata: tuple[str, ...] = ()
 
     def __post_init__(self):
         n = size_of(self.buckets)
@@ -125,14 +212,22 @@ class Machine:
             self.w = np.zeros(n, np.float32)
             self.v = np.zeros((n, self.factors), np.float32)
 
-    def raw(self, index: np.ndarray, value: np.ndarray) -> float:
+    def raw(self, index: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of several texts what the sigmoid is taken of; sizes: how many inputs each has, one at least."""
+        starts = np.cumsum(sizes) - sizes
         vx = self.v[index] * value[:, None]
-        s = vx.sum(0)
-        return float(self.w0 + self.w[index] @ value + 0.5 * (s @ s - (vx * vx).sum()))
+        s = np.add.reduceat(vx, starts)
+        return self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), starts))
+
+    def scores(self, texts: list[str | None], metadata: list[list[str]] | None = None, table: Buckets | None = None) -> np.ndarray:
+        table, out = Buckets(self.buckets) if table is None else table, [np.empty(0)]
+        for a, b in runs(texts):
+            raw = self.raw(*inputs([t or "" for t in texts[a:b]], table, [m[a:b] for m in metadata or []]))
+            out.append(1 / (1 + np.exp(-np.clip(raw.astype(float), -30, 30))))
+        return np.concatenate(out)
 
-    def score(self, text: str | None) -> float:
-        raw = self.raw(*features(text, self.buckets))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+    def score(self, text: str | None, *metadata: str) -> float:
+        return float(self.scores([text], [[m] for m in metadata])[0])
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> "Machine":
         if not rows:
@@ -168,42 +263,54 @@ class Machine:
         return self
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, label_col: str = "quality") -> DataFrame:
-    """text, label of at most `most` labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, label_col: str = "quality", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """text, label, and a string for each metadata column, of at most `most` labelled documents."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` rows of 12 bytes: a bounded broadcast
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(f"m{i}") for i, c in enumerate(described(docs, metadata))])
+    return rows.join(F.broadcast(chosen), "doc_id").drop("doc_id").select("text", "label", *[f"m{i}" for i in range(len(metadata))])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, buckets: int = BUCKETS, factors: int = FACTORS, label_col: str = "quality") -> Machine:
-    """A machine fitted on the rows of labels; leave out of labels what must not be learnt from."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, buckets: int = BUCKETS, factors: int = FACTORS, label_col: str = "quality", metadata: tuple[str, ...] = ()) -> Machine:
+    """A machine fitted on the rows of labels; leave out of labels what must not be learnt from. metadata: columns of docs that are inputs too."""
 
     def run(batches):
+        table = Buckets(buckets)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                got = [features(t, buckets) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["label", "index", "value"])
+            texts, meta = [t or "" for t in batch.column(0).to_pylist()], [c.to_pylist() for c in batch.columns[2:]]
+            for a, b in runs(texts):
+                index, value, sizes = inputs(texts[a:b], table, [m[a:b] for m in meta])
+                cuts = np.cumsum(sizes)[:-1]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in np.split(index, cuts)], pa.binary()), pa.array([x.tobytes() for x in np.split(value, cuts)], pa.binary())], ["label", "index", "value"])
 
-    rows = training_rows(docs, labels, most, label_col).mapInArrow(run, "label int, index binary, value binary").toArrow()
+    rows = training_rows(docs, labels, most, label_col, metadata).mapInArrow(run, "label int, index binary, value binary").toArrow()
     pairs = sorted((i, v, y) for i, v, y in zip(rows.column("index").to_pylist(), rows.column("value").to_pylist(), rows.column("label").to_pylist()))
-    return Machine(buckets, factors).fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v, _ in pairs], np.array([y for *_, y in pairs], float))
+    return Machine(buckets, factors, metadata=tuple(metadata)).fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v, _ in pairs], np.array([y for *_, y in pairs], float))
 
 
-def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (all, unless given) and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)
+def score_of(docs: DataFrame, machine: Machine) -> Column:
+    """The score of each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         rare_collections()
-        own = shared.value
-        for texts in batches:
-            yield texts.map(lambda t: own.score(t if isinstance(t, str) else None)).astype("float64")
-        _known.clear()
+        own, table = shared.value, Buckets(shared.value.buckets)
+        for text, *metadata in batches:
+            yield pd.Series(own.scores(text.tolist(), [m.tolist() for m in metadata] if own.metadata else None, table))
         released()
 
-    names = columns or docs.columns
-    return docs.select(*[F.col(f"`{c}`") for c in names], score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_score")).withColumnRenamed("_score", "score")
+    # a column that is always there, so that the batches are tuples
+    return score(F.coalesce(F.col("text").cast("string"), F.lit("")), *(described(docs, machine.metadata) or [F.lit("")]))
+
+
+def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
+    """The named columns of docs (all but one named score, unless given) and score."""
+    names = [c for c in docs.columns if c != "score"] if columns is None else columns
+    return docs.select(*[F.col(f"`{c}`") for c in names], score_of(docs, machine).alias("score"))
+
+
+def kept(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose score is `least` or more."""
+    return docs.filter(score_of(docs, machine) >= least)

@@ -53,7 +53,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    machine = quality_classifier.train(docs, labels.filter(fold("doc_id", 3) != 1))
+    machine = quality_classifier.train(docs, labels.filter(fold("doc_id", 3) != 1), metadata=("n_chars",))
     scores = quality_classifier.scored(docs, machine, ["doc_id"])
     return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

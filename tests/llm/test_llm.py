@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessel.llm import components, fingerprints, html_extract, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
@@ -475,20 +476,62 @@ def test_classifier(spark, docs, none):
     machine = quality_classifier.train(df, labels.filter("doc_id < 200 or doc_id is null"))
     out = quality_classifier.scored(df, machine).filter("doc_id >= 200").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in out) / len(out) > 0.97
-    edge = quality_classifier.scored(docs.drop("score"), machine, ["doc_id"]).collect()
+    edge = quality_classifier.scored(docs, machine, ["doc_id"]).collect()
     assert len(edge) == docs.count() and all(0 <= r.score <= 1 for r in edge)
-    assert quality_classifier.scored(none.drop("score"), machine).count() == 0
+    assert quality_classifier.scored(none, machine).count() == quality_classifier.kept(none, machine).count() == 0
+    kept = quality_classifier.kept(docs, machine, 0.4)  # a column named score is the documents' own
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in edge if r.score >= 0.4)
     blank = quality_classifier.train(df, labels.limit(0))
     assert {r.score for r in quality_classifier.scored(df, blank).collect()} == {0.5}
 
 
-def test_factorisation_identity():
+def plain_inputs(text, buckets, metadata=()):
+    """Inputs of a text, counted one by one: {index: value}."""
+    q, out = quality_classifier, Counter()
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    shape = lambda w: re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa" if m[0].istitle() else "aA", w)))[:24]
+    kinds = Counter(xxhash.xxh32_intdigest(w) % buckets for w in words), Counter(xxhash.xxh32_intdigest(shape(w), 1) % buckets for w in words)
+    for part, c in enumerate(kinds):
+        norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in c.values()))
+        for k, n in c.items():
+            out[part * buckets + k] += (1 + math.log(n)) / norm
+    n, chars, lines = max(1, len(words)), max(1, len(text)), [x for x in text.split("\n") if x.strip()]
+    of = lambda pattern: len(re.findall(pattern, text))
+    hashed = [xxhash.xxh32_intdigest(w) % buckets for w in words]
+    stats = [
+        min(1, math.log10(1 + len(words)) / 5), min(1, sum(map(len, words)) / n / 16), sum(ch.isalpha() for ch in text) / chars, of("[A-ZÀ-Þ]") / chars, of("[0-9]") / chars, min(1, of("[#*$%&|<>!]") / n),
+        len(kinds[0]) / n, max(kinds[0].values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)), min(1, len(lines) / n * 4), 1 - len(set(zip(hashed, hashed[1:]))) / max(1, n - 1) if n > 1 else 0, min(1, of("[.,;:?]") / n),
+    ]
+    for k, x in enumerate(stats):
+        out[2 * buckets + k] += x
+        out[2 * buckets + 12 + 8 * k + min(7, int(8 * x))] += 0.5
+    for m in metadata:
+        out[2 * buckets + 12 * 9 + xxhash.xxh32_intdigest(m) % q.META] += 1
+    return out
+
+
+def test_scores_are_those_of_all_pairs(spark):
+    """A machine's scores, in batches, against every pair of inputs taken by itself."""
     rng = np.random.default_rng(0)
-    m = quality_classifier.Machine(buckets=16, factors=3)
-    m.w, m.v, m.w0 = rng.normal(size=m.w.shape), rng.normal(size=m.v.shape), 0.3
-    i, x = quality_classifier.features("Some words, some 12 words\nhere", 16)
-    pairs = sum(m.v[a] @ m.v[b] * x[p] * x[q] for p, a in enumerate(i) for q, b in enumerate(i) if p < q)
-    assert abs(m.raw(i, x) - (m.w0 + m.w[i] @ x + pairs)) < 1e-4
+    m = quality_classifier.Machine(buckets=16, factors=3, metadata=("n", "key"))
+    m.w, m.v, m.w0 = rng.normal(size=m.w.shape), 0.3 * rng.normal(size=m.v.shape), 0.3
+    texts = [t for t in TEXTS if t is None or len(t) < 400] + ["ABC def-GHI 12_3 Ünï!!! ..  x\n\nx", "İ 🎉🎉 9½"]
+    df = spark.createDataFrame([(i, t, None if i % 5 == 0 else i - 3, "k" if i % 2 else None) for i, t in enumerate(texts)], "doc_id bigint, text string, n int, key string")
+    got = {r.doc_id: r.score for r in quality_classifier.scored(df, m, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        x = i - 3
+        number = "\0null" if i % 5 == 0 else f"{(x > 0) - (x < 0)}^{int(math.log2(1 + abs(x)))}"
+        own = plain_inputs(t or "", 16, (f"n={number}", "key=" + ("k" if i % 2 else "\0null")))
+        pairs = sum(m.v[a] @ m.v[b] * own[a] * own[b] for a in own for b in own if a < b)
+        want = 1 / (1 + math.exp(-max(-30, min(30, m.w0 + sum(m.w[k] * x for k, x in own.items()) + pairs))))
+        assert abs(got[i] - want) < 1e-4
+
+
+def test_metadata_can_decide(spark):
+    rows = [(i, "some words that say nothing", "wiki" if i % 2 else None, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, site string, quality int")
+    machine = quality_classifier.train(df, df.select("doc_id", "quality"), metadata=("site",))
+    assert all((r.score >= 0.5) == (r.quality == 1) for r in quality_classifier.scored(df, machine).collect())
 
 
 # --- 9 licences ---

@@ -15,8 +15,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", "s", None) for i, t in enumerate([*TEXTS, BASE + " more", *[f"{BASE} {BASE.replace('o', 'u')} {k}" for k in range(3)]])]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = [(i, t, "en", "s", None, "x", 1, "x", "x", "x") for i, t in enumerate([*TEXTS, BASE + " more", *[f"{BASE} {BASE.replace('o', 'u')} {k}" for k in range(3)]])]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, _id int, component_id string, h string, row string").repartition(3)
 
 
 def test_stages(spark, docs):
@@ -32,10 +32,10 @@ def test_stages(spark, docs):
             assert after == Counter(i for i, _ in before if judged[i])
         elif name == "quality_classifier":
             labels = spark.read.parquet(f"{SF}/labels.parquet")
-            m = quality_classifier.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
-            assert after == Counter(i for i, t in before if m.score(t) >= 0.5)
+            m = quality_classifier.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, metadata=("n_chars",))
+            assert after == Counter(i for i, t in before if m.score(t, "n_chars=\0null") >= 0.5)
         else:
-            assert after == Counter(i for i, _, c in plain_components(before, 5, 80).elements() if i == c)
+            assert after == Counter({i: 1 for i, _, c in plain_components(before, 5, 80).elements() if i == c})
     pieces = corpus_pipeline.packing_stage(spark, now, SF)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in now.collect()}
 
@@ -63,3 +63,10 @@ def test_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, SF)
     assert ngram_join.linked(df).count() == df.count()
+
+
+def test_one_document_of_each_group_stays(spark):
+    near = BASE + " " + BASE.replace("o", "u")
+    rows = [(None, near), (3, near + " tail"), (3, near + " tail"), (3, near), (7, near), (None, "alone " + near[::-1]), (None, "alone " + near[::-1]), (9, None), (9, None)]
+    got = ngram_join.firsts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), 5, 80).collect()
+    assert Counter(r.doc_id for r in got) == {3: 1, None: 1, 9: 2}
