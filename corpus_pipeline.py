@@ -6,15 +6,17 @@ group stays), packing. Every stage but the last returns the columns of
 documents.
 
 Edge cases are those of the operators: documents without text fail the rules;
-ties and repeated rows: of rows that share one doc_id in a group, all stay
-(ids name documents); an empty table stays empty and packs into no pieces.
+ties and repeated rows: of documents that share one doc_id in a group the one
+of least hash stays, of rows that repeat a document one; a null doc_id is a
+document like any other and the last of its group; extra columns of any name
+pass through all stages but the last; an empty table stays empty and packs into
+no pieces.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessel.llm import ngram_join, packing, quality_classifier, quality_rules
 from tessel.llm.common import table, written
@@ -28,14 +30,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_classifier.scored(docs, machine).filter(F.col("score") >= LEAST_SCORE).select(docs.columns)
+    machine = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return quality_classifier.kept(docs, machine, LEAST_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.linked(docs, width=5, percent=80)
-    first = linked.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    return ngram_join.firsts(docs, width=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
