@@ -135,14 +135,20 @@ def _clean() -> None:
                 return
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """Path of a folder in the shared one that is removed by release(), or when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tessel-{tag}-{uuid.uuid4().hex}"
+    _made.append((weakref.ref(spark), path))
+    return path
+
+
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors.
 
     The tables are removed by release(), or when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessel-{tag}-{uuid.uuid4().hex}"
-    _made.append((weakref.ref(spark), path))
+    path = new_folder(spark, tag)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -435,30 +435,106 @@ def test_join_of_a_chain_of_revisions(spark):
 # --- 7 token counts ---
 
 
+def rollup_rows(r):
+    return Counter({(x.source, x.lang, x.tokenizer_version, k): x[k] for x in r.totals().collect() for k in token_counts.SUMS if x[k]})
+
+
 def test_rollup(spark, docs, none, tmp_path):
-    r = token_counts.Rollup(spark, f"file://{tmp_path}/store")
-    assert r.totals().count() == 0
-    assert r.commit("a", token_counts.inserted(docs, "words-1")) and not r.commit("a", token_counts.inserted(docs, "words-1"))
+    words, T = token_counts.word_count, token_counts
+    r = T.Rollup(spark, f"file://{tmp_path}/store")
+    assert r.totals().count() == 0 and r.committed() == []
+    assert r.commit("a", T.inserted(docs, "words", words)) and not r.commit("a", T.inserted(docs, "words", words))
     want = Counter()
     for d in docs.collect():
         n = len(WORDS.findall(d.text or ""))
         for k, x in (("n_docs", 1), ("n_tokens", n), ("n_chars", len(d.text or ""))):
-            want[d.source, d.lang, "words-1", k] += x
-    read = lambda: Counter({(x.source, x.lang, x.tokenizer_version, k): x[k] for x in r.totals().collect() for k in token_counts.SUMS if x[k]})
-    assert read() == +want
-    assert r.commit("empty", token_counts.inserted(none, "words-1")) and read() == +want
+            want[d.source, d.lang, "words", k] += x
+    assert rollup_rows(r) == +want
+    assert r.commit("empty", T.inserted(none, "words", words)) and rollup_rows(r) == +want
     en = docs.filter("lang = 'en'")
-    assert r.commit("b", token_counts.revised(en, en, "words-1", "words-2"))
-    assert not any(k[1] == "en" and k[2] == "words-1" for k in read())
-    before = read()
-    r.compact("all")
-    assert r.committed() == ["all"] and read() == before
-    assert not r.commit("a", token_counts.inserted(docs, "words-1")) and read() == before
-    r.commit("undo", token_counts.deleted(docs.filter("lang is null or lang != 'en'"), "words-1"))
-    r.commit("undo2", token_counts.deleted(en, "words-2"))
+    assert r.commit("b", T.revised(en, en, "words", "pieces", words, T.sentencepiece_count(PIECE)))
+    assert not any(k[1] == "en" and k[2] == "words" for k in rollup_rows(r))
+    before = rollup_rows(r)
+    r.compact()
+    assert r.committed() == ["a", "b", "empty"] and len(r._taken()) == 1 and rollup_rows(r) == before
+    assert not r.commit("a", T.inserted(docs, "words", words)) and rollup_rows(r) == before
+    assert r.vacuum() == 0 and r.vacuum(-60) == 6 and rollup_rows(r) == before and len(r._entries()) == 1
+    r.commit("undo", T.deleted(docs.filter("lang is null or lang != 'en'"), "words", words))
+    r.commit("undo2", T.deleted(en, "pieces", T.sentencepiece_count(PIECE)))
     assert r.totals().count() == 0
     with pytest.raises(ValueError):
-        r.commit("../x", token_counts.inserted(docs, "words-1"))
+        r.commit("../x", T.inserted(docs, "words", words))
+
+
+def test_rollup_counts_are_the_libraries(spark, docs, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sp, tok = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(WORD)
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/store")
+    r.commit("a", token_counts.inserted(docs, "word", token_counts.tokenizer_count(WORD)))
+    r.commit("b", token_counts.inserted(docs, "piece", token_counts.sentencepiece_count(PIECE)))
+    want = Counter()
+    for d in docs.collect():
+        want[d.source, d.lang, "word", "n_tokens"] += len(tok.encode(d.text or "", add_special_tokens=False).ids)
+        want[d.source, d.lang, "piece", "n_tokens"] += len(sp.encode(d.text or ""))
+    assert Counter({k: n for k, n in rollup_rows(r).items() if k[3] == "n_tokens"}) == +want
+
+
+def test_rollup_survives_a_kill_at_any_point(spark, docs, tmp_path, monkeypatch):
+    batch = lambda: token_counts.inserted(docs, "words", token_counts.word_count)
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/store")
+    r.commit("a", batch())
+    r.commit("b", batch())
+    before = rollup_rows(r)
+
+    class Killed(Exception):
+        pass
+
+    def killed(*_):
+        raise Killed
+
+    for name in ("_write", "_enter"):
+        for run in (lambda: r.commit("c", batch()), r.compact):
+            with monkeypatch.context() as m, pytest.raises(Killed):
+                m.setattr(r, name, killed)
+                run()
+            assert rollup_rows(r) == before and r.committed() == ["a", "b"]
+
+    class Fs:  # dies with the entry written and not yet in place
+        def __getattr__(self, name):
+            return killed if name == "rename" else getattr(fs, name)
+
+    fs = r._fs
+    for run in (lambda: r.commit("c", batch()), r.compact):
+        r._fs = Fs()
+        with pytest.raises(Killed):
+            run()
+        r._fs = fs
+        assert rollup_rows(r) == before and not r.commit("a", batch())
+    assert r.commit("c", batch()) and r.committed() == ["a", "b", "c"]
+    r.compact()
+    assert rollup_rows(r) == Counter({k: n // 2 * 3 for k, n in before.items()})
+
+
+def test_rollup_of_racing_runs(spark, docs, tmp_path, monkeypatch):
+    batch = lambda: token_counts.inserted(docs, "words", token_counts.word_count)
+    one, two = (token_counts.Rollup(spark, f"file://{tmp_path}/store") for _ in range(2))
+    one.commit("a", batch())
+    once = rollup_rows(one)
+    with monkeypatch.context() as m:  # neither sees the other's batch before it commits
+        m.setattr(one, "committed", lambda: [])
+        m.setattr(two, "committed", lambda: [])
+        assert [one.commit("b", batch()), two.commit("b", batch())].count(True) >= 1
+    assert rollup_rows(one) == Counter({k: 2 * n for k, n in once.items()}) and one.committed() == ["a", "b"]
+    stale = one._taken()
+    two.commit("c", batch())
+    with monkeypatch.context() as m:  # a compaction that has not seen c, and one that has
+        m.setattr(one, "_taken", lambda: stale)
+        one.compact()
+    two.compact()
+    one.vacuum(-60)
+    assert rollup_rows(two) == Counter({k: 3 * n for k, n in once.items()}) and two.committed() == ["a", "b", "c"]
 
 
 # --- 8 classifier ---
