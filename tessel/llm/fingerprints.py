@@ -6,11 +6,16 @@ buckets the canonical bytes are compared: the least and the greatest of a
 bucket are the same string exactly if all its members are, and both are
 aggregates with map-side combining, so a bucket with a third of all rows costs
 a task no more than any other. Members of a bucket that holds several strings
-get their string's sha256 as a suffix of the fingerprint.
+get their string's sha256 as a suffix of the fingerprint. Edited texts, which
+are nowhere stored, are told apart in their buckets by the sha256 of their
+canonical bytes, and likeness is equality of canonical strings.
 
 Edge cases: a null text counts as empty; empty and all-white-space texts share
-one fingerprint; repeated rows have equal fingerprints; an empty table yields
-an empty one; a null doc_id is kept.
+one fingerprint; very long texts are read whole; repeated rows have equal
+fingerprints; documents that share a doc_id (a null one too, which comes last)
+follow each other by hash of the text, then by text; an empty table yields an
+empty one; a null doc_id is kept; extra columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -56,11 +61,12 @@ def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            out = pa.array([digest(t) for t in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out, *[batch.column(1)] * keep_text], ["doc_id", "fingerprint", *["text"] * keep_text])
+            forms = [_bytes(t) for t in batch.column(1).to_pylist()]
+            out, exact = pa.array([xxhash.xxh3_128_hexdigest(x) for x in forms], pa.string()), pa.array([hashlib.sha256(x).digest() for x in forms], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out, exact, *[batch.column(1)] * keep_text], ["doc_id", "fingerprint", "exact", *["text"] * keep_text])
 
-    return separated(texts.mapInArrow(run, "doc_id bigint, fingerprint string" + ", text string" * keep_text), texts, ["fingerprint"])
+    rows = texts.mapInArrow(run, "doc_id bigint, fingerprint string, exact binary" + ", text string" * keep_text)
+    return separated(rows, mixed_buckets(texts), {"fingerprint": "exact"})
 
 
 #: Buckets with several rows that are broadcast, at some 50 bytes each; where there are more, the rows of all buckets are compared.
@@ -95,17 +101,22 @@ def mixed_buckets(texts: DataFrame) -> DataFrame:
     return both.filter("least != most").select(F.lower(F.hex("digest")).alias("fingerprint"))
 
 
-def separated(df: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """df with fingerprints told apart where a bucket is mixed; columns: those of df that hold fingerprints of texts."""
-    mixed = mixed_buckets(texts)
-    found = [r[0] for r in mixed.limit(1).collect()]
-    if not found:
-        return df
-    if "text" not in df.columns:
-        raise ValueError(f"digest {found[0]} stands for several strings; ask for the texts to tell them apart")
-    exact = F.udf(lambda t: hashlib.sha256(_bytes(t)).hexdigest())
-    own = df.join(mixed.withColumn("_mixed", F.lit(True)), "fingerprint", "left")
-    return own.withColumn("fingerprint", F.when(F.col("_mixed"), F.concat_ws("-", "fingerprint", exact("text"))).otherwise(F.col("fingerprint"))).select(df.columns)
+def mixed_digests(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Digests that stand for more than one string by their sha256; columns: digest columns of rows and those of their strings' sha256."""
+    each = F.explode(F.array(*[F.struct(F.col(d).alias("digest"), F.col(x).alias("exact")) for d, x in columns.items()]))
+    both = rows.select(each.alias("e")).groupBy("e.digest").agg(F.min("e.exact").alias("least"), F.max("e.exact").alias("most"))
+    return both.filter("least != most").select(F.col("digest").alias("fingerprint"))
+
+
+def separated(df: DataFrame, mixed: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with digests told apart where they are in mixed (fingerprint), without the sha256 columns; columns: digest columns and those of their strings' sha256."""
+    names = [c for c in df.columns if c not in columns.values()]
+    if mixed.limit(1).count():
+        for digest_, exact in columns.items():
+            own = mixed.select(F.col("fingerprint").alias("_of")).distinct()
+            told = F.when(F.col("_of").isNotNull(), F.concat_ws("-", digest_, F.lower(F.hex(exact)))).otherwise(F.col(digest_))
+            df = df.join(own, F.col(digest_) == F.col("_of"), "left").withColumn(digest_, told).drop("_of")
+    return df.select(names)
 
 
 def groups(prints: DataFrame) -> DataFrame:
@@ -119,16 +130,22 @@ LEAST = -(1 << 63)
 def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """Rows (doc_id, text, slot, tail) laid out so that each slot, read in order, has every document's successor.
 
-    The order is descending doc_id (null last, ties by text), closed to a ring.
-    Slots are ranges of doc_id between quantiles; the first document of each
-    slot is repeated as the tail of the one before, so no task needs another.
-    All that the driver sees is one number per slot.
+    The order is descending doc_id (null last), documents of one doc_id by hash
+    of the text and then by text, closed to a ring. Slots are ranges of doc_id
+    between quantiles; where one doc_id has more rows than a slot should hold,
+    its slot is split by ranges of the hash. The first document of each slot is
+    repeated as the tail of the one before, so no task needs another. All that
+    the driver sees is some numbers per slot.
     """
     spark = docs.sparkSession
-    rows = id_text(docs).withColumn("_key", F.coalesce("doc_id", F.lit(LEAST)))
+    rows = id_text(docs).withColumns({"_key": F.coalesce("doc_id", F.lit(LEAST)), "h": F.xxhash64("text")})
     n = shards(docs) * per_partition
-    cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))  # ascending; a key belongs to the slot of the first cut that isn't under it
+    got = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10_000), F.count(F.lit(1))).first()
+    cuts, most = np.array(got[0] or [], np.int64), max(1, 2 * got[1] // n)
+    # a key that takes up several quantiles is cut off on either side, to have a slot of its own
+    own, times = np.unique(cuts, return_counts=True)
+    alone = own[times > 1]
+    cuts = np.unique(np.r_[own, alone[alone > LEAST] - 1])  # ascending; a key belongs to the slot of the first cut that isn't under it
 
     @pandas_udf("int")
     def slot(key):
@@ -136,19 +153,31 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
 
         return pd.Series((len(cuts) - np.searchsorted(cuts, key.to_numpy(np.int64), "left")).astype("int32"))
 
-    rows = rows.withColumn("slot", slot("_key"))
-    firsts = dict(sorted(tuple(r) for r in rows.groupBy("slot").agg(F.max("_key")).collect()))
+    rows = rows.withColumn("_slot", slot("_key"))
+    sizes = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("a"), F.max("_key").alias("b")).collect()
+    parts = {r[0]: -(-r.n // most) for r in sizes if r.a == r.b and r.n > most}
+    if parts:
+        split = spark.createDataFrame([(s, p) for s, p in parts.items()], "_slot int, parts int")  # a row per slot at most
+        rows = rows.join(F.broadcast(split), "_slot", "left")
+        part = F.coalesce(F.floor((F.shiftrightunsigned("h", 32)) * F.col("parts") / F.lit(float(1 << 32))), F.lit(0))
+        rows = rows.withColumn("slot", F.col("_slot").cast("bigint") * (1 << 32) + part).drop("parts")
+    else:
+        rows = rows.withColumn("slot", F.col("_slot").cast("bigint") * (1 << 32))
+    # unsigned, so that ranges and order agree
+    rows = rows.withColumn("h", F.col("h").bitwiseXOR(F.lit(LEAST)))
+    firsts = {r.slot: (r.f.k, r.f.h) for r in rows.groupBy("slot").agg(F.max(F.struct(F.col("_key").alias("k"), (-1 - F.col("h")).alias("h"))).alias("f")).orderBy("slot").collect()}
     slots = list(firsts)
     before = {s: slots[i - 1] for i, s in enumerate(slots)}  # the first one's is the last
     if not slots:
         return rows.select("doc_id", "text", "slot", F.lit(False).alias("tail"))
-    table = spark.createDataFrame([(s, firsts[s], before[s]) for s in slots], "slot int, first bigint, before int")
+    table = spark.createDataFrame([(s, *firsts[s], before[s]) for s in slots], "slot bigint, fk bigint, fh bigint, before bigint")
     rows = rows.join(F.broadcast(table), "slot")
-    own = F.struct(F.col("slot").alias("slot"), F.lit(False).alias("tail"))
+    here = F.struct(F.col("slot").alias("slot"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("before").alias("slot"), F.lit(True).alias("tail"))
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("_key") == F.col("first"), F.array(own, tail)).otherwise(F.array(own))).alias("at"))
-    dealt = rows.select("doc_id", "text", "at.*").repartition(shards(docs), "slot")
-    return dealt.sortWithinPartitions("slot", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    first = (F.col("_key") == F.col("fk")) & (-1 - F.col("h") == F.col("fh"))
+    rows = rows.select("doc_id", "text", "h", F.explode(F.when(first, F.array(here, tail)).otherwise(F.array(here))).alias("at"))
+    dealt = rows.select("doc_id", "text", "h", "at.*").repartition(shards(docs), "slot")
+    return dealt.sortWithinPartitions("slot", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -161,22 +190,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        held = None  # (slot, doc_id, text, digest) that waits for its successor
+        held = None  # (slot, doc_id, text, canonical bytes) that waits for its successor
         for batch in batches:
             out = []
             for doc_id, text, slot, tail in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
-                print_ = digest(text)
+                form = _bytes(text)
                 if held is not None and held[0] == slot:
                     _, of, whole, own = held
                     k = len(whole) // 3
                     edited = whole[: len(whole) - k] + text[:k]
-                    own_edited = digest(edited)
-                    out.append((of, len(whole), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, own_edited, float(own == own_edited), float(own == print_)))
-                held = None if tail else (slot, doc_id, text, print_)
+                    other = _bytes(edited)
+                    raw = edited.encode("utf-8", "surrogatepass")
+                    out.append((of, len(whole), hashlib.sha256(raw).hexdigest(), xxhash.xxh3_128_hexdigest(own), xxhash.xxh3_128_hexdigest(other), float(own == other), float(own == form), hashlib.sha256(own).digest(), hashlib.sha256(other).digest()))
+                held = None if tail else (slot, doc_id, text, form)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names)
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    result = with_next(docs).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return separated(result, id_text(docs), ["fingerprint"])
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "own", "other"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    result = with_next(docs).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, own binary, other binary")
+    result = written(result, "prints")
+    pairs = {"fingerprint": "own", "edited_fingerprint": "other"}
+    mixed = mixed_buckets(id_text(docs)).unionByName(mixed_digests(result, pairs))
+    return separated(result, mixed, pairs)
