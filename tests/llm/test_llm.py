@@ -51,19 +51,34 @@ def rows_of(docs):
 # --- 1 fingerprints ---
 
 
-def test_fingerprints(docs, none):
-    got = fingerprints.edited_fingerprints(docs).collect()
-    order = sorted(rows_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+def plain_prints(docs):
+    """Rows of edited_fingerprints(), by the order of descending ids, then unsigned hashes of texts."""
+    rows = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2] % 2**64, r[1] or ""))
     want = Counter()
-    for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
+    for (i, t, _), (_, following, _) in zip(order, order[1:] + order[:1]):
         t, following = t or "", following or ""
         k = len(t) // 3
         edited = t[: len(t) - k] + following[:k]
         want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.digest(t), fingerprints.digest(edited), float(fingerprints.digest(t) == fingerprints.digest(edited)), float(fingerprints.digest(t) == fingerprints.digest(following))] += 1
-    assert Counter(map(tuple, got)) == want
+    return want
+
+
+def test_fingerprints(docs, none):
+    assert Counter(map(tuple, fingerprints.edited_fingerprints(docs).collect())) == plain_prints(docs)
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_many_documents_of_one_id(spark):
+    """Rows of a null and of a repeated doc_id are dealt to several slots."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, None, 7, i]), " ".join(rng.choice("abcdef") for _ in range(rng.randrange(12)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(map(tuple, fingerprints.edited_fingerprints(df).collect())) == plain_prints(df)
+    slots = fingerprints.with_next(df).filter("not tail and doc_id is null").groupBy("slot").count().collect()
+    assert len(slots) > 4
+
+
 def test_canonical_form(docs):
     assert fingerprints.digest(TEXTS[5]) == fingerprints.digest(TEXTS[6]) == fingerprints.digest(" ünïcode FINE text here")
     assert fingerprints.digest(None) == fingerprints.digest(" \n") != fingerprints.digest("a")
@@ -74,11 +89,24 @@ def test_canonical_form(docs):
 
 
 def test_mixed_buckets_are_told_apart(docs, monkeypatch):
-    prints = fingerprints.fingerprints(docs, keep_text=True)
-    one = prints.withColumn("fingerprint", F.lit("f"))
-    monkeypatch.setattr(fingerprints, "mixed_buckets", lambda texts: texts.sparkSession.createDataFrame([("f",)], "fingerprint string"))
-    apart = fingerprints.separated(one, docs, ["fingerprint"])
-    assert apart.select("fingerprint").distinct().count() == prints.select("fingerprint").distinct().count()
+    """With a digest that is the same for all texts, fingerprints are equal exactly where canonical strings are."""
+    rows = plain_prints(docs)
+    digest = fingerprints.xxhash.xxh3_128_hexdigest
+    want = Counter()
+    for (i, n, sha, own, edited, near, following), count in rows.items():
+        want[i, n, sha, near, following] += count
+
+    class Same:
+        xxh3_128_hexdigest = staticmethod(lambda x: "f" * 32)
+        xxh3_128_digest = staticmethod(lambda x: b"\xff" * 16)
+
+    monkeypatch.setattr(fingerprints, "xxhash", Same)
+    got = fingerprints.edited_fingerprints(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == want
+    assert all(r.fingerprint.startswith("f" * 32) for r in got)
+    assert len({r.fingerprint for r in got}) == len({r[3] for r in rows}) and len({r.edited_fingerprint for r in got}) == len({r[4] for r in rows})
+    prints = fingerprints.fingerprints(docs, keep_text=True).collect()
+    assert len({r.fingerprint for r in prints}) == len({digest(fingerprints._bytes(r.text)) for r in prints})
 
 
 def test_one_document(spark):
@@ -697,6 +725,70 @@ def test_links_in_an_article():
     assert html_extract.main_text(page + nav).split("\n") == ["A whole sentence that is a link.", "See this long page, that.", "Only a link", "An item with words."]
 
 
+def plain_labels(found):
+    """Both passes with nested loops."""
+    h, out = html_extract, []
+    page = any(b.inside == "article" for b in found)
+    for k, b in enumerate(found):
+        words = re.findall(r"\w+", b.text.lower())
+        stops = sum(w in h.STOP_WORDS for w in words) / max(1, len(words))
+        much = b.links / max(1, sum(ch != " " for ch in b.text)) > 0.33
+        if page and much:
+            mates = [x for x in found if x.in_list == b.in_list]
+            much = len(mates) > 1 and all(x.links / max(1, sum(ch != " " for ch in x.text)) > 0.33 for x in mates) if b.in_list >= 0 else b.of not in h.PROSE and b.n_links > 1
+        if b.inside == "boiler" or page and b.inside != "article":
+            out.append(("bad", False))
+        elif much:
+            out.append(("bad", not page))
+        elif len(b.text) >= 200 and stops >= 0.25:
+            out.append(("good", True))
+        elif not page and ("\xa9" in b.text or len(b.text) >= 70 and stops < 0.15):
+            out.append(("bad", True))
+        else:
+            out.append(("", False))
+    final = []
+    for k, (label, _) in enumerate(out):
+        near = sorted((abs(i - k), i) for i, (_, words) in enumerate(out) if words)
+        final.append(label or (out[near[0][1]][0] if near else "good" if page or len(found[k].text) >= 70 else "bad"))
+    return final
+
+
+def test_both_passes_are_the_plain_ones():
+    rng = random.Random(9)
+    seen = Counter()
+    for n in range(600):
+        found = []
+        for _ in range(rng.randrange(1, 14)):
+            words = ["the", "of"] if rng.random() < 0.5 else ["some", "thing"]
+            text = " ".join(rng.choice(words + ["prose", "here"] * rng.randrange(3)) for _ in range(rng.choice([1, 3, 12, 20, 60]))) + rng.choice(["", "", " \xa9"])
+            inside = rng.choice(["", "", "boiler"] if n % 2 else ["article", "article", "", "boiler"])
+            found.append(html_extract.Block(text, rng.choice([0, 0, 0, len(text)]), inside, n_links=rng.randrange(3), of=rng.choice(["p", "div", "li"]), in_list=rng.choice([-1, -1, 1, 2])))
+        want = plain_labels(found)
+        seen.update(want)
+        assert [b.label for b in html_extract.decide(found)] == want
+    assert min(seen["good"], seen["bad"]) > 500
+
+
+@pytest.mark.parametrize("name", ["market share", "related-work", "x hidden y", "tag-line social-science", "adverb"])
+def test_names_that_are_no_boilerplate(name):
+    page = f"<body><article><h1>Title</h1><p class='{name}'>A paragraph of the article.</p><p id='{name}'>And one more.</p></article></body>"
+    assert html_extract.main_text(page) == "Title\nA paragraph of the article.\nAnd one more."
+
+
+@pytest.mark.parametrize("tag", ["div class='cookie-notice'", "section id='postComments'", "p class=ad", "div class='site-nav mobile'", "div hidden", "p style='color: red; display: none'", "ul class='share-buttons'", "div class='article-footer'", "div role=complementary"])
+def test_names_that_are_boilerplate(tag):
+    page = f"<body><article><h1>Title</h1><p>Text.</p><{tag}>Not of it.</{tag.split()[0]}><p>More.</p></article></body>"
+    assert html_extract.main_text(page) == "Title\nText.\nMore."
+
+
+def test_open_anchors_are_no_links_for_the_rest_of_the_page():
+    good = "This is the text of the page and it has the words that are in all of the texts, as one can see. " * 4
+    for anchor in ("<a name=top>", "<a href=x>Open", "<A HREF='x'>Open <a href=y>twice"):
+        page = f"<body><div>{anchor}</div><p>{good}</p><p>Short.</p></body>"
+        assert html_extract.main_text(page).split("\n")[-2:] == [good.strip(), "Short."]
+        assert html_extract.main_text(f"<article><p>{anchor}</p><div>First <i>one</i> here</div><div>Next.</div></article>").endswith("First one here\nNext.")
+
+
 def test_extract(spark):
     schema = "page_id bigint, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (None, None, None, None), (3, "x", "<p>" + "the and of " * 20000, None)], schema)
