@@ -11,6 +11,7 @@ import weakref
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +119,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def kept_on_disk(df: DataFrame) -> DataFrame:
+    """df, persisted by the executors' disks until release(); what a lost executor had is computed again."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _persisted.append((weakref.ref(df.sparkSession), df))
+    return df
+
+
+_persisted: list[tuple[weakref.ref, DataFrame]] = []
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes the tables written so far under this session; results that still read them must have been taken."""
+    """Deletes the tables written and lets go of the frames kept so far under this session; results that still read them must have been taken."""
+    for i in range(len(_persisted) - 1, -1, -1):
+        if _persisted[i][0]() is spark:
+            _persisted.pop(i)[1].unpersist()
     for i in range(len(_made) - 1, -1, -1):
         if _made[i][0]() is spark:
             _delete(spark, _made.pop(i)[1])

@@ -16,13 +16,18 @@ that is a third of all tokens is one entry of each block.
 Clustering. The most frequent words start as classes of their own, all others
 in one. In each round the shards get every word's counts of left and right
 neighbour classes and move it to the class with the greatest gain in
-log-likelihood (of the exchange alone, all other words being held).
-
-Edge cases: a null or empty text is the end token alone; a document whose
-doc_id is null is in no fold, so it trains the model; repeated rows are counted
-as often as they occur; an empty table yields an empty one; if no document
-trains, no word is known and both scores rest on the add-0.1 of an empty table.
-Words are told apart by 64-bit hashes.
+log-likelihood (of the exchange alone, all other words being held). All words
+move in the first round, then every other one by hash. Words that move together
+can lose together: a round that does not raise the likelihood is taken back,
+and the next one moves half as many words.
+
+Edge cases: a null or empty text is the end token alone; a document of any
+length is one part of one block; a document whose doc_id is null is in no fold,
+so it trains the model; repeated rows are counted as often as they occur; words
+equally frequent go by hash, classes with equal gains by number; an empty table
+yields an empty one; if no document trains, no word is known and both scores
+rest on the add-0.1 of an empty table; extra columns, whatever their names, are
+not read. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,11 +38,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct_sorted, lower_ascii, rare_collections, shards, words_of, written
+from .common import WordHashes, distinct_sorted, kept_on_disk, lower_ascii, rare_collections, shards, words_of, written
 
 CLASSES = 32
 ROUNDS = 3
@@ -190,6 +195,11 @@ def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, classes: n
     return out
 
 
+def moves_in(words: np.ndarray, parts: int, turn: int) -> np.ndarray:
+    """Which words, by hash, may move in a round that moves one in `parts`."""
+    return (words >> np.uint64(7)) % np.uint64(parts) == turn % parts
+
+
 def likelihood(pairs: np.ndarray) -> float:
     """What the classes contribute to the log-likelihood of the training text."""
     return float(_phi(pairs).sum() - _phi(pairs.sum(0)).sum() - _phi(pairs.sum(1)).sum())
@@ -252,7 +262,7 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
     n_shards = shards(docs)
     gathered = written(blocks_of(docs, n_shards, held_out), "blocks")
     # dealt once; lost parts are read again from the written table
-    payload = gathered.filter("shard = -1").select("block", "data").repartition(n_shards, "block").persist(StorageLevel.DISK_ONLY)
+    payload = kept_on_disk(gathered.filter("shard = -1").select("block", "data").repartition(n_shards, "block"))
     answers = written(vocabulary(gathered.filter("shard >= 0")), "words")
 
     def largest(batches):
@@ -294,8 +304,8 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
             rows.append((b, key[0], dump(at, c[word], counts)))
         return _frame(rows)
 
-    def told():
-        return answers.filter("block >= 0").groupBy("shard").cogroup(current.groupBy("shard")).applyInPandas(tell, _ROWS)
+    def told(current: DataFrame) -> DataFrame:
+        return written(answers.filter("block >= 0").groupBy("shard").cogroup(current.groupBy("shard")).applyInPandas(tell, _ROWS), "told")
 
     def count_pairs(key, mine, said):
         import pandas as pd
@@ -342,7 +352,7 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
             rows.append((key[0], int(s), dump(mine_at.astype(np.uint32), *[y for x, i in zip(cells, some) for y in (np.diff(i, prepend=0).astype(np.uint32), x[i])])))
         return _frame(rows)
 
-    def improved(shared, part: int):
+    def improved(shared, one_in: int, turn: int):
         def run(key, news, mine):
             pairs = shared.value
             words = {b: load(d) for b, d in zip(mine["block"], mine["data"])}
@@ -358,28 +368,29 @@ def scored(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUN
                     side[own[i // classes], i % classes] += x
             safe = np.where(c == NONE, 0, c)
             new = exchange(*sums, counts, safe, pairs)
-            if part:  # later rounds move every other word, so that few neighbours move at once
-                hashes_ = load(mine.loc[mine["block"] == -1, "data"].iloc[0])[0]
-                new = np.where((hashes_ >> np.uint64(7)) % np.uint64(2) == part % 2, new, safe)
+            hashes_ = load(mine.loc[mine["block"] == -1, "data"].iloc[0])[0]
+            new = np.where(moves_in(hashes_, one_in, turn), new, safe)
             return _frame([(-1, key[0], dump(np.where(c == NONE, NONE, new).astype(np.uint8)))])
 
         return run
 
-    best, best_value = None, -np.inf
-    for number in range((rounds if n else 0) + 1):
-        answered = written(told(), "told")
+    best, parts = None, 1
+    for turn in range((rounds if n else 0) + 1):
+        answered = told(current)
         pairs = pairs_of(answered)
         value = likelihood(pairs)
-        if best is not None and value <= best_value:
-            break  # moved together, the words have lost: the classes before stand
-        best, best_value = (answered, pairs), value
-        if number == rounds or not n:
+        if best is None or value > best[0]:
+            best = value, current, answered, pairs
+        else:
+            parts *= 2
+        _, current, answered, pairs = best
+        if turn == rounds or not n:
             break
         shared = spark.sparkContext.broadcast(pairs)
         news = payload.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(neighbours, _ROWS)
         state = answers.join(current.select("shard", F.lit(-1).cast("bigint").alias("block"), F.col("data").alias("now")), ["shard", "block"], "left").select("block", "shard", "data", "now")
-        current = written(news.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(improved(shared, number), _ROWS), "classes")
-    answered, pairs = best
+        current = written(news.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(improved(shared, parts, turn), _ROWS), "classes")
+        parts = max(parts, 2)
     shared = spark.sparkContext.broadcast(Model(pairs, n, v, weight))
 
     def score(key, mine, said):

@@ -201,6 +201,67 @@ def test_lm_base(docs, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
+def plain_scores(rows, held, classes, rounds):
+    """The model learnt and the documents scored token by token, with nothing dealt out."""
+    hashed = lambda w: xxhash.xxh3_64_intdigest(w)
+    docs = [(i, [hashed(w) for w in WORDS.findall(lower(t or ""))] + [hashed("")]) for i, t in rows]
+    count = Counter(w for i, d in docs if not held(i) for w in d)
+    words, end = sorted(count), hashed("")
+    n, v, at = sum(count.values()), len(count), {w: k for k, w in enumerate(sorted(count))}
+    order = sorted((w for w in words if w != end), key=lambda w: (-count[w], int(np.uint64(w).view(np.int64))))
+    first = {w: k for k, w in enumerate(order[: classes - 2])} | {end: classes - 1}
+    now = np.array([first.get(w, classes - 2) for w in words], np.uint8)
+
+    def counted(c):
+        pairs, left, right = np.zeros((classes, classes)), np.zeros((v, classes), np.uint32), np.zeros((v, classes), np.uint32)
+        for i, d in docs:
+            if not held(i):
+                k = [classes - 1] + [int(c[at[w]]) for w in d]
+                for j, w in enumerate(d):
+                    pairs[k[j], k[j + 1]] += 1
+                    left[at[w], k[j]] += 1
+                    right[at[w], k[j + 2] if j + 2 < len(k) else classes - 1] += 1
+        return pairs, left, right
+
+    best, parts = None, 1
+    for turn in range(rounds + 1):
+        pairs, left, right = counted(now)
+        value = lm_scoring.likelihood(pairs)
+        if best is None or value > best[0]:
+            best = value, now, pairs, left, right
+        else:
+            parts *= 2
+        _, now, pairs, left, right = best
+        if turn < rounds:
+            new = lm_scoring.exchange(left, right, np.array([count[w] for w in words]), now, pairs)
+            now = np.where([(w >> 7) % parts == turn % parts for w in words], new, now).astype(np.uint8)
+            parts = max(parts, 2)
+    totals = pairs.sum(0)
+    share = (totals + 0.1) / (totals.sum() + 0.1 * classes)
+    out = Counter()
+    for i, d in docs:
+        score, before = 0.0, classes - 1
+        for w in d:
+            unigram, unknown = (count[w] + 0.1) / (n + 0.1 * (v + 1)), 0.1 / (n + 0.1 * (v + 1))
+            own = unknown
+            if count[w]:
+                c = int(now[at[w]])
+                own = (1 - unknown) * (pairs[before, c] + classes * share[c]) / (pairs[before].sum() + classes) * count[w] / max(totals[c], 1)
+                before = c
+            score += math.log10(0.9 * own + 0.1 * unigram)
+        out[i, round(score, 6)] += 1
+    return out
+
+
+@pytest.mark.parametrize("classes,rounds", [(8, 3), (4, 5), (8, 0)])
+def test_lm_scores_are_the_plain_ones(spark, corpus, docs, monkeypatch, classes, rounds):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 700)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    for df in (corpus.limit(150), docs.filter("text is null or length(text) < 4000")):
+        got = lm_scoring.scored(df, fold("doc_id", 10) == 0, classes, rounds).collect()
+        assert Counter((r.doc_id, round(r.score, 6)) for r in got) == plain_scores(rows_of(df), held, classes, rounds)
+
+
 def test_lm_learns_classes(corpus):
     rows = lm_scoring.scored(corpus, fold("doc_id", 10) == 0, classes=8).filter("held_out").collect()
     tokens = sum(r.n_tokens for r in rows)
@@ -657,6 +718,25 @@ def test_licenses(docs, none):
     assert text[a:b] == "Released under the MIT License" and saved > license_scan.LEAST_SAVED
 
 
+def test_altered_words_at_either_end():
+    """Found with one difference, whatever the words before and behind are."""
+    s, rng = license_scan.Scanner(), random.Random(1)
+    for name, template in license_scan.TEMPLATES.items():
+        words = template.split()
+        if s.most[name] and name != "BSD-2-Clause":  # whose only licensing word is its first
+            for k in (0, -1):
+                own = list(words)
+                own[k] = "altered"
+                sides = [[words[k] if x == 5 else f"w{rng.randrange(99)}" for x in range(rng.choice([7, 12, 70]))] for _ in range(2)]
+                found = [(x[0], x[3]) for x in s.scan(" ".join(sides[0] + own + sides[1]))]
+                assert found == [(name, 1)], (name, k, found)
+
+
+def test_equal_templates_go_by_name():
+    s = license_scan.Scanner({k: license_scan.TEMPLATES["MIT"] for k in "BAC"})
+    assert [x[0] for x in s.scan("x Released under the MIT License. y")] == ["A"]
+
+
 @pytest.mark.parametrize("n_words", [100, 300, 600, 1000, 3000, 20000])
 def test_unaltered_notice_in_a_long_line(n_words):
     s, rng = license_scan.Scanner(), random.Random(n_words)
