@@ -20,10 +20,10 @@ tokens count as frequent changes the cost and never the result.
 Verification. The members of a key are first compared with its least member.
 Links found that way join most of a large group of near copies at the price of
 one comparison each; then only pairs of a key that are still in different
-components are compared. Where a key still has many such members, they are
-dealt on by bands of their sketches (parities of tokens by hash): sets that
-link differ in few tokens, so that of one band more than that one is equal in
-both. Their pairs are found by sizes and places first, so that members of no
+components are compared, where their sizes, places and folded sketches (parities
+of tokens by hash) allow a link. Where a key still has many such members, they
+are dealt on by bands of their sketches: sets that link differ in few tokens, so that
+of one band more than that one is equal in both. Their pairs are found by sizes and places first, so that members of no
 two sizes that could link meet. Texts of the documents that take part are
 compared by whole sets.
 
@@ -58,7 +58,7 @@ MOST_FREQUENT = 4_000_000
 #: Values that classes are counted by: a token's count goes no further.
 CLASSES = 1 << 12
 #: Members of a key, left in different components, that meet each other directly; more go through bands.
-HOT = 64
+HOT = 1000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -451,42 +451,76 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int =
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+#: Columns of a sketch folded to 64 bits each, by which a join tells most unlike sets apart.
+FOLDED = ["s0", "s1", "s2", "s3"]
+
+
+def with_folded(classes: DataFrame) -> DataFrame:
+    """cls and the sketch as FOLDED."""
+
+    def run(batches):
+        for batch in batches:
+            blobs = batch.column(1).to_pylist()
+            bits = np.array([folded(np.frombuffer(b, np.uint8)[None], 8 * len(FOLDED))[0] for b in blobs], np.uint8).reshape(-1, 8 * len(FOLDED)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.ascontiguousarray(bits.T))], ["cls", *FOLDED])
+
+    return classes.select("cls", "sketch").mapInArrow(run, "cls bigint, " + ", ".join(f"{c} bigint" for c in FOLDED))
+
+
 def banded(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """apart (key, cls, n, r, component) with each key made finer by the bands of its members' sketches; pairs that link stay together under one key at least."""
-    rows = apart.join(classes.select("cls", "sketch"), "cls").select("key", "cls", "n", "r", "component", "sketch")
+    """apart with each key made finer by the bands of its members' sketches; pairs that link stay together under one key at least."""
+    names = ["key", "cls", "n", "r", "component", *FOLDED]
+    rows = apart.join(classes.select("cls", "sketch"), "cls").select(*names, "sketch")
 
     def run(batches):
         known: dict[int, list[int]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                columns = [c.to_pylist() for c in batch.slice(start, 256).columns]
-                out = []
-                for key, cls, n, r, component, sketch in zip(*columns):
+                part = batch.slice(start, 256)
+                keys, at = [], []
+                for i, (key, cls, n, sketch) in enumerate(zip(*(part.column(k).to_pylist() for k in ("key", "cls", "n", "sketch")))):
                     if cls not in known:
                         if len(known) > 2000:
                             known.clear()
                         known[cls] = [b for c in size_classes(n, percent) for b in bands_of(sketch, c, percent)]
-                    out += [(xxhash.xxh3_64_intdigest(b.to_bytes(8, "little"), key & 0xFFFFFFFFFFFFFFFF) - (1 << 63), cls, n, r, component) for b in known[cls]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["key", "cls", "n", "r", "component"])
+                    keys += [xxhash.xxh3_64_intdigest(b.to_bytes(8, "little"), key & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for b in known[cls]]
+                    at += [i] * len(known[cls])
+                rest = part.select(names[1:]).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], names)
+
+    return rows.mapInArrow(run, "key bigint, cls bigint, n int, r int, component bigint, " + ", ".join(f"{c} bigint" for c in FOLDED))
+
 
-    return rows.mapInArrow(run, "key bigint, cls bigint, n int, r int, component bigint")
+def unlinked(x: str, y: str, percent: int):
+    """Whether rows x and y of one key are in different components and may link by sizes, places and folded sketches."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    differ = sum((F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in FOLDED), F.lit(0))
+    alike = differ * (100 + percent) <= (c(x, "n") + c(y, "n")) * (100 - percent)
+    return (c(x, "component") != c(y, "component")) & may_link((c(x, "n"), c(x, "r")), (c(y, "n"), c(y, "r")), percent) & alike
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")]
 
 
 def met(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) of classes of one key (key, cls, n, r, component) in different components whose sizes and places allow a link.
+    """Pairs (a, b) of unlinked() classes of one key; for keys of few members."""
+    x, y = apart.alias("x"), apart.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
-    Sizes and places meet first, each once for a key, and only where two of
-    them allow a link their members.
-    """
+
+def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same for keys of many members: sizes and places meet first, each once for a key, and only where two of them allow a link their members."""
     kinds = apart.groupBy("key", "n", "r").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     x, y = kinds.alias("x"), kinds.alias("y")
     ordered = F.struct("x.n", "x.r") <= F.struct("y.n", "y.r")
     several = F.least("x.least", "y.least") != F.greatest("x.most", "y.most")
     kinds = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & several & may_link((F.col("x.n"), F.col("x.r")), (F.col("y.n"), F.col("y.r")), percent))
     kinds = kinds.select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.r").alias("r"), F.col("y.n").alias("n2"), F.col("y.r").alias("r2"))
-    left = kinds.join(apart, ["key", "n", "r"]).select("key", F.col("n2").alias("n"), F.col("r2").alias("r"), F.col("cls").alias("c1"), F.col("component").alias("k1"))
-    both = left.join(apart, ["key", "n", "r"]).filter("c1 != cls and k1 != component")
-    return both.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b")).distinct()
+    left = kinds.join(apart, ["key", "n", "r"]).alias("x")
+    y = apart.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.r2") == F.col("y.r"))
+    return left.join(y, same & (F.col("x.cls") != F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
 
 def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -512,13 +546,13 @@ def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     # what the comparison with a key's leader left apart
     apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
     split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
-    apart = written(apart.join(split, "key"), "apart")
-    many = apart.filter(F.col("m") > hot)
-    rest = apart.filter(F.col("m") <= hot).drop("m")
+    apart = written(apart.join(split, "key").join(with_folded(classes), "cls"), "apart")
+    rest, many = met(apart.filter(F.col("m") <= hot), percent), apart.filter(F.col("m") > hot)
     if many.limit(1).count():
-        finer = written(banded(many.drop("m"), classes, percent), "bands")
-        rest = rest.unionByName(finer.join(finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key"), "key"))
-    rest = met(rest, percent)
+        finer = written(banded(many, classes, percent), "bands")
+        several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+        rest = rest.union(met_by_kind(finer.join(several, "key"), percent))
+    rest = rest.distinct()
     rest = written(likely(rest, classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         more = written(verified(rest, docs, classes, width, percent), "links")
