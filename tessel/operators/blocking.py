@@ -83,20 +83,45 @@ def query_words(queries: DataFrame) -> DataFrame:
     return each.filter(~F.col("word").rlike(r"^\d+\.?\d*$")).select("norm", F.substring("word", 1, KEY).alias("probe")).distinct()
 
 
-def candidate_classes(queries: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Distinct (norm, i_norm, comp_key) for the distinct norms of queries; kinds from classes()."""
+def found_keys(queries: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Distinct (norm, idx, key) for the distinct norms of queries; kinds from classes()."""
     own = query_words(queries)
     keys = posting_lists(kinds).select("idx", "key", "first_item")
-    found = probes_to_keys(own.select("probe").distinct(), keys)
-    posts = postings(kinds.select(F.col("norm"), "comp_key", F.col("norm").alias("i_norm")), "i_norm", "comp_key")
-    return own.join(found, "probe").select("norm", "idx", "key").distinct().join(posts, ["idx", "key"]).select("norm", "i_norm", "comp_key").distinct()
+    return own.join(probes_to_keys(own.select("probe").distinct(), keys), "probe").select("norm", "idx", "key").distinct()
+
+
+def names_behind(kinds: DataFrame) -> DataFrame:
+    """idx, key, i_norm, name_key, n_items, first_item: the distinct names behind each key, with the items that the key leads to."""
+    posts = postings(kinds.select("norm", "comp_key", F.col("norm").alias("i_norm"), "n_items", "first_item"), "i_norm", "n_items", "first_item")
+    return posts.groupBy("idx", "key", "i_norm").agg(F.sum("n_items").alias("n_items"), F.min("first_item").alias("first_item")).withColumn("name_key", key_of(F.col("i_norm")))
+
+
+def candidate_names(queries: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(norm, i_norm, comp_key, n_items, first_item): what each norm is compared with, every item under one row.
+
+    comp_key is null where all items of the name are candidates, as the name's
+    key was found; else those of this company key are. A name that both keys
+    lead to is left to the first, by an anti-join of keys: no pair of norm and
+    name is ever sorted out by a shuffle.
+    """
+    found, names = found_keys(queries, kinds), names_behind(kinds)
+    by_name = found.filter("idx = 'name'").select("norm", "key").join(names.filter("idx = 'name'").drop("name_key"), "key")
+    behind = names.filter("idx = 'company'")
+    combos = behind.select("key", "name_key").distinct()
+    left = found.filter("idx = 'company'").select("norm", "key").join(combos, "key")
+    left = left.join(found.filter("idx = 'name'").select("norm", F.col("key").alias("name_key")), ["norm", "name_key"], "left_anti")
+    # names without words have no key and are found by company alone
+    bare = found.filter("idx = 'company'").select("norm", "key").join(behind.filter("name_key is null").drop("name_key"), "key")
+    by_company = left.join(behind, ["key", "name_key"]).drop("name_key").unionByName(bare)
+    columns = lambda df, key: df.select("norm", "i_norm", key.alias("comp_key"), "n_items", "first_item")
+    return columns(by_name, F.lit(None).cast("string")).unionByName(columns(by_company, F.col("key")))
 
 
 def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
     """J6 by item: distinct (norm, item_id); items from prepared()."""
-    own = items.select("item_id", F.col("norm").alias("i_norm"), key_of(F.col("comp_norm")).alias("comp_key"))
-    found = candidate_classes(queries, classes(items))
-    return found.join(own, (found.i_norm == own.i_norm) & found.comp_key.eqNullSafe(own.comp_key)).select("norm", "item_id")
+    own = items.select("item_id", F.col("norm").alias("i_norm"), key_of(F.col("comp_norm")).alias("_k"))
+    found = candidate_names(queries, classes(items))
+    return found.join(own, "i_norm").filter("comp_key is null or comp_key = _k").select("norm", "item_id")
 
 
 def containing(queries: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.similarity import best_ratio, dice, partial_ratio, ratio_of, token_set_ratio
+from ..functions.similarity import TokenSets, best_ratios, dice, partial_ratio, ratio_of
+from ..storage import written
 from . import blocking
 
 #: Stage one keeps this score and this many items of a query.
 LEAST_SCORE, MOST_ITEMS = 50, 120
+#: Distinct query norms and distinct item names that one task compares at once.
+CELL_QUERIES, CELL_NAMES = 512, 4096
+
+_FEATURES = StructType([
+    StructField("front", IntegerType()), StructField("matched", DoubleType()), *(StructField(n, IntegerType()) for n in ("proximity", "exactness", "len_diff")),
+    StructField("brand", StringType()), StructField("in_name", BooleanType()),
+])
+
 
-_FEATURES = StructType([StructField("front", IntegerType()), StructField("matched", DoubleType()), *(StructField(n, IntegerType()) for n in ("proximity", "exactness", "len_diff"))])
+@lru_cache(200_000)
+def _like(a: str, b: str) -> float:
+    return ratio_of(a, b)
 
 
 def token_features_of(query: list[str], item: list[str]) -> tuple[int, float, int, int, int]:
@@ -24,47 +39,62 @@ def token_features_of(query: list[str], item: list[str]) -> tuple[int, float, in
     hits = [next(((i, t == q) for i, t in enumerate(item) if t.startswith(q)), None) for q in query]
     exact = sum(1 for h in hits if h and h[1])
     prefix = sum(1 for h in hits if h and not h[1])
-    like = sum(1 for q, h in zip(query, hits) if h is None and len(q) >= 3 and any(len(t) >= 3 and ratio_of(q, t) >= 70 for t in item))
+    like = sum(1 for q, h in zip(query, hits) if h is None and len(q) >= 3 and any(len(t) >= 3 and _like(q, t) >= 70 for t in item))
     front = next((i for i, (q, t) in enumerate(zip(query, item)) if q != t), min(len(query), len(item)))
     places = [h[0] for h in hits if h]
     gaps = sum(abs(b - a) for a, b in zip(places, places[1:]))
     return front, round(exact + prefix + 0.8 * like, 1), -gaps, 2 * exact + prefix, -abs(len(query) - len(item))
 
 
+@lru_cache(100_000)
+def _tokens(norm: str) -> list[str]:
+    """T4 of a text in search form."""
+    return [{"cc": "ml", "grm": "ml", "g": "gm"}.get(t, t) for t in re.findall("[a-z]+|[0-9.]+", norm)]
+
+
+def brand_of(tokens: list[str]) -> str:
+    """The first token, or the second if the first has one or two characters."""
+    return tokens[1] if len(tokens) > 1 and len(tokens[0]) <= 2 else tokens[0] if tokens else ""
+
+
 @pandas_udf(_FEATURES)
-def token_features(query: pd.Series, item: pd.Series) -> pd.DataFrame:
-    known: dict = {}
+def features(norm: pd.Series, i_norm: pd.Series) -> pd.DataFrame:
+    """SC1 of two norms, the query's brand, and the part of SC3 that the item's name decides."""
+    known: dict[tuple[str, str], tuple] = {}
     out = []
-    for q, i in zip(query, item):
-        key = tuple(q), tuple(i)
+    for key in zip(norm, i_norm):
         if key not in known:
-            known[key] = token_features_of(*map(list, key))
+            q, brand = _tokens(key[0]), brand_of(_tokens(key[0]))
+            known[key] = *token_features_of(q, _tokens(key[1])), brand, brand in key[1] or any(_like(brand, w) >= 75 for w in key[1].split())
         out.append(known[key])
-    return pd.DataFrame(out, columns=["front", "matched", "proximity", "exactness", "len_diff"])
+    return pd.DataFrame(out, columns=_FEATURES.names).astype({"brand": object})
 
 
-def pack_score(q_pack, i_pack, cross_format: bool = True) -> Column:
-    """SC2: 50 without packs, 100 for equal ones, 80 if one contains the other, 90 for one quantity and no other unit."""
-    form = T.search_form if cross_format else T.browser_form
-    q, i = form(q_pack), form(i_pack)
-    q_parts, i_parts = T.pack(q_pack), T.pack(i_pack)
-    same = (q_parts.qty != "") & (q_parts.qty == i_parts.qty) & ((q_parts.unit == "") | (i_parts.unit == "") | (q_parts.unit == i_parts.unit))
-    given = (T._text(q_pack) != "") & (T._text(i_pack) != "")
-    out = F.when(~given, 50.0).when(q == i, 100.0).when(F.contains(i, q) | F.contains(q, i), 80.0)
-    return (out.when(same, 90.0) if cross_format else out).otherwise(50.0)
+@pandas_udf(BooleanType())
+def _in_company(brand: pd.Series, comp_norm: pd.Series) -> pd.Series:
+    known = dict.fromkeys(zip(brand, comp_norm))
+    best = best_ratios([(b, tuple(c.split())) for b, c in known])
+    known = {k: k[0] in k[1] or x >= 75 for k, x in zip(known, best)}
+    return pd.Series([known[k] for k in zip(brand, comp_norm)], dtype=bool)
 
 
-def brand_of(tokens: Column) -> Column:
-    """The first token, or the second if the first has one or two characters."""
-    first, second = F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), F.get(tokens, F.lit(1))
-    return F.when((F.length(first) <= 2) & (first != "") & second.isNotNull(), second).otherwise(first)
+def brand_penalty(brand: Column, in_name: Column, comp_norm: Column) -> Column:
+    """SC3: 0.65 where a brand of three characters or more is neither in the item's name or company nor like a word of them."""
+    return F.when((F.length(brand) > 2) & ~(in_name | _in_company(brand, comp_norm)), 0.65).otherwise(1.0)
 
 
-def brand_penalty(brand: Column, norm: Column, comp_norm: Column) -> Column:
-    """SC3: 0.65 where a brand of three characters or more is neither in the item's name or company nor like a word of them."""
-    words = F.concat(T.words(norm), T.words(comp_norm))
-    known = F.contains(norm, brand) | F.contains(comp_norm, brand) | (best_ratio(brand, words) >= 75)
-    return F.when((F.length(brand) > 2) & ~known, 0.65).otherwise(1.0)
+def pack_side(c, cross_format: bool = True) -> Column:
+    """What SC2 needs of a pack text."""
+    form = T.search_form if cross_format else T.browser_form
+    return F.struct((T._text(c) != "").alias("given"), form(c).alias("form"), T.pack(c).alias("parts"))
+
+
+def pack_score(q: Column, i: Column, cross_format: bool = True) -> Column:
+    """SC2: 50 without packs, 100 for equal ones, 80 if one contains the other, 90 for one quantity and no other unit; q, i: pack_side()."""
+    a, b = q.parts, i.parts
+    same = (a.qty != "") & (a.qty == b.qty) & ((a.unit == "") | (b.unit == "") | (a.unit == b.unit))
+    out = F.when(~(q.given & i.given), 50.0).when(q.form == i.form, 100.0).when(F.contains(i.form, q.form) | F.contains(q.form, i.form), 80.0)
+    return (out.when(same, 90.0) if cross_format else out).otherwise(50.0)
 
 
 def company_bonus(q_comp_norm: Column, comp_norm: Column) -> Column:
@@ -78,26 +108,69 @@ def final_score(stage1: Column, penalty: Column, packs: Column, bonus: Column) -
     return stage1 * penalty * 0.75 + packs * 0.25 + bonus
 
 
+_SCORED = "norm string, i_norm string, comp_key string, n_items bigint, stage1 double"
+
+
+def _compare(key, queries: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    """The scores in a cell of LEAST_SCORE and more of those names that can be among a norm's first MOST_ITEMS items.
+
+    A name that its own key leads a norm to is left to that key.
+    """
+    idx, comp_key = key[0], key[1]
+    texts, n = names["i_norm"].to_numpy(object), names["n_items"].to_numpy()
+    own_key = names["name_key"].to_numpy(object)
+    sets, out = TokenSets(list(texts)), []
+    for norm, taken in zip(queries["norm"], queries["name_keys"]):
+        scores = sets.scores(norm, LEAST_SCORE)
+        at = np.flatnonzero(scores >= LEAST_SCORE)
+        if idx == "company" and taken is not None and len(taken):
+            skip = set(taken)
+            at = at[[k not in skip for k in own_key[at]]]
+        at = at[np.argsort(-scores[at], kind="stable")]
+        if len(at):
+            got = scores[at]
+            first = np.searchsorted(-got, -got, "left")  # of those with the same score
+            before = np.cumsum(n[at]) - n[at]
+            at = at[before[first] < MOST_ITEMS]
+            out.append(pd.DataFrame({"norm": norm, "i_norm": texts[at], "comp_key": None if idx == "name" else comp_key, "n_items": n[at], "stage1": scores[at]}))
+    out = pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("norm", "i_norm", "comp_key", "n_items", "stage1")})
+    return out.astype(dict.fromkeys(("norm", "i_norm", "comp_key"), object))
+
+
+def compared(queries: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The candidates of each norm with their stage1 score, in cells of CELL_QUERIES norms and CELL_NAMES names.
+
+    All norms and names of one key meet, however many there are: a key that
+    holds a third of all is dealt to as many cells as it takes, and no row is
+    made for a pair that does not count.
+    """
+    found, names = blocking.found_keys(queries, kinds), blocking.names_behind(kinds).drop("first_item")
+    size = lambda df, most, name: df.groupBy("idx", "key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    cells = size(found, CELL_QUERIES, "q_cells").join(size(names, CELL_NAMES, "i_cells"), ["idx", "key"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    taken = found.filter("idx = 'name'").groupBy("norm").agg(F.collect_set("key").alias("name_keys"))  # some forty for each word at most
+    asked = found.join(taken, "norm", "left").withColumn("name_keys", F.when(F.col("idx") == "company", F.col("name_keys")))
+    asked = asked.join(cells, ["idx", "key"]).withColumn("q_cell", F.pmod(F.xxhash64("norm"), "q_cells").cast("int")).withColumn("i_cell", every("i_cells"))
+    named = names.join(cells, ["idx", "key"]).withColumn("i_cell", F.pmod(F.xxhash64("i_norm"), "i_cells").cast("int")).withColumn("q_cell", every("q_cells"))
+    cell = ["idx", "key", "q_cell", "i_cell"]
+    return asked.select(*cell, "norm", "name_keys").groupBy(*cell).cogroup(named.select(*cell, "i_norm", "name_key", "n_items").groupBy(*cell)).applyInPandas(_compare, _SCORED)
+
+
 def stage_one(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """PF3, S1: (norm, item_id, stage1): the MOST_ITEMS best candidates of each distinct norm.
+    """PF3, S1: (norm, i_norm, item_id, stage1): the MOST_ITEMS best candidates of each distinct norm.
 
-    Works on classes of items with equal names and company keys: scores are
-    computed once per pair of names, and only classes that can reach the first
-    MOST_ITEMS are opened, each for as many items at most.
+    Names are compared once for each pair of names, and only those that can
+    reach the first MOST_ITEMS are opened, each for as many items at most.
     """
-    kinds = blocking.classes(items)
-    found = blocking.candidate_classes(queries, kinds)
-    pairs = found.select("norm", "i_norm").distinct()
-    scores = pairs.withColumn("stage1", token_set_ratio(F.col("norm"), F.col("i_norm"))).filter(F.col("stage1") >= LEAST_SCORE)
-    sized = found.join(scores, ["norm", "i_norm"]).join(kinds.select(F.col("norm").alias("i_norm"), F.col("comp_key").alias("_k"), "n_items"), "i_norm").filter(F.col("comp_key").eqNullSafe(F.col("_k"))).drop("_k")
+    scores = compared(queries, blocking.classes(items))
     upto = F.sum("n_items").over(W.partitionBy("norm").orderBy(F.desc("stage1")).rangeBetween(W.unboundedPreceding, 0))
     same = F.sum("n_items").over(W.partitionBy("norm", "stage1"))
-    opened = sized.withColumn("_before", upto - same).filter(F.col("_before") < MOST_ITEMS).select("norm", "i_norm", "comp_key", "stage1")
+    opened = scores.withColumn("_before", upto - same).filter(F.col("_before") < MOST_ITEMS).select("norm", "i_norm", "comp_key", "stage1")
     own = items.select("item_id", F.col("norm").alias("i_norm"), blocking.key_of(F.col("comp_norm")).alias("_k"))
     own = own.withColumn("_n", F.row_number().over(W.partitionBy("i_norm", "_k").orderBy("item_id"))).filter(F.col("_n") <= MOST_ITEMS).drop("_n")
-    rows = opened.join(own, "i_norm").filter(F.col("comp_key").eqNullSafe(F.col("_k")))
+    rows = opened.join(own, "i_norm").filter("comp_key is null or comp_key = _k")
     best = W.partitionBy("norm").orderBy(F.desc("stage1"), "item_id")
-    return rows.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= MOST_ITEMS).select("norm", "item_id", "stage1")
+    return rows.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= MOST_ITEMS).select("norm", "i_norm", "item_id", "stage1")
 
 
 def search(queries: DataFrame, items: DataFrame, top_k: int = 5) -> DataFrame:
@@ -108,14 +181,11 @@ def search(queries: DataFrame, items: DataFrame, top_k: int = 5) -> DataFrame:
     name_score, pack_score, final_score and item_id. Ties go to the smaller
     item_id. A query whose name has no words has no rows.
     """
-    q = queries.select("query_id", T._text("name").alias("q_name"), T._text("pack").alias("q_pack"), T._text("compname").alias("q_comp"))
-    q = q.withColumn("norm", T.search_form("q_name")).filter("norm != ''")
-    kept = stage_one(q, items)
-    i = items.select("item_id", "code", "name", "compname", "pack", "strength", F.col("norm").alias("i_norm"), F.col("tokens").alias("i_tokens"), "comp_norm")
-    rows = q.join(kept, "norm").join(i, "item_id").withColumn("q_tokens", T.tokens("q_name"))
-    rows = rows.withColumn("f", token_features(F.col("q_tokens"), F.col("i_tokens")))
-    rows = rows.withColumn("penalty", brand_penalty(brand_of(F.col("q_tokens")), F.col("i_norm"), F.col("comp_norm")))
-    rows = rows.withColumn("bonus", company_bonus(T.search_form("q_comp"), F.col("comp_norm"))).withColumn("pack_score", pack_score("q_pack", "pack"))
+    q = queries.select("query_id", T.search_form("name").alias("norm"), pack_side("pack").alias("q_side"), T.search_form("compname").alias("q_comp")).filter("norm != ''")
+    kept = stage_one(q, items).withColumn("f", features(F.col("norm"), F.col("i_norm"))).drop("i_norm")
+    i = items.select("item_id", "code", "name", "compname", "pack", "strength", "comp_norm", pack_side("pack").alias("i_side"))
+    rows = kept.join(i, "item_id").withColumn("penalty", brand_penalty(F.col("f.brand"), F.col("f.in_name"), F.col("comp_norm")))
+    rows = q.join(rows, "norm").withColumn("bonus", company_bonus(F.col("q_comp"), F.col("comp_norm"))).withColumn("pack_score", pack_score(F.col("q_side"), F.col("i_side")))
     rows = rows.withColumn("name_score", F.col("stage1") * F.col("penalty")).withColumn("final", final_score(F.col("stage1"), F.col("penalty"), F.col("pack_score"), F.col("bonus")))
     order = W.partitionBy("query_id").orderBy(F.desc("final"), *[F.desc(f"f.{c}") for c in ("front", "matched", "proximity", "exactness", "len_diff")], "item_id")
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
@@ -129,12 +199,12 @@ def clamped(top_k: int, least: int = 1, most: int = 20) -> int:
 
 def search_twice(queries: DataFrame, items: DataFrame, top_k: int = 5, least: int = 4, most: int = 8) -> DataFrame:
     """Search; queries with fewer than `least` hits search again with their first longer word, and new codes follow."""
-    first = search(queries, items, top_k).persist()  # top_k short rows per query, used three times
+    first = written(search(queries, items, top_k), "search")  # top_k short rows per query, used three times
     n = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     poor = queries.join(n, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < least).drop("n")
     plain = T.words(T.squeezed(F.regexp_replace(T._text("name"), r"[^a-zA-Z0-9\s]", " ")))
     word = F.get(F.filter(plain, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$")), F.lit(0))
-    again = search(poor.withColumn("name", word).filter("name is not null").persist(), items, top_k)
+    again = search(written(poor.withColumn("name", word).filter("name is not null"), "again"), items, top_k)
     new = again.join(first.select("query_id", "code"), ["query_id", "code"], "left_anti")
     both = first.withColumn("pass", F.lit(1)).unionByName(new.withColumn("pass", F.lit(2)))
     # codes that a search returns twice count once
@@ -159,14 +229,14 @@ def browser_features(q: Column, i: Column) -> Column:
 
 def browser_search(queries: DataFrame, items: DataFrame, least: float = 35, top_k: int | None = 15) -> DataFrame:
     """SC9, S4: query_id, rank, item_id, code, name, compname, pack, strength, score, matched, front: items that contain the first token, best first."""
-    q = queries.select("query_id", T._text("name").alias("q_name"), T._text("pack").alias("q_pack"), T._text("compname").alias("q_comp")).filter(F.length(F.trim("q_name")) >= 2)
+    q = queries.select("query_id", T._text("name").alias("q_name"), pack_side("pack", False).alias("q_side")).filter(F.length(F.trim("q_name")) >= 2)
     q = q.withColumn("q_tokens", T.browser_tokens("q_name")).withColumn("first", F.get("q_tokens", F.lit(0)))
-    i = items.select("item_id", "code", "name", "compname", "pack", "strength").withColumn("i_tokens", T.browser_tokens("name"))
+    i = items.select("item_id", "code", "name", "compname", "pack", "strength", pack_side("pack", False).alias("i_side")).withColumn("i_tokens", T.browser_tokens("name"))
     rows = q.join(blocking.containing(q, items), "first").join(i, "item_id").withColumn("f", browser_features(F.col("q_tokens"), F.col("i_tokens")))
     n = F.size("q_tokens")
     matched = F.col("f.exact") + F.col("f.prefix") + F.col("f.like") * 0.8
     rows = rows.withColumn("matched", F.bround(matched, 1)).withColumn("front", F.col("f.front"))
-    score = (matched / n * 60 + F.col("f.exact") / n * 20 + F.col("front") * 20) * 0.75 + pack_score("q_pack", "pack", cross_format=False) * 0.25
+    score = (matched / n * 60 + F.col("f.exact") / n * 20 + F.col("front") * 20) * 0.75 + pack_score(F.col("q_side"), F.col("i_side"), cross_format=False) * 0.25
     rows = rows.withColumn("score", score).filter(F.col("score") >= least)
     order = W.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("front"), F.desc("score"), "item_id")
     rows = rows.withColumn("rank", F.row_number().over(order))

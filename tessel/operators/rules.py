@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
@@ -206,9 +207,8 @@ def judged(rows: DataFrame, p: Profile = CURRENT, strict: bool = False) -> DataF
 def first_accepted(rows: DataFrame) -> DataFrame:
     """H1: of judged() rows the accepted one of least rank for each query_id."""
     # no filter on the rules: it would be pushed below them with all their inputs repeated
-    own = F.struct(*[c for c in rows.columns if c != "query_id"])
-    best = rows.groupBy("query_id").agg(F.min_by(own, F.when(F.col("accepted"), F.col("rank"))).alias("_r"))
-    return best.filter("_r is not null").select("query_id", "_r.*")
+    first = F.min(F.when(F.col("accepted"), F.col("rank"))).over(W.partitionBy("query_id"))
+    return rows.withColumn("_first", first).filter(F.col("rank") == F.col("_first")).drop("_first")
 
 
 # --- the browser's rules, all native ---

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ranking, rules
+from ..storage import written
 
 
 class Reranker(Protocol):
@@ -106,7 +107,7 @@ def reranked(rows: DataFrame, profile: rules.Profile, reranker: Reranker, open_:
             yield pd.DataFrame(out, columns=["query_id", "rank"])
 
     chosen = lists.mapInPandas(choose, "query_id bigint, rank int")
-    strict = rules.judged(rows.join(chosen, ["query_id", "rank"]).persist(), profile, strict=True)
+    strict = rules.judged(written(rows.join(chosen, ["query_id", "rank"]), "chosen"), profile, strict=True)
     return strict.filter("valid")
 
 
@@ -124,9 +125,9 @@ def run(queries: DataFrame, items: DataFrame, flow: Flow = BATCH, reranker: Rera
     """CA1 to CA3, and CA4 but for its cache. queries: query_id, name, pack, compname[, query]; items: prepared()."""
     asked = queries if flow.with_company else queries.withColumn("compname", F.lit(""))
     hits = ranking.search_twice(asked, items, top_k) if flow.twice else ranking.search(asked, items, top_k)
-    # a few short rows per query; kept, as each rule reads them and the planner would weigh search and rules as one
-    rows = candidate_rows(queries, hits).persist()
-    found = rules.first_accepted(rules.judged(rows, flow.profile)).persist()  # a row per query at most
+    # a few short rows per query; written, as each rule reads them and the planner would weigh search and rules as one
+    rows = written(candidate_rows(queries, hits), "rows")
+    found = written(rules.first_accepted(rules.judged(rows, flow.profile)), "found")  # a row per query at most
     sure = F.lit(True) if flow.any_score else F.col("score") >= flow.accept
     method = F.lit("Heuristic")
     if reranker is None and flow.low_without_model:
@@ -146,11 +147,11 @@ def run(queries: DataFrame, items: DataFrame, flow: Flow = BATCH, reranker: Rera
 
 def run_cached(queries: DataFrame, items: DataFrame, store, reranker: Reranker | None = None) -> DataFrame:
     """CA4 with its cache (sources.cache.ResultCache): hits come from there, all else is matched and stored, misses too."""
-    hits = store.lookup(queries, items).select("query_id", "item_id", "code").persist()
+    hits = written(store.lookup(queries, items).select("query_id", "item_id", "code"), "hits")
     named = hits.join(items.select("item_id", F.col("name").alias("m_name"), F.col("compname").alias("m_comp"), F.col("pack").alias("m_pack"), F.col("strength").alias("m_strength")), "item_id")
     known = named.select("query_id", "item_id", "code", "m_name", "m_comp", "m_pack", "m_strength", F.lit(None).cast("double").alias("score"), F.lit("Cache").alias("method"))
     rest = queries.join(hits.select("query_id"), "query_id", "left_anti")
-    new = run(rest, items, HYBRID, reranker).persist()
+    new = written(run(rest, items, HYBRID, reranker), "new")
     store.save(rest, new)
     return known.unionByName(new)
 

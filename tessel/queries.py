@@ -16,6 +16,7 @@ from .functions import text as T
 from .operators import blocking, ranking, rules
 from .plans import cascade, report
 from .sources import catalog
+from .storage import written
 
 #: Expressions that both engines read alike.
 _SIZE = "cast(p_size as string)"
@@ -51,7 +52,7 @@ def vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.prepared(_made(spark, sf_dir, CATALOG).withColumn("strength", T.strength("name"))).persist()
+    return written(blocking.prepared(_made(spark, sf_dir, CATALOG).withColumn("strength", T.strength("name"))), "items")
 
 
 def all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +203,8 @@ def like_keys(spark, sf_dir):
 def candidate_counts(spark, sf_dir):
     it = items(spark, sf_dir)
     q = vendor(spark, sf_dir).select(T.search_form("name").alias("norm"))
-    kinds = blocking.classes(it)
-    found = blocking.candidate_classes(q, kinds)
-    sized = found.join(kinds.withColumnRenamed("norm", "i_norm"), ["i_norm", "comp_key"])
-    return sized.groupBy("norm").agg(F.sum("n_items").alias("n_items"), F.min("first_item").alias("first_item"))
+    found = blocking.candidate_names(q, blocking.classes(it))
+    return found.groupBy("norm").agg(F.sum("n_items").alias("n_items"), F.min("first_item").alias("first_item"))
 
 
 def search(spark, sf_dir):
@@ -224,7 +223,7 @@ def browser_search(spark, sf_dir):
 def candidate_rules(spark, sf_dir):
     """Every rule of each profile on the candidates of each vendor row."""
     v, it = vendor(spark, sf_dir), items(spark, sf_dir)
-    rows = cascade.candidate_rows(v, ranking.search(v, it)).persist()
+    rows = written(cascade.candidate_rows(v, ranking.search(v, it)), "rows")
     out = None
     for p in rules.PROFILES.values():
         one = rules.judged(rows, p).select(F.lit(p.name).alias("profile"), "query_id", "rank", "code", "valid", "similar_brand", "doses_match", "form_match", "accepted", F.bround("score", 6).alias("score"))

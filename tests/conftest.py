@@ -25,3 +25,13 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def nothing_left(spark):
+    """What a module's queries have written and kept is let go of at its end, as in any session that lives long."""
+    yield
+    from tessel.storage import release
+
+    release(spark)
+    spark.catalog.clearCache()
