@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept_on_disk, new_folder, release, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: The white space of the query contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 _OTHERS = SPACES[1:]
@@ -94,79 +91,6 @@ def shards(docs: DataFrame) -> int:
     return min(MOST_SHARDS, max(n, -(-size // SHARD_BYTES) if size < 1 << 50 else 0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where it is unset and Spark runs in this one machine, as in tests, a
-    temporary folder is made; on a cluster an unset folder is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _made.append((weakref.ref(spark), base))
-    return base.rstrip("/")
-
-
-_made: list[tuple[weakref.ref, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, sc = spark._jvm, spark.sparkContext
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def kept_on_disk(df: DataFrame) -> DataFrame:
-    """df, persisted by the executors' disks until release(); what a lost executor had is computed again."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    _persisted.append((weakref.ref(df.sparkSession), df))
-    return df
-
-
-_persisted: list[tuple[weakref.ref, DataFrame]] = []
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables written and lets go of the frames kept so far under this session; results that still read them must have been taken."""
-    for i in range(len(_persisted) - 1, -1, -1):
-        if _persisted[i][0]() is spark:
-            _persisted.pop(i)[1].unpersist()
-    for i in range(len(_made) - 1, -1, -1):
-        if _made[i][0]() is spark:
-            _delete(spark, _made.pop(i)[1])
-
-
-@atexit.register
-def _clean() -> None:
-    for spark in {ref() for ref, _ in _made} - {None}:
-        if spark.sparkContext._jsc is not None:  # a session that was stopped before leaves its folders
-            try:
-                release(spark)
-            except Exception:
-                return
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """Path of a folder in the shared one that is removed by release(), or when the driver's process ends."""
-    path = f"{shared_dir(spark)}/tessel-{tag}-{uuid.uuid4().hex}"
-    _made.append((weakref.ref(spark), path))
-    return path
-
-
-def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts lineage and survives lost executors.
-
-    The tables are removed by release(), or when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, tag)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str, mod: int):
     """crc32 of the id as text, modulo mod; a null id falls in no fold (null)."""
     return F.crc32(F.col(id_col).cast("string")) % mod
