@@ -60,6 +60,14 @@ COUNT_NOUNS = (
     "tab|tabs|tablet|tablets|cap|caps|capsule|capsules|vial|vials|amp|amps|ampoule|ampoules|sachet|sachets|pc|pcs|piece|pieces|"
     "strip|strips|pack|packs|packet|packets|bottle|bottles|bot|tube|tubes|pair|pairs|set|sets|roll|rolls|s"
 )
+#: Units of pack texts, the first pattern that is found counts; counts like "3 x 10 ml"; counts of a strip; any number.
+PACK_UNITS = [
+    ("ml", r"\bml\b"), ("gm", r"\bgm\b|\bgrams?\b"), ("cap", r"\b(caps?|capsules?)\b"), ("tab", r"\b(tabs?|tablets?)\b"), ("vial", r"\bvials?\b"),
+    ("amp", r"\b(amps?|ampoules?)\b"), ("sachet", r"\bsachets?\b"), ("pc", r"\b(pc|pcs|pieces?)\b|\bps\b"), ("tab", r"\bstrips?\b"),
+]
+PACK_TIMES = r"(\d+)\s*[x*×]\s*(\d+(?:\.\d+)?)\s*(ml|gm|g\b)?"
+PACK_STRIPS = [r"(\d+)\s*s\b", r"\bs\s*(\d+)"]
+PACK_NUMBER = r"(\d+(?:\.\d+)?)"
 PACK_WORDS = (
     "ml|gm|g|mg|tab|tabs|tablet|tablets|cap|caps|capsule|capsules|strip|strips|vial|vials|amp|amps|ampoule|ampoules|sachet|sachets|"
     "pc|pcs|piece|pieces|ps|bottle|tube|box|of|the|per|each"

@@ -142,13 +142,11 @@ def pack(c) -> Column:
     """PK1: struct of quantity and unit of a pack text."""
     c = F.translate(F.lower(F.trim(_text(c))), ",", " ")
     c = _r(_r(c, "([0-9])([a-z])", "$1 $2"), "([a-z])([0-9])", "$1 $2")
-    kinds = [("ml", r"\bml\b"), ("gm", r"\bgm\b|\bgrams?\b"), ("cap", r"\b(caps?|capsules?)\b"), ("tab", r"\b(tabs?|tablets?)\b"), ("vial", r"\bvials?\b"), ("amp", r"\b(amps?|ampoules?)\b"), ("sachet", r"\bsachets?\b"), ("pc", r"\b(pc|pcs|pieces?)\b|\bps\b"), ("tab", r"\bstrips?\b")]
-    unit = F.coalesce(*[F.when(F.regexp_like(c, F.lit(p)), u) for u, p in kinds], F.lit(""))
-    times = r"(\d+)\s*[x*×]\s*(\d+(?:\.\d+)?)\s*(ml|gm|g\b)?"
-    by = F.regexp_extract(c, times, 2)
-    tail = F.regexp_extract(c, times, 3)
-    strip = F.coalesce(*[F.when(x != "", x) for x in (F.regexp_extract(c, r"(\d+)\s*s\b", 1), F.regexp_extract(c, r"\bs\s*(\d+)", 1))])
-    plain = F.regexp_extract(_r(c, rf"\b({L.PACK_WORDS})\b", " "), r"(\d+(?:\.\d+)?)", 1)
+    unit = F.coalesce(*[F.when(F.regexp_like(c, F.lit(p)), u) for u, p in L.PACK_UNITS], F.lit(""))
+    by = F.regexp_extract(c, L.PACK_TIMES, 2)
+    tail = F.regexp_extract(c, L.PACK_TIMES, 3)
+    strip = F.coalesce(*[F.when(x != "", x) for x in [F.regexp_extract(c, p, 1) for p in L.PACK_STRIPS]])
+    plain = F.regexp_extract(_r(c, rf"\b({L.PACK_WORDS})\b", " "), L.PACK_NUMBER, 1)
     of_strip = strip.isNotNull() & (unit == "")
     qty = F.when(by != "", by).when(of_strip, strip).otherwise(plain)
     unit = F.when((by != "") & (unit == ""), F.when(tail == "ml", "ml").when(tail.isin("gm", "g"), "gm").otherwise("tab")).when((by == "") & of_strip, "tab").otherwise(unit)

@@ -74,24 +74,27 @@ def plain(n: str) -> str:
     return f"case when contains({x}, '.') then regexp_replace(regexp_replace({x}, '0+$', ''), '\\.$', '') else {x} end"
 
 
-def doses(c: str) -> str:
-    s = _r(_r(f"lower({c} || ' ')", "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
+def doses(c: str, split: bool = True) -> str:
+    s = f"lower({c} || ' ')"
+    if split:
+        s = _r(_r(s, "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
     found = f"regexp_extract_all({_r(s, rf'\b\d+\s*(?:{L.COUNT_NOUNS})\b', ' ')}, '\\b\\d+(?:\\.\\d+)?\\b')"
     united = f"regexp_matches({s}, '\\b' || replace(n, '.', '\\.') || '\\s*(?:mg|ml|gm|g|mcg|iu|%)\\b')"
     return f"list_sort(list_distinct(list_transform(list_filter({found}, lambda n: ({plain('n')}) not in ('1', '2') or {united}), lambda n: {plain('n')})))"
 
 
+def _pack_parts(rows: str, c: str) -> str:
+    """The rows of a relation with qty and unit of its pack texts in column c."""
+    s = _r(_r(f"translate(lower(trim({c})), ',', ' ')", "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
+    unit = "case " + " ".join(f"when regexp_matches(s, {_q(p)}) then '{u}'" for u, p in L.PACK_UNITS) + " else '' end"
+    return f"""select * exclude (s, u, by_, tail, strip, plain_), case when by_ <> '' then by_ when strip is not null and u = '' then strip else plain_ end as qty,
+      case when by_ <> '' and u = '' then case when tail = 'ml' then 'ml' when tail in ('gm', 'g') then 'gm' else 'tab' end when by_ = '' and u = '' and strip is not null then 'tab' else u end as unit
+      from (select *, {unit} as u, regexp_extract(s, {_q(L.PACK_TIMES)}, 2) as by_, regexp_extract(s, {_q(L.PACK_TIMES)}, 3) as tail, coalesce(nullif(regexp_extract(s, {_q(L.PACK_STRIPS[0])}, 1), ''), nullif(regexp_extract(s, {_q(L.PACK_STRIPS[1])}, 1), '')) as strip,
+        regexp_extract({_r('s', rf'\b({L.PACK_WORDS})\b', ' ')}, {_q(L.PACK_NUMBER)}, 1) as plain_ from (select *, {s} as s from {rows}))"""
+
+
 def _pack_sql() -> str:
-    s = _r(_r("translate(lower(trim(pack)), ',', ' ')", "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
-    kinds = [("ml", r"\bml\b"), ("gm", r"\bgm\b|\bgrams?\b"), ("cap", r"\b(caps?|capsules?)\b"), ("tab", r"\b(tabs?|tablets?)\b"), ("vial", r"\bvials?\b"), ("amp", r"\b(amps?|ampoules?)\b"), ("sachet", r"\bsachets?\b"), ("pc", r"\b(pc|pcs|pieces?)\b|\bps\b"), ("tab", r"\bstrips?\b")]
-    unit = "case " + " ".join(f"when regexp_matches(s, {_q(p)}) then '{u}'" for u, p in kinds) + " else '' end"
-    times = _q(r"(\d+)\s*[x*×]\s*(\d+(?:\.\d+)?)\s*(ml|gm|g\b)?")
-    return f"""with p as (select 'v' || code as id, pack from ({VENDOR}) union all select 'c' || code, pack from ({CATALOG})),
-    a as (select id, pack, {s} as s from p),
-    b as (select id, pack, s, {unit} as u, regexp_extract(s, {times}, 2) as by_, regexp_extract(s, {times}, 3) as tail, coalesce(nullif(regexp_extract(s, '(\\d+)\\s*s\\b', 1), ''), nullif(regexp_extract(s, '\\bs\\s*(\\d+)', 1), '')) as strip,
-      regexp_extract({_r('s', rf'\b({L.PACK_WORDS})\b', ' ')}, '(\\d+(?:\\.\\d+)?)', 1) as plain_ from a)
-    select id, pack, case when by_ <> '' then by_ when strip is not null and u = '' then strip else plain_ end as qty,
-      case when by_ <> '' and u = '' then case when tail = 'ml' then 'ml' when tail in ('gm', 'g') then 'gm' else 'tab' end when by_ = '' and u = '' and strip is not null then 'tab' else u end as unit from b"""
+    return f"with p as (select 'v' || code as id, pack from ({VENDOR}) union all select 'c' || code, pack from ({CATALOG})) {_pack_parts('p', 'pack')}"
 
 
 def company(c: str) -> str:
@@ -243,8 +246,10 @@ def _browser_match_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_match
+
     names = f"with {_NAMES} "
-    return {
+    return oracle_match.oracle_sql() | {
         "text_normalisers": names + f"select id, {t1('t')} as t1, {t2('t')} as t2, {t2b('t')} as t2b, {t3('t')} as t3, {t3('t', False)} as t3b, {t5('t')} as t5 from names",
         "text_tokenisers": names + f"select id, array_to_string({t4('t')}, '|') as t4, array_to_string({t6('t')}, '|') as t6 from names",
         "strength_extraction": names + f"select id, {strength('t')} as str1, {strength('t', False)} as str1b from names",

@@ -15,8 +15,9 @@ from .functions import similarity as K
 from .functions import text as T
 from .operators import blocking, ranking, rules
 from .plans import cascade, report
-from .sources import catalog
-from .storage import written
+from .sources import cache, catalog
+from .storage import new_folder, written
+from .streaming import match
 
 #: Expressions that both engines read alike.
 _SIZE = "cast(p_size as string)"
@@ -186,6 +187,79 @@ def range_split(spark, sf_dir):
     return report.split(table(spark, sf_dir, "part").select("p_partkey"), 7, "p_partkey").select("p_partkey", F.col("part").cast("bigint").alias("part"))
 
 
+def _file(spark: SparkSession, df: DataFrame, kind: str, tag: str, **options) -> str:
+    """df as one file of a kind that sources read, in its order."""
+    path = new_folder(spark, tag)
+    df.coalesce(1).write.options(**options).format(kind).save(path)
+    return path
+
+
+def _catalog_rows(spark, sf_dir) -> DataFrame:
+    """Catalog rows in order of the key; some without a code, some without a name."""
+    c = _made(spark, sf_dir, CATALOG).orderBy("item_id")
+    return c.select(F.when(F.col("item_id") % 11 == 0, "").otherwise(F.concat(F.lit(" "), "code")).alias("CODE"), F.when(F.col("item_id") % 13 == 0, None).otherwise(F.col("name")).alias("Name"), F.concat(F.lit('"A, B" '), "compname").alias("COMPNAME"), F.col("pack").alias("Pack"))
+
+
+def csv_catalog(spark, sf_dir):
+    """IO1: quoted cells, headers of any case, rows without code or name left out, numbered in input order."""
+    return catalog.read_catalog(spark, _file(spark, _catalog_rows(spark, sf_dir), "csv", "csv", header=True, escape='"'))
+
+
+def foreign_catalog(spark, sf_dir):
+    """IO2, IO4: foreign headers, echoes of the header left out, codes and strengths made."""
+    raw = table(spark, sf_dir, "part").orderBy("p_partkey").select(F.when(F.col("p_size") == 1, "----").when(F.col("p_size") == 2, "NAME").otherwise(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("mg"))).alias("Material Description"), F.col("p_brand").alias("Brands"), F.col("p_type").alias("Pack Size Per Strip"))
+    return catalog.read_foreign_catalog(spark, _file(spark, raw, "csv", "foreign", header=True)).select("item_id", *catalog.FIELDS)
+
+
+def json_catalog(spark, sf_dir):
+    """IO6: one document with all items, by either name of the code."""
+    c = _made(spark, sf_dir, CATALOG).groupBy((F.col("item_id") % 3).alias("k")).agg(F.array_sort(F.collect_list(F.struct("item_id", F.when(F.col("item_id") % 2 == 0, F.col("code")).alias("master_id"), F.when(F.col("item_id") % 2 == 1, F.col("code")).alias("code"), "name", F.col("compname").alias("company"), "pack"))).alias("catalog")).orderBy("k").drop("k")
+    return catalog.read_json_catalog(spark, _file(spark, c, "json", "json", compression="none"), lines=True).drop("item_id")
+
+
+def vendor_file(spark, sf_dir):
+    """IO8, IO9: a vendor's file with placeholders and a limit of rows."""
+    v = vendor(spark, sf_dir).orderBy("query_id").select("code", F.when(F.col("query_id") % 17 == 0, "name").otherwise(F.col("name")).alias("name"), F.when(F.col("query_id") % 3 == 0, "nan").otherwise(F.col("pack")).alias("Pack"), F.when(F.col("query_id") % 4 == 0, "None").otherwise(F.col("compname")).alias("Compname"))
+    return catalog.read_vendor(spark, _file(spark, v, "csv", "vendor", header=True), limit=150)
+
+
+def vendor_requests(spark, sf_dir):
+    """IO7: requests with lists of products."""
+    r = vendor(spark, sf_dir).select((F.col("query_id") % 5).alias("k"), F.struct("query_id", "name", "pack", F.col("compname").alias("company"), F.when(F.col("query_id") % 2 == 0, F.col("code")).alias("code")).alias("p"))
+    return catalog.products(r.groupBy("k").agg(F.array_sort(F.collect_list("p")).alias("products"))).drop("query_id")
+
+
+def merged_parts(spark, sf_dir):
+    """IO12, IO13: rows split into files and merged again, one of them lost."""
+    rows = vendor(spark, sf_dir).select("query_id", "name", (F.col("query_id") % 101).cast("int").alias("confidence"))
+    path = new_folder(spark, "parts")
+    report.write_parts(rows, 4, path)
+    return report.merge(spark, [f"{path}/part={i}" for i in (1, 2, 4, 9)], left_out=[])["matched"]
+
+
+def cache_lookup(spark, sf_dir):
+    """IO14, J9: two batches of results, of which the later counts, looked up for queries whose item is still there."""
+    v = vendor(spark, sf_dir)
+    it = _made(spark, sf_dir, CATALOG).filter("item_id % 10 != 3")
+    store = cache.ResultCache(spark, new_folder(spark, "cache"))
+    as_match = lambda df, shift: df.select("query_id", F.when(F.col("query_id") % 6 != shift, F.col("code")).alias("code"), F.col("name").alias("m_name"))
+    store.save(v, as_match(v, 0))
+    late = v.filter("query_id % 4 = 0")
+    store.save(late, as_match(late, 2))
+    return store.lookup(v, it)
+
+
+def streamed_reports(spark, sf_dir):
+    """IO16: a stream of vendor files matched batch by batch; what has been processed in the end."""
+    v, it, at = vendor(spark, sf_dir), items(spark, sf_dir), new_folder(spark, "stream")
+    v.repartitionByRange(2, "query_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    q = match.match_stream(stream, it, f"{at}/out", f"{at}/checkpoint", progress_path=f"{at}/progress", total=v.count()).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = match.progress(spark, f"{at}/progress").agg(F.max("processed").alias("processed"), F.max("matched").alias("matched"), F.min("remaining").alias("remaining"))
+    return last
+
+
 # --- candidates and search ---
 
 
@@ -251,6 +325,35 @@ def match_browser(spark, sf_dir):
     return cascade.run_browser(vendor(spark, sf_dir), items(spark, sf_dir))
 
 
+class NthReranker:
+    """A stand-in for a model that other engines can follow: chooses by the length of the query, none for each seventh, and verifies queries of even length."""
+
+    def choose(self, query, candidates, name, compname):
+        return None if len(query) % 7 == 0 else 1 + len(query) % len(candidates)
+
+    def verify(self, query, candidate, name, compname):
+        return len(query) % 2 == 0
+
+
+def match_reranked(spark, sf_dir):
+    """The batch flow with a reranker that sees valid candidates."""
+    return cascade.run(vendor(spark, sf_dir), items(spark, sf_dir), cascade.BATCH, NthReranker())
+
+
+def match_verified(spark, sf_dir):
+    """The old server's flow with a reranker that also verifies."""
+    return cascade.run(vendor(spark, sf_dir), items(spark, sf_dir), cascade.OLD_SERVER, NthReranker())
+
+
+def match_cached(spark, sf_dir):
+    """The hybrid flow with its cache, which holds what every other query gave before."""
+    v, it = vendor(spark, sf_dir), items(spark, sf_dir)
+    store = cache.ResultCache(spark, new_folder(spark, "cache"))
+    some = v.filter("query_id % 2 = 0")
+    store.save(some, cascade.run(some, it, cascade.HYBRID))
+    return cascade.run_cached(v, it, store)
+
+
 def match_report(spark, sf_dir):
     v = vendor(spark, sf_dir)
     return report.report(v, cascade.run(v, items(spark, sf_dir), cascade.BATCH))
@@ -260,10 +363,16 @@ def report_summary(spark, sf_dir):
     return report.overview(match_report(spark, sf_dir))
 
 
+def service_mappings(spark, sf_dir):
+    v = vendor(spark, sf_dir)
+    return report.mappings(v, cascade.run(v, items(spark, sf_dir), cascade.SERVER)).drop("source")
+
+
 def unmatched_list(spark, sf_dir):
+    """Unmatched queries with what a search for name and pack finds, a row per candidate."""
     v, it = vendor(spark, sf_dir), items(spark, sf_dir)
-    found = report.unmatched(v, cascade.run(v, it, cascade.BATCH), ranking.search(v, it))
-    return found.select("query_id", "name", "pack", F.to_json("candidates").alias("candidates"))
+    found = report.unmatched(v, cascade.run(v, it, cascade.BATCH), it)
+    return found.select("query_id", "name", "pack", F.explode_outer("candidates").alias("c")).select("query_id", "name", "pack", "c.*")
 
 
 # --- sums over events ---
@@ -288,7 +397,8 @@ def progress_steps(spark, sf_dir):
 QUERIES = (
     match_batch, text_normalisers, text_tokenisers, strength_extraction, dose_numbers, pack_parser, companies, suffix_sets, forms, answers, chat_prompts, history_trimming, answer_pieces,
     similarity_ratios, partial_ratios, letter_pairs, abbreviations, alias_relation, catalog_cleaning, range_split, prefix_index, like_keys, candidate_counts, search, search_twice, browser_search,
-    candidate_rules, match_server, match_old_server, match_hybrid, match_browser, match_report, report_summary, unmatched_list, timing_stats, most_in_flight, progress_steps,
+    candidate_rules, match_server, match_old_server, match_hybrid, match_browser, match_report, report_summary, unmatched_list, match_reranked, match_verified, match_cached, service_mappings,
+    csv_catalog, foreign_catalog, json_catalog, vendor_file, vendor_requests, merged_parts, cache_lookup, streamed_reports, timing_stats, most_in_flight, progress_steps,
 )
 
 

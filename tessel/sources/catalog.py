@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 
@@ -81,14 +82,18 @@ def from_json(df: DataFrame) -> DataFrame:
 CATALOG_JSON = "catalog array<struct<master_id: string, code: string, name: string, company: string, pack: string>>"
 
 
-def read_json_catalog(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
-    """IO6: a JSON catalog, or where it cannot be read the CSV of `fallback`, if one is named."""
+def read_json_catalog(spark: SparkSession, path: str, fallback: str | None = None, lines: bool = False) -> DataFrame:
+    """IO6: a JSON catalog (lines: a document in each line), or where there is none at the path the CSV of `fallback`, if one is named.
+
+    What is there and is no JSON is an error.
+    """
     try:
-        return from_json(spark.read.schema(CATALOG_JSON).option("multiLine", True).json(path))
-    except Exception:
-        if fallback is None:
+        raw = spark.read.schema(CATALOG_JSON).options(multiLine=not lines, mode="FAILFAST").json(path)
+    except AnalysisException as e:
+        if fallback is None or "PATH_NOT_FOUND" not in str(e):
             raise
         return read_catalog(spark, fallback)
+    return from_json(raw)
 
 
 def products(df: DataFrame) -> DataFrame:

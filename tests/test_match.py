@@ -133,7 +133,11 @@ def test_report(spark, items, asked, tmp_path):
     paths = report.write_sheets(rows, str(tmp_path / "out"))
     assert len(paths) == 3 and spark.read.parquet(paths[0]).count() == len(ASKED)
     report.write_parts(rows, 3, str(tmp_path / "parts"))
-    merged = report.merge(spark, [str(tmp_path / "parts" / f"part={i}") for i in (1, 2, 3)] + [str(tmp_path / "gone")])
+    parts, lost = [str(tmp_path / "parts" / f"part={i}") for i in (1, 2, 3)] + [str(tmp_path / "gone")], []
+    merged = report.merge(spark, parts, left_out=lost)
+    assert lost == parts[-1:]
+    with pytest.raises(Exception):
+        report.merge(spark, parts)
     assert merged["all_results"].count() == len(ASKED)
     order = [r.confidence for r in merged["all_results"].collect()]
     n = sum(c > 0 for c in order)
@@ -176,6 +180,9 @@ def test_sources(spark, tmp_path):
     assert catalog.read_json_catalog(spark, str(tmp_path / "none.json"), str(tmp_path / "c.csv")).count() == 2
     with pytest.raises(Exception):
         catalog.read_catalog(spark, str(tmp_path / "missing.csv")).count()
+    (tmp_path / "bad.json").write_text('{"catalog": [')
+    with pytest.raises(Exception):
+        catalog.read_json_catalog(spark, str(tmp_path / "bad.json"), str(tmp_path / "c.csv")).count()
 
 
 def test_stream(spark, items, asked, tmp_path):
