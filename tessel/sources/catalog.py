@@ -1,4 +1,4 @@
-"""Catalog and vendor files: CSV, JSON, Parquet and what else Spark reads."""
+"""Catalog and vendor files: CSV, JSON, workbooks, Parquet and what else Spark reads."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
+from . import workbook
 
 FIELDS = ["code", "name", "compname", "pack", "strength"]
 #: Foreign headers and what they mean.
@@ -35,10 +36,16 @@ def with_position(df: DataFrame, name: str = "item_id") -> DataFrame:
     return marked.join(F.broadcast(base), "_p").withColumn(name, F.col("_o") - F.col("_f") + F.col("_b") + 1).drop("_p", "_o", "_b", "_f")
 
 
+def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a file in their order, as texts where the kind has no types; kind xlsx: the first sheet."""
+    if kind == "xlsx":
+        return workbook.read(spark, path)
+    return spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").format(kind).load(path)
+
+
 def read_catalog(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """IO1: rows with a code and a name, numbered in input order. A missing file is an error."""
-    raw = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").format(kind).load(path)
-    return with_position(named(raw).filter("code != '' and name != ''"))
+    return with_position(named(_read(spark, path, kind)).filter("code != '' and name != ''"))
 
 
 def clean_names(df: DataFrame, col: str = "name") -> DataFrame:
@@ -48,8 +55,7 @@ def clean_names(df: DataFrame, col: str = "name") -> DataFrame:
 
 def read_foreign_catalog(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """IO2 to IO5: foreign headers renamed, echoes dropped, codes M_1 to M_n in input order, strength from the name."""
-    raw = spark.read.options(header=True, multiLine=True, escape='"').format(kind).load(path)
-    return derived(raw)
+    return derived(_read(spark, path, kind))
 
 
 def derived(raw: DataFrame) -> DataFrame:
@@ -61,8 +67,7 @@ def derived(raw: DataFrame) -> DataFrame:
 
 def read_vendor(spark: SparkSession, path: str, kind: str = "csv", limit: int = 0) -> DataFrame:
     """IO8, IO9: query_id, code, name, pack, compname of a vendor's file; with a limit, its first rows."""
-    raw = clean_names(spark.read.options(header=True, multiLine=True, escape='"').format(kind).load(path))
-    rows = vendor(raw)
+    rows = vendor(clean_names(_read(spark, path, kind)))
     return rows.filter(F.col("query_id") <= limit) if limit > 0 else rows
 
 

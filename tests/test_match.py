@@ -155,6 +155,18 @@ def test_cache(spark, items, asked, tmp_path):
     assert store.latest().count() == store.latest().select("query_normalized").distinct().count()
 
 
+def test_cache_of_two_writers(spark, asked, tmp_path):
+    """Batches that know nothing of each other: the one saved later counts, and no store is read to add one."""
+    one, two = (cache.ResultCache(spark, str(tmp_path / "cache")) for _ in range(2))
+    q = asked.filter("query_id = 1")
+    result = lambda code: q.select("query_id", F.lit(code).alias("code"), F.lit("n").alias("m_name"))
+    one.save(q, result("101"))
+    two.save(q, result("102"))
+    assert [r.matched_code for r in one.latest().collect()] == ["102"]
+    one.save(q, result(None))
+    assert [r.matched_code for r in two.latest().collect()] == [cache.MISS]
+
+
 def test_cached_flow(spark, items, asked, tmp_path):
     store = cache.ResultCache(spark, str(tmp_path / "flow"))
     one = {r.query_id: (r.code, r.method) for r in cascade.run_cached(asked, items, store).collect()}
@@ -226,3 +238,46 @@ def test_search_is_a_scan_of_definitions(items, asked):
         want = sorted(want)[:5]
         assert [(k, n) for k, (_, _, n) in enumerate(want, 1)] == [(k, n) for k, n, _ in sorted(got.get(i, []))]
         assert all(abs(-w[0] - g[2]) <= 0.0501 for w, g in zip(want, sorted(got.get(i, []))))
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    from tessel.sources import workbook
+
+    rows = [(1, "a & <b> \"c\"", 2.5, True), (2, None, None, None), (30, "  x\ny é🎉 ", -1.0, False), (4, "long " * 30, 1e20, None)]
+    df = spark.createDataFrame(rows, "n int, t string, d double, b boolean").orderBy("n")
+    path = f"file://{tmp_path}/w.xlsx"
+    workbook.write(spark, path, {"One": df, "Two & more": df.filter("n = 4").select("t")})
+    got = [tuple(r) for r in workbook.read(spark, path).collect()]
+    assert got == [("1", rows[0][1], "2.5", "True"), ("2", None, None, None), ("4", rows[3][1], "1e+20", None), ("30", rows[2][1], "-1", "False")]
+    assert [r.t for r in workbook.read(spark, path, "Two & more").collect()] == [rows[3][1]]
+
+
+def test_workbook_of_another_writer(spark, tmp_path):
+    """Shared strings, rich text, gaps, and an absolute target."""
+    import zipfile
+
+    from tessel.sources import catalog, workbook
+
+    main, rel = workbook.MAIN, workbook.RELATIONS
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{workbook.PACKAGE}/relationships"><Relationship Id="rId7" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Material Description</t></si><si><r><t>PAN </t></r><r><t>40MG</t></r><rPh><t>no</t></rPh></si><si><t>Brands</t></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>2</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>12.0</v></c></row><row r="3"/><row r="4"><c r="A4" t="str"><v>----</v></c></row></sheetData></worksheet>')
+    rows = catalog.read_foreign_catalog(spark, f"file://{tmp_path}/x.xlsx", "xlsx").collect()
+    assert [(r.code, r.name, r.compname, r.strength) for r in rows] == [("M_1", "PAN 40MG", "12", "40MG")]
+
+
+def test_batch_job(spark, items, asked, tmp_path):
+    from tessel import batch
+    from tessel.sources import workbook
+
+    items.select("code", "name", "compname", "pack", "strength").coalesce(1).write.option("header", True).csv(f"{tmp_path}/c.csv")
+    asked.filter("name != ''").orderBy("query_id").select(F.col("query_id").cast("string").alias("code"), "name", F.col("pack").alias("Pack"), F.col("compname").alias("Compname")).coalesce(1).write.option("header", True).csv(f"{tmp_path}/v.csv")
+    sums = batch.run(spark, f"{tmp_path}/v.csv", f"{tmp_path}/c.csv", f"{tmp_path}/out.xlsx")
+    assert sums.total == 9 and sums.matched + sums.unmatched == 9 and sums.items_per_s > 0 and sums.high + sums.medium + sums.low <= sums.matched
+    every = workbook.read(spark, f"file://{tmp_path}/out.xlsx", "All Results").collect()
+    assert len(every) == 9 and {r["Input Name"]: r["Matched Code"] for r in every}["DOLO650"] == "104"
+    assert workbook.read(spark, f"file://{tmp_path}/out.xlsx", "Not Matched").count() == sum(r["Confidence %"] == "0" for r in every)
+    small = batch.run(spark, f"{tmp_path}/v.csv", f"{tmp_path}/c.csv", f"{tmp_path}/out", limit=4, parts=2)
+    assert small.total == 4 and spark.read.parquet(f"{tmp_path}/out/parts").count() == 4
