@@ -14,7 +14,8 @@ at again, so a window may hold several.
 Edge cases: null and empty texts have no notices; repeated rows and repeated
 lines are reported each; templates that save the same are tried by name; an
 empty table yields an empty one; a null doc_id is kept; long texts and lines
-are read whole; a notice without a licensing word left is not a candidate.
+are read whole; a notice without a licensing word left is not a candidate; extra
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ document that crosses a boundary yields one piece per window it touches.
 Edge cases: a null or empty text is a document of the end id alone; a null
 doc_id is kept as null; repeated rows are packed as often as they occur; an
 empty table yields no pieces; a document longer than seq_len spans sequences.
-Only the last sequence is short. Which documents are neighbours follows from
+Only the last sequence is short. Texts of any length are tokenised whole; extra
+columns, whatever their names, are not read; there are no ties to break. Which documents are neighbours follows from
 the order of the input files; every id lies in exactly one piece.
 """
 

@@ -10,7 +10,8 @@ word occurrence. Other models (checked when loaded) are refused.
 
 Edge cases: a null or empty text has the begin and end ids alone and decodes
 to the empty text; repeated rows are encoded as often as they occur; an empty
-table yields an empty one; texts of any length are encoded whole.
+table yields an empty one; texts of any length are encoded whole; extra
+columns, whatever their names, are not read; there are no ties to break.
 """
 
 from __future__ import annotations
