@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,29 @@ class WordHashes(dict):
         return np.frombuffer(b"".join([*map(self.__getitem__, words), *(m.to_bytes(8, "little") for m in more)]), "<u8")
 
 
+def dump(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
+        packed = zstandard.compress(raw, 1)
+        out += [struct.pack("<4sII", a.dtype.str.encode().ljust(4), len(a), len(packed)), packed]
+    return b"".join(out)
+
+
+def load(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(data[0]):
+        kind, n, size = struct.unpack_from("<4sII", data, at)
+        at += 12
+        dtype = np.dtype(kind.strip().decode())
+        raw = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8)
+        at += size
+        out.append(raw.view(dtype) if dtype.itemsize == 1 else np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel())
+    return out
+
+
 def released() -> None:
     """At a task's end: an idle Python worker keeps no memory that Arrow has put by."""
     pa.default_memory_pool().release_unused()

@@ -32,17 +32,14 @@ not read. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct_sorted, kept_on_disk, lower_ascii, rare_collections, shards, words_of, written
+from .common import WordHashes, distinct_sorted, dump, kept_on_disk, load, lower_ascii, rare_collections, shards, words_of, written
 
 CLASSES = 32
 ROUNDS = 3
@@ -56,29 +53,6 @@ _ROWS = "block bigint, shard int, data binary"
 
 
 
-def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes."""
-    out = [struct.pack("<B", len(arrays))]
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
-        packed = zstandard.compress(raw, 1)
-        out += [struct.pack("<4sII", a.dtype.str.encode().ljust(4), len(a), len(packed)), packed]
-    return b"".join(out)
-
-
-def load(data: bytes) -> list[np.ndarray]:
-    out, at = [], 1
-    for _ in range(data[0]):
-        kind, n, size = struct.unpack_from("<4sII", data, at)
-        at += 12
-        dtype = np.dtype(kind.strip().decode())
-        raw = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8)
-        at += size
-        out.append(raw.view(dtype) if dtype.itemsize == 1 else np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel())
-    return out
-
-
 def hashes(text: str | None, table: WordHashes) -> np.ndarray:
     """Of the lower-cased words and the end token."""
     return table.of(words_of(lower_ascii(text)) if text else [], _END)

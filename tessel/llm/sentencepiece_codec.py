@@ -2,11 +2,14 @@
 
 Where no piece of the model has a whitespace marker after another character,
 pieces cannot cross into the next marked word: a text is a row of chunks, each
-some markers and the characters up to the next marker. Each distinct chunk is
-segmented once by the library and its ids are joined back by position. The
-table belongs to a Python worker, serves all documents it meets, and is
-emptied when full: a table over the whole corpus would shuffle a row for each
-word occurrence. Other models (checked when loaded) are refused.
+some markers and the characters up to the next marker. Other models (checked
+when loaded) are refused.
+
+Layout. Documents are gathered into blocks of about BLOCK chunks, kept as local
+numbers. A block tells shards, which chunks are dealt to by hash, each of its
+distinct chunks once; a shard segments each distinct chunk of the whole corpus
+once, by the library, and answers block by block; a block joins ids back by
+position. So a chunk that is a third of all words is one entry of each block.
 
 Edge cases: a null or empty text has the begin and end ids alone and decodes
 to the empty text; repeated rows are encoded as often as they occur; an empty
@@ -19,13 +22,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, rare_collections, released
+from .common import dump, id_text, load, rare_collections, released, shards, written
 
 MARK = "▁"
-#: Entries of the chunk table of a Python worker.
+#: Entries of a codec's own table of chunks, for texts that are encoded where they are.
 CHUNKS = 300_000
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
 _codecs: dict[str, "ChunkCodec"] = {}
@@ -65,7 +71,7 @@ class ChunkCodec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
-        split = [_chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [chunks_of(t) for t in texts]
         self._learn(set().union(*split))
         known = self.known.__getitem__
         return [self.begin + b"".join(map(known, chunks)) + self.end for chunks in split]
@@ -76,9 +82,12 @@ class ChunkCodec:
             self.known = {MARK: self.lone}
             new = chunks - {MARK}
         new = list(new)
-        # the library puts one marker in front of what it encodes
-        for c, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)):
-            self.known[c] = np.asarray(ids, "<u4").tobytes()
+        self.known.update(zip(new, self.segmented(new)))
+
+    def segmented(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, by the library; it puts one marker in front of what it encodes."""
+        ids = self.sp.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
+        return [self.lone if c == MARK else np.asarray(x, "<u4").tobytes() for c, x in zip(chunks, ids)]
 
     def forget(self) -> None:
         """At a task's end: an idle worker should be small."""
@@ -96,20 +105,101 @@ class ChunkCodec:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (bytes, little-endian unsigned 32-bit), one row per document."""
+#: Chunks of a block, or one document if it has more.
+BLOCK = 1_000_000
+_ROWS = "block bigint, shard int, data binary"
+
+
+class _Numbers(dict):
+    """Numbers of a block's distinct chunks, in order of their first place."""
+
+    def __missing__(self, chunk: str) -> int:
+        out = self[chunk] = len(self)
+        return out
+
+
+def chunks_of(text: str | None) -> list[str]:
+    return _chunk.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def _slices(sizes: np.ndarray, data: bytes) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def blocks_of(docs: DataFrame, n_shards: int, most: int = BLOCK) -> DataFrame:
+    """block, shard, data: a block's documents as numbers (shard -1), and its distinct chunks in each shard."""
 
     def run(batches):
         rare_collections()
-        codec = ChunkCodec.of(model_path)
+        task, number = TaskContext.get().partitionId(), 0
+        ids, held, table = [], [], _Numbers()
+
+        def out():
+            block, lengths = task << 24 | number, np.array([len(c) for c in held], np.int32)
+            rows = [(block, -1, dump(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), lengths, np.concatenate(held)))]
+            own = [c.encode("utf-8", "surrogatepass") for c in table]
+            sizes = np.array([len(c) for c in own], np.uint32)
+            shard = np.array([xxhash.xxh3_64_intdigest(c) % n_shards for c in own], np.int64)
+            order = np.argsort(shard, kind="stable")
+            starts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else []
+            for at in np.split(order, starts[1:]) if len(order) else []:
+                rows.append((block, int(shard[at[0]]), dump(at.astype(np.uint32), sizes[at], np.frombuffer(b"".join([own[i] for i in at]), np.uint8))))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "data"])
+
+        total = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
-                ids = codec.encode(rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-        codec.forget()
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                chunks = chunks_of(text)
+                ids.append(doc_id)
+                held.append(np.fromiter(map(table.__getitem__, chunks), np.int32, len(chunks)))
+                total += len(chunks)
+                if total >= most:
+                    yield out()
+                    number, total, ids, held, table = number + 1, 0, [], [], _Numbers()
+        if ids:
+            yield out()
+        released()
+
+    return id_text(docs).mapInArrow(run, _ROWS)
+
+
+def encode(docs: DataFrame, model_path: str, most: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, ids (bytes, little-endian unsigned 32-bit), one row per document."""
+    gathered = written(blocks_of(docs, shards(docs), most), "blocks")
+
+    def segment(key, told):
+        rare_collections()
+        codec = ChunkCodec.of(model_path)
+        known, asked = _Numbers(), []
+        for block, data in zip(told["block"], told["data"]):
+            at, sizes, flat = load(data)
+            asked.append((block, at, [known[c] for c in _slices(sizes, flat.tobytes())]))
+        ids = codec.segmented([c.decode("utf-8", "surrogatepass") for c in known])
+        rows = []
+        for block, at, own in asked:
+            mine = [ids[i] for i in own]
+            rows.append((block, key[0], dump(at, np.array([len(x) for x in mine], np.uint32), np.frombuffer(b"".join(mine), "<u4"))))
+        return pd.DataFrame(rows, columns=["block", "shard", "data"])
+
+    def join(key, payload, answers):
+        rare_collections()
+        codec = ChunkCodec.of(model_path)
+        doc_ids, missing, lengths, numbers = load(payload["data"].iloc[0])
+        table: dict[int, bytes] = {}
+        for data in answers["data"]:
+            at, sizes, ids = load(data)
+            table.update(zip(at.tolist(), _slices(sizes, ids.tobytes())))
+        get = table.__getitem__
+        ends = np.cumsum(lengths, dtype=np.int64)
+        out = [codec.begin + b"".join(map(get, numbers[b - n : b].tolist())) + codec.end for b, n in zip(ends.tolist(), lengths.tolist())]
+        rows = pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype="Int64").mask(missing.astype(bool)), "n_tokens": [len(x) // 4 for x in out], "ids": out})
+        released()
+        return rows
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    answers = gathered.filter("shard >= 0").groupBy("shard").applyInPandas(segment, _ROWS)
+    own = gathered.filter("shard = -1").select("block", "data")
+    return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInPandas(join, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

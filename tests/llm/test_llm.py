@@ -323,6 +323,27 @@ def test_sentencepiece_is_the_library(docs, none):
         want[i, len(ids), np.asarray(ids, "<u4").tobytes(), sp.decode(ids)] += 1
     assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.text) for r in coded.collect()) == want
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(none, PIECE), PIECE).count() == 0
+    small = sentencepiece_codec.encode(docs, PIECE, most=30)  # many blocks
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids)) for r in small.collect()) == sum((Counter({k[:3]: n}) for k, n in want.items()), Counter())
+
+
+def test_each_distinct_chunk_is_segmented_once(spark, docs, tmp_path, monkeypatch):
+    """Over all blocks and tasks; a chunk's segmentation is seen by the file that it leaves."""
+    folder = str(tmp_path)
+
+    class Codec(sentencepiece_codec.ChunkCodec):
+        def segmented(self, chunks):
+            with open(f"{folder}/{random.random()}", "w") as f:
+                f.write(repr(chunks))
+            return super().segmented(chunks)
+
+    monkeypatch.setattr(sentencepiece_codec, "ChunkCodec", Codec)
+    sentencepiece_codec.encode(docs, PIECE, most=40).collect()
+    import ast
+    import os
+
+    seen = Counter(c for name in os.listdir(folder) for c in ast.literal_eval(open(f"{folder}/{name}").read()))
+    assert set(seen) == {c for _, t in rows_of(docs) for c in sentencepiece_codec.chunks_of(t)} and set(seen.values()) == {1}
 
 
 def test_sentencepiece_on_random_texts():
@@ -418,7 +439,7 @@ def test_join_of_near_copies(spark, frequent, percent, hot, most):
                 own[rng.randrange(len(own))] = word()
             rows.append((len(rows), " ".join(own[: len(own) - rng.choice([0, 0, len(own) // 30])])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    assert Counter(map(tuple, ngram_join.linked(df, 3, percent, frequent, hot, most).collect())) == plain_components(rows, 3, percent)
+    assert Counter(map(tuple, ngram_join.linked(df, 3, percent, frequent, hot, most, 3).collect())) == plain_components(rows, 3, percent)
 
 
 def test_frequent_tokens_never_run_out(spark):
