@@ -74,145 +74,144 @@ PACK_WORDS = (
 )
 
 # --- fixed values: brand aliases, one brand and what it may be called on each line ---
-_ALIASES = """
-augmentin: amoxyclav, amoxicillin clavulanate, amox clav
-amoxyclav: augmentin
-moxclav: amoxyclav, augmentin
-clavam: amoxyclav, augmentin
-azithral: azithromycin, azee, zithromax
-azee: azithromycin, azithral
-zithromax: azithromycin, azithral, azee
-cifran: ciprofloxacin, ciplox
-ciplox: ciprofloxacin, cifran
-monocef: ceftriaxone, cefaxone, oframax
-cefaxone: ceftriaxone, monocef
-taxim: cefotaxime
-ceftas: ceftazidime
-meronem: meropenem
-levoflox: levofloxacin, levoday, levomac
-levoday: levofloxacin, levoflox
-crocin: paracetamol, dolo, calpol, pacimol, tylenol
-dolo: paracetamol, crocin, calpol
-calpol: paracetamol, crocin, dolo
-pacimol: paracetamol, crocin, dolo
-combiflam: ibuprofen paracetamol, brufen plus, imol plus
-brufen: ibuprofen, ibugesic
-ibugesic: ibuprofen, brufen
-voveran: diclofenac, dynapar, reactin
-dynapar: diclofenac, voveran
-ultracet: tramadol paracetamol
-flexon: ibuprofen paracetamol
-pan: pantoprazole, pantop, pantocid
-pantop: pantoprazole, pan, pantocid
-pantocid: pantoprazole, pan, pantop
-omez: omeprazole, ocid
-ocid: omeprazole, omez
-rablet: rabeprazole, razo, rabeloc
-razo: rabeprazole, rablet, rabeloc
-rabeloc: rabeprazole, rablet, razo
-domperidone: domstal, vomistop
-domstal: domperidone, vomistop
-ondansetron: emeset, ondem, vomikind
-emeset: ondansetron, ondem
-ondem: ondansetron, emeset
-pan d: pantoprazole domperidone, pantocid d
-pantocid d: pantoprazole domperidone, pan d
-rantac: ranitidine, zinetac, aciloc
-zinetac: ranitidine, rantac, aciloc
-ecosprin: aspirin, disprin
-disprin: aspirin, ecosprin
-atorva: atorvastatin, lipitor, tonact
-tonact: atorvastatin, atorva
-telma: telmisartan, telmikind, telvas
-telvas: telmisartan, telma
-amlong: amlodipine, amlovas, amlip
-amlovas: amlodipine, amlong
-stamlo: amlodipine, amlong
-cardivas: carvedilol
-metolar: metoprolol, betaloc
-betaloc: metoprolol, metolar
-concor: bisoprolol
-clopitab: clopidogrel, plavix, clopilet
-clopilet: clopidogrel, clopitab, plavix
-plavix: clopidogrel, clopitab, clopilet
-enoxarin: enoxaparin, clexane
-clexane: enoxaparin, enoxarin
-glycomet: metformin, glucophage
-glucophage: metformin, glycomet
-amaryl: glimepiride, glimisave
-glimisave: glimepiride, amaryl
-januvia: sitagliptin
-galvus: vildagliptin
-jardiance: empagliflozin
-forxiga: dapagliflozin
-mixtard: insulin human
-lantus: insulin glargine
-novorapid: insulin aspart
-humalog: insulin lispro
-wysolone: prednisolone, omnacortil
-omnacortil: prednisolone, wysolone
-dexona: dexamethasone, decadron
-medrol: methylprednisolone
-defcort: deflazacort, calcort
-allegra: fexofenadine
-cetrizine: cetirizine, cetzine, okacet
-cetzine: cetirizine, okacet
-okacet: cetirizine, cetzine
-montair: montelukast, romilast
-romilast: montelukast, montair
-avil: pheniramine
-atarax: hydroxyzine
-asthalin: salbutamol, ventolin, derihaler
-ventolin: salbutamol, asthalin
-budecort: budesonide, pulmicort
-pulmicort: budesonide, budecort
-seroflo: salmeterol fluticasone, aerocort
-foracort: formoterol budesonide
-duolin: ipratropium salbutamol, combivent
-tiova: tiotropium, spiriva
-spiriva: tiotropium, tiova
-calmpose: diazepam, valium
-valium: diazepam, calmpose
-alzolam: alprazolam, restyl, alprax
-restyl: alprazolam, alzolam
-alprax: alprazolam, alzolam, restyl
-nexito: escitalopram, cipralex, stalopam
-stalopam: escitalopram, nexito
-frisium: clobazam
-valparin: valproate, epilex
-eptoin: phenytoin, dilantin
-tegrital: carbamazepine
-gabapin: gabapentin
-pregabalin: lyrica, pregalin
-pregalin: pregabalin, lyrica
-lyrica: pregabalin, pregalin
-shelcal: calcium vitamin d3
-calcimax: calcium, shelcal
-becosules: b complex, beplex
-beplex: b complex, becosules
-neurobion: vitamin b12 b6 b1, methylcobalamin
-methylcobalamin: mecobalamin, methycobal, neurobion forte
-methycobal: methylcobalamin, mecobalamin
-limcee: vitamin c, ascorbic acid
-zincovit: multivitamin zinc
-revital: multivitamin
-supradyn: multivitamin
-iron sucrose: venofer, orofer
-orofer: iron sucrose
-norflox tz: norfloxacin tinidazole, nortini
-metrogyl: metronidazole, flagyl
-flagyl: metronidazole, metrogyl
-oflox: ofloxacin, zanocin
-zanocin: ofloxacin, oflox
-o2: ofloxacin ornidazole
-taxim o: cefixime ofloxacin
-zifi: cefixime
-sumo: nimesulide paracetamol
-zerodol: aceclofenac
-zerodol sp: aceclofenac serratiopeptidase paracetamol
-hifenac: aceclofenac
-"""
-ALIASES: list[tuple[str, list[str]]] = [(k, v.split(", ")) for k, v in (line.split(": ") for line in _ALIASES.split("\n") if line)]
+ALIASES: list[tuple[str, list[str]]] = [
+    ("augmentin", ["amoxyclav", "amoxicillin clavulanate", "amox clav"]),
+    ("amoxyclav", ["augmentin"]),
+    ("moxclav", ["amoxyclav", "augmentin"]),
+    ("clavam", ["amoxyclav", "augmentin"]),
+    ("azithral", ["azithromycin", "azee", "zithromax"]),
+    ("azee", ["azithromycin", "azithral"]),
+    ("zithromax", ["azithromycin", "azithral", "azee"]),
+    ("cifran", ["ciprofloxacin", "ciplox"]),
+    ("ciplox", ["ciprofloxacin", "cifran"]),
+    ("monocef", ["ceftriaxone", "cefaxone", "oframax"]),
+    ("cefaxone", ["ceftriaxone", "monocef"]),
+    ("taxim", ["cefotaxime"]),
+    ("ceftas", ["ceftazidime"]),
+    ("meronem", ["meropenem"]),
+    ("levoflox", ["levofloxacin", "levoday", "levomac"]),
+    ("levoday", ["levofloxacin", "levoflox"]),
+    ("crocin", ["paracetamol", "dolo", "calpol", "pacimol", "tylenol"]),
+    ("dolo", ["paracetamol", "crocin", "calpol"]),
+    ("calpol", ["paracetamol", "crocin", "dolo"]),
+    ("pacimol", ["paracetamol", "crocin", "dolo"]),
+    ("combiflam", ["ibuprofen paracetamol", "brufen plus", "imol plus"]),
+    ("brufen", ["ibuprofen", "ibugesic"]),
+    ("ibugesic", ["ibuprofen", "brufen"]),
+    ("voveran", ["diclofenac", "dynapar", "reactin"]),
+    ("dynapar", ["diclofenac", "voveran"]),
+    ("ultracet", ["tramadol paracetamol"]),
+    ("flexon", ["ibuprofen paracetamol"]),
+    ("pan", ["pantoprazole", "pantop", "pantocid"]),
+    ("pantop", ["pantoprazole", "pan", "pantocid"]),
+    ("pantocid", ["pantoprazole", "pan", "pantop"]),
+    ("omez", ["omeprazole", "ocid"]),
+    ("ocid", ["omeprazole", "omez"]),
+    ("rablet", ["rabeprazole", "razo", "rabeloc"]),
+    ("razo", ["rabeprazole", "rablet", "rabeloc"]),
+    ("rabeloc", ["rabeprazole", "rablet", "razo"]),
+    ("domperidone", ["domstal", "vomistop"]),
+    ("domstal", ["domperidone", "vomistop"]),
+    ("ondansetron", ["emeset", "ondem", "vomikind"]),
+    ("emeset", ["ondansetron", "ondem"]),
+    ("ondem", ["ondansetron", "emeset"]),
+    ("pan d", ["pantoprazole domperidone", "pantocid d"]),
+    ("pantocid d", ["pantoprazole domperidone", "pan d"]),
+    ("rantac", ["ranitidine", "zinetac", "aciloc"]),
+    ("zinetac", ["ranitidine", "rantac", "aciloc"]),
+    ("ecosprin", ["aspirin", "disprin"]),
+    ("disprin", ["aspirin", "ecosprin"]),
+    ("atorva", ["atorvastatin", "lipitor", "tonact"]),
+    ("tonact", ["atorvastatin", "atorva"]),
+    ("telma", ["telmisartan", "telmikind", "telvas"]),
+    ("telvas", ["telmisartan", "telma"]),
+    ("amlong", ["amlodipine", "amlovas", "amlip"]),
+    ("amlovas", ["amlodipine", "amlong"]),
+    ("stamlo", ["amlodipine", "amlong"]),
+    ("cardivas", ["carvedilol"]),
+    ("metolar", ["metoprolol", "betaloc"]),
+    ("betaloc", ["metoprolol", "metolar"]),
+    ("concor", ["bisoprolol"]),
+    ("clopitab", ["clopidogrel", "plavix", "clopilet"]),
+    ("clopilet", ["clopidogrel", "clopitab", "plavix"]),
+    ("plavix", ["clopidogrel", "clopitab", "clopilet"]),
+    ("enoxarin", ["enoxaparin", "clexane"]),
+    ("clexane", ["enoxaparin", "enoxarin"]),
+    ("glycomet", ["metformin", "glucophage"]),
+    ("glucophage", ["metformin", "glycomet"]),
+    ("amaryl", ["glimepiride", "glimisave"]),
+    ("glimisave", ["glimepiride", "amaryl"]),
+    ("januvia", ["sitagliptin"]),
+    ("galvus", ["vildagliptin"]),
+    ("jardiance", ["empagliflozin"]),
+    ("forxiga", ["dapagliflozin"]),
+    ("mixtard", ["insulin human"]),
+    ("lantus", ["insulin glargine"]),
+    ("novorapid", ["insulin aspart"]),
+    ("humalog", ["insulin lispro"]),
+    ("wysolone", ["prednisolone", "omnacortil"]),
+    ("omnacortil", ["prednisolone", "wysolone"]),
+    ("dexona", ["dexamethasone", "decadron"]),
+    ("medrol", ["methylprednisolone"]),
+    ("defcort", ["deflazacort", "calcort"]),
+    ("allegra", ["fexofenadine"]),
+    ("cetrizine", ["cetirizine", "cetzine", "okacet"]),
+    ("cetzine", ["cetirizine", "okacet"]),
+    ("okacet", ["cetirizine", "cetzine"]),
+    ("montair", ["montelukast", "romilast"]),
+    ("romilast", ["montelukast", "montair"]),
+    ("avil", ["pheniramine"]),
+    ("atarax", ["hydroxyzine"]),
+    ("asthalin", ["salbutamol", "ventolin", "derihaler"]),
+    ("ventolin", ["salbutamol", "asthalin"]),
+    ("budecort", ["budesonide", "pulmicort"]),
+    ("pulmicort", ["budesonide", "budecort"]),
+    ("seroflo", ["salmeterol fluticasone", "aerocort"]),
+    ("foracort", ["formoterol budesonide"]),
+    ("duolin", ["ipratropium salbutamol", "combivent"]),
+    ("tiova", ["tiotropium", "spiriva"]),
+    ("spiriva", ["tiotropium", "tiova"]),
+    ("calmpose", ["diazepam", "valium"]),
+    ("valium", ["diazepam", "calmpose"]),
+    ("alzolam", ["alprazolam", "restyl", "alprax"]),
+    ("restyl", ["alprazolam", "alzolam"]),
+    ("alprax", ["alprazolam", "alzolam", "restyl"]),
+    ("nexito", ["escitalopram", "cipralex", "stalopam"]),
+    ("stalopam", ["escitalopram", "nexito"]),
+    ("frisium", ["clobazam"]),
+    ("valparin", ["valproate", "epilex"]),
+    ("eptoin", ["phenytoin", "dilantin"]),
+    ("tegrital", ["carbamazepine"]),
+    ("gabapin", ["gabapentin"]),
+    ("pregabalin", ["lyrica", "pregalin"]),
+    ("pregalin", ["pregabalin", "lyrica"]),
+    ("lyrica", ["pregabalin", "pregalin"]),
+    ("shelcal", ["calcium vitamin d3"]),
+    ("calcimax", ["calcium", "shelcal"]),
+    ("becosules", ["b complex", "beplex"]),
+    ("beplex", ["b complex", "becosules"]),
+    ("neurobion", ["vitamin b12 b6 b1", "methylcobalamin"]),
+    ("methylcobalamin", ["mecobalamin", "methycobal", "neurobion forte"]),
+    ("methycobal", ["methylcobalamin", "mecobalamin"]),
+    ("limcee", ["vitamin c", "ascorbic acid"]),
+    ("zincovit", ["multivitamin zinc"]),
+    ("revital", ["multivitamin"]),
+    ("supradyn", ["multivitamin"]),
+    ("iron sucrose", ["venofer", "orofer"]),
+    ("orofer", ["iron sucrose"]),
+    ("norflox tz", ["norfloxacin tinidazole", "nortini"]),
+    ("metrogyl", ["metronidazole", "flagyl"]),
+    ("flagyl", ["metronidazole", "metrogyl"]),
+    ("oflox", ["ofloxacin", "zanocin"]),
+    ("zanocin", ["ofloxacin", "oflox"]),
+    ("o2", ["ofloxacin ornidazole"]),
+    ("taxim o", ["cefixime ofloxacin"]),
+    ("zifi", ["cefixime"]),
+    ("sumo", ["nimesulide paracetamol"]),
+    ("zerodol", ["aceclofenac"]),
+    ("zerodol sp", ["aceclofenac serratiopeptidase paracetamol"]),
+    ("hifenac", ["aceclofenac"]),
+]
 
 # --- fixed values: prompt templates of chat models ---
 PROMPTS: dict[str, dict[str, str]] = {
