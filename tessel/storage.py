@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -82,3 +83,14 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     path = new_folder(spark, tag)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, older_than_s: float) -> int:
+    """Deletes tables that drivers which have died left in the shared folder, if older than that (longer than any job takes); returns how many."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = {path.rsplit("/", 1)[-1] for _, path in _made}
+    old = [f.getPath() for f in fs.listStatus(base) if f.getPath().getName().startswith("tessel-") and f.getPath().getName() not in own and f.getModificationTime() <= (time.time() - older_than_s) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
