@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import time
 import uuid
 import weakref
+from functools import cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _made.append((weakref.ref(spark), base))
+        base = _temporary()
     return base.rstrip("/")
 
 
+@cache
+def _temporary() -> str:
+    path = tempfile.mkdtemp(prefix="tessel-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 _made: list[tuple[weakref.ref, str]] = []
 
 
