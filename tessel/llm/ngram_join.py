@@ -21,11 +21,12 @@ Verification. The members of a key are first compared with its least member.
 Links found that way join most of a large group of near copies at the price of
 one comparison each; then only pairs of a key that are still in different
 components are compared, where their sizes, places and folded sketches (parities
-of tokens by hash) allow a link. Where a key still has many such members, they
-are dealt on by bands of their sketches: sets that link differ in few tokens, so that
-of one band more than that one is equal in both. Their pairs are found by sizes and places first, so that members of no
-two sizes that could link meet. Texts of the documents that take part are
-compared by whole sets.
+of tokens by hash) allow a link: its members are dealt to blocks, and pairs of
+blocks to tasks. Where a key still has very many, they are dealt on by bands of
+their sketches: sets that link differ in few tokens, so that of one band more
+than that one is equal in both. Their pairs are found by sizes and places
+first, so that members of no two sizes that cannot link meet. Texts of the
+documents that take part are compared by whole sets.
 
 Edge cases: a null or empty text, and one without words, has an empty set and
 is a component of its own; fewer words than `width` make one token; very long
@@ -57,8 +58,9 @@ FREQUENT = 16
 MOST_FREQUENT = 4_000_000
 #: Values that classes are counted by: a token's count goes no further.
 CLASSES = 1 << 12
-#: Members of a key, left in different components, that meet each other directly; more go through bands.
-HOT = 1000
+#: Members of a key, left in different components, that meet each other directly, and of these that one task has at once
+#: on either side. Keys with more go through bands, which cost some fifty rows a member.
+HOT, BLOCK = 20_000, 2_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -282,7 +284,7 @@ class Frequent:
 
 def n_groups(c: int, percent: int) -> int:
     """Groups of frequent tokens for sets of size class c."""
-    return max(1, (1 << c) * (100 - percent) // 640)
+    return max(1, (1 << c) * (100 - percent) // 160)
 
 
 def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -503,10 +505,14 @@ def _pair(x: str, y: str) -> list:
     return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")]
 
 
-def met(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of unlinked() classes of one key; for keys of few members."""
-    x, y = apart.alias("x"), apart.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
+def met(apart: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of unlinked() classes of one key; apart has m, a key's members, too. Members of a key are dealt to blocks, and pairs of blocks to tasks."""
+    rows = apart.withColumn("of", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("cls"), "of").cast("int"))
+    x = rows.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence("at", F.col("of") - 1))).alias("x")
+    y = rows.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), "at"))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.cls") < F.col("y.cls"))
+    return x.join(y, same & once & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
 
 def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -523,7 +529,7 @@ def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
     return left.join(y, same & (F.col("x.cls") != F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
 
-def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, h, n, cls of every document, and cls, doc, h (the class's least document), component of every class."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, so that linked sets share two tokens")
@@ -547,7 +553,7 @@ def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
     split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
     apart = written(apart.join(split, "key").join(with_folded(classes), "cls"), "apart")
-    rest, many = met(apart.filter(F.col("m") <= hot), percent), apart.filter(F.col("m") > hot)
+    rest, many = met(apart.filter(F.col("m") <= hot), percent, block), apart.filter(F.col("m") > hot)
     if many.limit(1).count():
         finer = written(banded(many, classes, percent), "bands")
         several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
@@ -563,9 +569,9 @@ def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     return signed.select("doc_id", "h", "n", "cls"), written(own, "placed")
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    signed, own = placed(docs, width, percent, frequent, hot, most_frequent)
+    signed, own = placed(docs, width, percent, frequent, hot, most_frequent, block)
     least = own.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = own.join(least, "component").select("cls", "component_id")
     return signed.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
