@@ -39,6 +39,8 @@ member go by hash; extra columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -529,8 +531,41 @@ def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
     return left.join(y, same & (F.col("x.cls") != F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
 
-def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, h, n, cls of every document, and cls, doc, h (the class's least document), component of every class."""
+@dataclass(frozen=True)
+class Join:
+    """What is known of the documents before any are compared: tables of documents, of classes and of the members of keys that several classes have."""
+
+    docs: DataFrame
+    signed: DataFrame  # doc_id, h (hash of the text), n (set size), cls (null: empty set), sketch
+    classes: DataFrame  # cls, doc, h (the class's least document), size, sketch
+    members: DataFrame  # key, cls, n, r, leader, leader_n, leader_r
+    width: int
+    percent: int
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return written(verified(pairs, self.docs, self.classes, self.width, self.percent), "links")
+
+    def stars(self) -> DataFrame:
+        """Pairs (a, b) of a key's members and its leader that may link."""
+        x, y = (F.col("n"), F.col("r")), (F.col("leader_n"), F.col("leader_r"))
+        pairs = self.members.filter((F.col("cls") != F.col("leader")) & may_link(x, y, self.percent))
+        pairs = pairs.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+        return written(likely(pairs, self.classes, self.percent), "pairs")
+
+    def rest(self, labels: DataFrame, hot: int, block: int) -> DataFrame:
+        """Distinct pairs (a, b) of different components (labels: node, component; others are their own) that share a key and may link."""
+        apart = self.members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
+        split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
+        apart = written(apart.join(split, "key").join(with_folded(self.classes), "cls"), "apart")
+        pairs, many = met(apart.filter(F.col("m") <= hot), self.percent, block), apart.filter(F.col("m") > hot)
+        if many.limit(1).count():
+            finer = written(banded(many, self.classes, self.percent), "bands")
+            several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+            pairs = pairs.union(met_by_kind(finer.join(several, "key"), self.percent))
+        return likely(pairs.distinct(), self.classes, self.percent)
+
+
+def prepared(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT) -> Join:
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, so that linked sets share two tokens")
     n_shards = shards(docs)
@@ -542,31 +577,39 @@ def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("l")  # null ids last
     classes = signed.filter("cls is not null").groupBy("cls").agg(first, F.max("n").alias("size"), F.max("sketch").alias("sketch"))
     classes = written(classes.select("cls", F.col("l.doc_id").alias("doc"), F.col("l.h").alias("h"), "size", "sketch"), "classes")
+    return Join(docs, signed, classes, members, width, percent)
 
-    stars = members.filter((F.col("cls") != F.col("leader")) & may_link((F.col("n"), F.col("r")), (F.col("leader_n"), F.col("leader_r")), percent))
-    stars = stars.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
-    stars = written(likely(stars, classes, percent), "pairs")
-    edges = written(verified(stars, docs, classes, width, percent), "links")
-    labels = components(edges)
 
-    # what the comparison with a key's leader left apart
-    apart = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
-    split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
-    apart = written(apart.join(split, "key").join(with_folded(classes), "cls"), "apart")
-    rest, many = met(apart.filter(F.col("m") <= hot), percent, block), apart.filter(F.col("m") > hot)
-    if many.limit(1).count():
-        finer = written(banded(many, classes, percent), "bands")
-        several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-        rest = rest.union(met_by_kind(finer.join(several, "key"), percent))
-    rest = rest.distinct()
-    rest = written(likely(rest, classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+def placed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, h, n, cls of every document, and cls, doc, h (the class's least document), component of every class."""
+    join = prepared(docs, width, percent, frequent, most_frequent)
+    stars = join.stars()
+    edges = join.verified(stars)
+    labels = components(edges)
+    rest = written(join.rest(labels, hot, block).join(stars, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        more = written(verified(rest, docs, classes, width, percent), "links")
+        more = join.verified(rest)
         if more.limit(1).count():
             labels = components(edges.union(more))
+    own = join.classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", "h", F.coalesce("component", "cls").alias("component"))
+    return join.signed.select("doc_id", "h", "n", "cls"), written(own, "placed")
+
 
-    own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", "h", F.coalesce("component", "cls").alias("component"))
-    return signed.select("doc_id", "h", "n", "cls"), written(own, "placed")
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all linked pairs (a, b) of classes of equal sets, a < b, and doc_id, n_shingles, cls, n_links of every document.
+
+    n_links: documents that link with it, those of its own class included, itself
+    not. Every pair that shares a key and may link is compared, so the cost
+    follows the number of links, which components do without.
+    """
+    join = prepared(docs, width, percent, frequent)
+    alone = join.classes.select(F.col("cls").alias("node"), F.col("cls").alias("component"))
+    pairs = join.verified(written(join.rest(alone, hot, block), "pairs"))
+    size = join.signed.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.union(pairs.select("b", "a")).join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("near"))
+    count = size.join(both, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    rows = join.signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(count, "cls", "left")
+    return pairs, rows.select("doc_id", "n_shingles", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT, most_frequent: int = MOST_FREQUENT, block: int = BLOCK) -> DataFrame:

@@ -442,6 +442,23 @@ def test_join_of_near_copies(spark, frequent, percent, hot, most):
     assert Counter(map(tuple, ngram_join.linked(df, 3, percent, frequent, hot, most, 3).collect())) == plain_components(rows, 3, percent)
 
 
+@pytest.mark.parametrize("width,percent,hot", [(3, 90, 20_000), (5, 80, 2)])
+def test_links_are_all_links(spark, docs, width, percent, hot):
+    """Pairs of classes and links of each document, against all pairs."""
+    rng = random.Random(hot)
+    near = [" ".join(f"{g}w{i}" if rng.random() > 0.01 else f"x{rng.randrange(9)}" for i in range(90)) for g in "abc" for _ in range(14)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(near)], "doc_id bigint, text string"))
+    rows = rows_of(df)
+    sets = [frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []) for w in (WORDS.findall(lower(t or "")) for _, t in rows)]
+    like = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y)
+    want = Counter((i, len(x), sum(like(x, y) for k, y in enumerate(sets) if k != n)) for n, ((i, _), x) in enumerate(zip(rows, sets)))
+    pairs, members = ngram_join.links(df, width, percent, 3, hot, 3)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in members.collect()) == want
+    distinct = list(set(sets))
+    got = pairs.collect()
+    assert len(got) == len(set(got)) == sum(like(x, y) for n, x in enumerate(distinct) for y in distinct[n + 1 :])
+
+
 def test_frequent_tokens_never_run_out(spark):
     """Where more tokens than may be broadcast reach the highest count, a share of them is frequent."""
     rng = np.random.default_rng(4)
