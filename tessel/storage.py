@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import time
 import uuid
-import weakref
 from functools import cache
 
 from pyspark import StorageLevel
@@ -35,7 +34,8 @@ def _temporary() -> str:
     return f"file://{path}"
 
 
-_made: list[tuple[weakref.ref, str]] = []
+#: Application and path of what has been written, whichever of its sessions wrote it.
+_made: list[tuple[str, str]] = []
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -47,37 +47,38 @@ def _delete(spark: SparkSession, path: str) -> None:
 def kept_on_disk(df: DataFrame) -> DataFrame:
     """df, persisted by the executors' disks until release(); what a lost executor had is computed again."""
     df = df.persist(StorageLevel.DISK_ONLY)
-    _persisted.append((weakref.ref(df.sparkSession), df))
+    _persisted.append((df.sparkSession.sparkContext.applicationId, df))
     return df
 
 
-_persisted: list[tuple[weakref.ref, DataFrame]] = []
+_persisted: list[tuple[str, DataFrame]] = []
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables written and lets go of the frames kept so far under this session; results that still read them must have been taken."""
+    """Deletes the tables written and lets go of the frames kept so far in this application; results that still read them must have been taken."""
+    own = spark.sparkContext.applicationId
     for i in range(len(_persisted) - 1, -1, -1):
-        if _persisted[i][0]() is spark:
+        if _persisted[i][0] == own:
             _persisted.pop(i)[1].unpersist()
     for i in range(len(_made) - 1, -1, -1):
-        if _made[i][0]() is spark:
+        if _made[i][0] == own:
             _delete(spark, _made.pop(i)[1])
 
 
 @atexit.register
 def _clean() -> None:
-    for spark in {ref() for ref, _ in _made} - {None}:
-        if spark.sparkContext._jsc is not None:  # a session that was stopped before leaves its folders
-            try:
-                release(spark)
-            except Exception:
-                return
+    spark = SparkSession._instantiatedSession
+    if spark is not None and spark.sparkContext._jsc is not None:  # a session that was stopped before leaves its folders to sweep()
+        try:
+            release(spark)
+        except Exception:
+            return
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
     """Path of a folder in the shared one that is removed by release(), or when the driver's process ends."""
     path = f"{shared_dir(spark)}/tessel-{tag}-{uuid.uuid4().hex}"
-    _made.append((weakref.ref(spark), path))
+    _made.append((spark.sparkContext.applicationId, path))
     return path
 
 
