@@ -761,10 +761,12 @@ def test_altered_words_at_either_end():
     s, rng = license_scan.Scanner(), random.Random(1)
     for name, template in license_scan.TEMPLATES.items():
         words = template.split()
-        if s.most[name] and name not in ("BSD-2-Clause", "GPL-2.0", "GPL-3.0"):  # whose only licensing word is the first, whose last names the licence
+        if s.most[name] and name not in ("GPL-2.0", "GPL-3.0"):  # whose last word names the licence
             for k in (0, -1):
                 own = list(words)
                 own[k] = "altered"
+                if not s.candidate.search(" ".join(own)):  # it was the only licensing word
+                    continue
                 sides = [[words[k] if x == 5 else f"w{rng.randrange(99)}" for x in range(rng.choice([7, 12, 70]))] for _ in range(2)]
                 found = [(x[0], x[3]) for x in s.scan(" ".join(sides[0] + own + sides[1]))]
                 assert found == [(name, 1)], (name, k, found)
