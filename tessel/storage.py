@@ -60,6 +60,9 @@ def release(spark: SparkSession) -> None:
     for i in range(len(_persisted) - 1, -1, -1):
         if _persisted[i][0] == own:
             _persisted.pop(i)[1].unpersist()
+    for i in range(len(_named) - 1, -1, -1):
+        if _named[i][0] == own:
+            spark.sql(f"drop table if exists {_named.pop(i)[1]}")
     for i in range(len(_made) - 1, -1, -1):
         if _made[i][0] == own:
             _delete(spark, _made.pop(i)[1])
@@ -93,6 +96,20 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, tag: str, key: str, n: int) -> DataFrame:
+    """The same in n buckets of a key, so that a group by this key needs no shuffle; a name in the session's catalog leads to it until release()."""
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    _named.append((spark.sparkContext.applicationId, name))
+    df.write.option("compression", "none").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
+#: Application and name of tables in its catalog.
+_named: list[tuple[str, str]] = []
+
+
 def sweep(spark: SparkSession, older_than_s: float) -> int:
     """Deletes tables that drivers which have died left in the shared folder, if older than that (longer than any job takes); returns how many."""
     base = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
