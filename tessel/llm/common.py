@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import kept_on_disk, new_folder, release, shared_dir, written  # noqa: F401  the operators take them from here
+from ..storage import kept_on_disk, new_folder, release, shared_dir, written, written_in_buckets  # noqa: F401  the operators take them from here
 
 #: The white space of the query contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -58,13 +58,13 @@ class WordHashes(dict):
         return np.frombuffer(b"".join([*map(self.__getitem__, words), *(m.to_bytes(8, "little") for m in more)]), "<u8")
 
 
-def dump(*arrays: np.ndarray) -> bytes:
+def dump(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as compressed byte planes."""
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
         raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
-        packed = zstandard.compress(raw, 1)
+        packed = zstandard.compress(raw, level)
         out += [struct.pack("<4sII", a.dtype.str.encode().ljust(4), len(a), len(packed)), packed]
     return b"".join(out)
 

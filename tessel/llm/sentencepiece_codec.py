@@ -28,7 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import dump, id_text, load, rare_collections, released, shards, written
+from .common import dump, id_text, load, rare_collections, released, shards, written_in_buckets
 
 MARK = "▁"
 #: Entries of a codec's own table of chunks, for texts that are encoded where they are.
@@ -107,6 +107,8 @@ class ChunkCodec:
 
 #: Chunks of a block, or one document if it has more.
 BLOCK = 1_000_000
+#: Of zstandard: these tables lie on disk twice.
+LEVEL = 5
 _ROWS = "block bigint, shard int, data binary"
 
 
@@ -137,14 +139,22 @@ def blocks_of(docs: DataFrame, n_shards: int, most: int = BLOCK) -> DataFrame:
 
         def out():
             block, lengths = task << 24 | number, np.array([len(c) for c in held], np.int32)
-            rows = [(block, -1, dump(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), lengths, np.concatenate(held)))]
+            # small numbers for frequent chunks, and like chunks beside each other: both take less room
+            flat = np.concatenate(held)
+            by_count = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")
+            place = np.empty(len(table), np.int32)
+            place[by_count] = np.arange(len(table))
             own = [c.encode("utf-8", "surrogatepass") for c in table]
-            sizes = np.array([len(c) for c in own], np.uint32)
-            shard = np.array([xxhash.xxh3_64_intdigest(c) % n_shards for c in own], np.int64)
-            order = np.argsort(shard, kind="stable")
-            starts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else []
-            for at in np.split(order, starts[1:]) if len(order) else []:
-                rows.append((block, int(shard[at[0]]), dump(at.astype(np.uint32), sizes[at], np.frombuffer(b"".join([own[i] for i in at]), np.uint8))))
+            table.clear()
+            order = np.array(sorted(range(len(own)), key=own.__getitem__), np.int64)
+            shard = np.fromiter((xxhash.xxh3_64_intdigest(c) % n_shards for c in own), np.int64, len(own))[order]
+            order, shard = order[by := np.argsort(shard, kind="stable")], shard[by]
+            # the order in which shards, one after the other, get the chunks and answer stays here
+            rows = [(block, -1, dump(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), lengths, place[flat], place[order], level=LEVEL))]
+            cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)] if len(shard) else []
+            for a, b in zip(cuts, cuts[1:]):
+                mine = [own[i] for i in order[a:b]]
+                rows.append((block, int(shard[a]), dump(np.array([len(c) for c in mine], np.uint32), np.frombuffer(b"".join(mine), np.uint8), level=LEVEL)))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "data"])
 
         total = 0
@@ -166,30 +176,33 @@ def blocks_of(docs: DataFrame, n_shards: int, most: int = BLOCK) -> DataFrame:
 
 def encode(docs: DataFrame, model_path: str, most: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids (bytes, little-endian unsigned 32-bit), one row per document."""
-    gathered = written(blocks_of(docs, shards(docs), most), "blocks")
+    n = shards(docs)
+    gathered = written_in_buckets(blocks_of(docs, n, most), "blocks", "block", n)
 
     def segment(key, told):
         rare_collections()
         codec = ChunkCodec.of(model_path)
         known, asked = _Numbers(), []
         for block, data in zip(told["block"], told["data"]):
-            at, sizes, flat = load(data)
-            asked.append((block, at, [known[c] for c in _slices(sizes, flat.tobytes())]))
+            sizes, flat = load(data)
+            asked.append((block, [known[c] for c in _slices(sizes, flat.tobytes())]))
         ids = codec.segmented([c.decode("utf-8", "surrogatepass") for c in known])
         rows = []
-        for block, at, own in asked:
+        for block, own in asked:
             mine = [ids[i] for i in own]
-            rows.append((block, key[0], dump(at, np.array([len(x) for x in mine], np.uint32), np.frombuffer(b"".join(mine), "<u4"))))
+            flat = np.frombuffer(b"".join(mine), "<u4")
+            rows.append((block, key[0], dump(np.array([len(x) // 4 for x in mine], np.uint32), flat.astype("<u2") if codec.sp.get_piece_size() <= 1 << 16 else flat, level=LEVEL)))
         return pd.DataFrame(rows, columns=["block", "shard", "data"])
 
     def join(key, payload, answers):
         rare_collections()
         codec = ChunkCodec.of(model_path)
-        doc_ids, missing, lengths, numbers = load(payload["data"].iloc[0])
-        table: dict[int, bytes] = {}
-        for data in answers["data"]:
-            at, sizes, ids = load(data)
-            table.update(zip(at.tolist(), _slices(sizes, ids.tobytes())))
+        doc_ids, missing, lengths, numbers, order = load(payload["data"].iloc[0])
+        said = []
+        for data in answers.sort_values("shard")["data"]:
+            sizes, ids = load(data)
+            said += _slices(4 * sizes, ids.astype("<u4").tobytes())
+        table = dict(zip(order.tolist(), said, strict=True))
         get = table.__getitem__
         ends = np.cumsum(lengths, dtype=np.int64)
         out = [codec.begin + b"".join(map(get, numbers[b - n : b].tolist())) + codec.end for b, n in zip(ends.tolist(), lengths.tolist())]
@@ -199,7 +212,7 @@ def encode(docs: DataFrame, model_path: str, most: int = BLOCK) -> DataFrame:
 
     answers = gathered.filter("shard >= 0").groupBy("shard").applyInPandas(segment, _ROWS)
     own = gathered.filter("shard = -1").select("block", "data")
-    return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInPandas(join, "doc_id bigint, n_tokens bigint, ids binary")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
