@@ -106,7 +106,7 @@ class ChunkCodec:
 
 
 #: Chunks of a block, or one document if it has more.
-BLOCK = 1_000_000
+BLOCK = 1_500_000
 #: Of zstandard: these tables lie on disk twice.
 LEVEL = 5
 _ROWS = "block bigint, shard int, data binary"
