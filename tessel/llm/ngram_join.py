@@ -21,8 +21,8 @@ Verification. The members of a key are first compared with its least member.
 Links found that way join most of a large group of near copies at the price of
 one comparison each; then only pairs of a key that are still in different
 components are compared, where their sizes, places and folded sketches (parities
-of tokens by hash) allow a link: its members are dealt to blocks, and pairs of
-blocks to tasks. Where a key still has very many, they are dealt on by bands of
+of tokens by hash) allow a link: those of small keys in sorted partitions; members
+of larger ones are dealt to blocks, and pairs of blocks to tasks. Where a key still has very many, they are dealt on by bands of
 their sketches: sets that link differ in few tokens, so that of one band more
 than that one is equal in both. Their pairs are found by sizes and places
 first, so that members of no two sizes that cannot link meet. Texts of the
@@ -40,12 +40,13 @@ member go by hash; extra columns, whatever their names, are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, distinct_sorted, id_text, lower_ascii, rare_collections, released, shards, words_of, written
@@ -353,22 +354,28 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return rows.join(lead.select("key", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.r").alias("leader_r")), "key")
 
 
+def whole_keys(batches):
+    """The columns of sorted batches, cut where a key of the first column ends."""
+    held = None  # the run of equal keys that may go on in the next batch
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        cut = np.searchsorted(columns[0], columns[0][-1], "left")
+        held = [c[cut:] for c in columns]
+        yield [c[:cut] for c in columns]
+    if held is not None:
+        yield held
+
+
 def shared_keys_sorted(rows: DataFrame, n_parts: int) -> DataFrame:
     """The same of keys with few rows each, in one pass over sorted partitions."""
 
     def run(batches):
-        held = None  # the run of equal keys that may go on in the next batch
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            cut = np.searchsorted(columns[0], columns[0][-1], "left")
-            held = [c[cut:] for c in columns]
-            yield runs(*[c[:cut] for c in columns])
-        if held is not None:
-            yield runs(*held)
+        for columns in whole_keys(batches):
+            yield runs(*columns)
 
     def runs(key, r, cls, n):
         new = np.ones(len(key), bool)
@@ -455,8 +462,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int =
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-#: Columns of a sketch folded to 64 bits each, by which a join tells most unlike sets apart.
-FOLDED = ["s0", "s1", "s2", "s3"]
+#: Columns of a sketch folded to 64 bits each, by which most unlike sets are told apart where they meet: 1,024 bits, as fewer
+#: are full of unlike tokens, and tell nothing, from sets of some hundred on. Rows of bands carry FEWER of them, folded once more.
+FOLDED, FEWER = [f"s{i}" for i in range(16)], [f"s{i}" for i in range(4)]
 
 
 def with_folded(classes: DataFrame) -> DataFrame:
@@ -473,8 +481,9 @@ def with_folded(classes: DataFrame) -> DataFrame:
 
 def banded(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """apart with each key made finer by the bands of its members' sketches; pairs that link stay together under one key at least."""
-    names = ["key", "cls", "n", "r", "component", *FOLDED]
-    rows = apart.join(classes.select("cls", "sketch"), "cls").select(*names, "sketch")
+    names = ["key", "cls", "n", "r", "component", *FEWER]
+    few = [reduce(Column.bitwiseXOR, map(F.col, FOLDED[i :: len(FEWER)])).alias(c) for i, c in enumerate(FEWER)]
+    rows = apart.join(classes.select("cls", "sketch"), "cls").select(*names[:5], *few, "sketch")
 
     def run(batches):
         known: dict[int, list[int]] = {}
@@ -492,13 +501,13 @@ def banded(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
                 rest = part.select(names[1:]).take(pa.array(at, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], names)
 
-    return rows.mapInArrow(run, "key bigint, cls bigint, n int, r int, component bigint, " + ", ".join(f"{c} bigint" for c in FOLDED))
+    return rows.mapInArrow(run, "key bigint, cls bigint, n int, r int, component bigint, " + ", ".join(f"{c} bigint" for c in FEWER))
 
 
-def unlinked(x: str, y: str, percent: int):
+def unlinked(x: str, y: str, percent: int, sketch: list[str] = FOLDED):
     """Whether rows x and y of one key are in different components and may link by sizes, places and folded sketches."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    differ = sum((F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in FOLDED), F.lit(0))
+    differ = sum((F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in sketch), F.lit(0))
     alike = differ * (100 + percent) <= (c(x, "n") + c(y, "n")) * (100 - percent)
     return (c(x, "component") != c(y, "component")) & may_link((c(x, "n"), c(x, "r")), (c(y, "n"), c(y, "r")), percent) & alike
 
@@ -517,6 +526,37 @@ def met(apart: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFra
     return x.join(y, same & once & unlinked("x", "y", percent)).select(*_pair("x", "y"))
 
 
+def met_sorted(apart: DataFrame, n_parts: int, percent: int = PERCENT) -> DataFrame:
+    """The same for keys of few members each, in one pass over sorted partitions; a batch tells each pair once."""
+
+    def run(batches):
+        for columns in whole_keys(batches):
+            yield pairs(*columns)
+
+    def pairs(key, cls, n, r, component, *sketch):
+        bits = np.ascontiguousarray(np.stack(sketch, 1)).view(np.uint64)
+        n, most = n.astype(np.int64), (n - r).astype(np.int64)
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) if len(key) else np.empty(0, np.int64)
+        behind = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(key))  # members of the key after this one
+        x, step, found = np.flatnonzero(behind), 1, [np.empty((2, 0), np.int64)]
+        while len(x):
+            i = x[component[x] != component[x + step]]
+            j = i + step
+            shared = np.minimum(most[i], most[j])
+            may = shared * 100 >= (n[i] + n[j] - shared) * percent
+            i, j = i[may], j[may]
+            alike = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            a, b = cls[i[alike]], cls[j[alike]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            step += 1
+            x = x[behind[x] >= step]
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = apart.select("key", "cls", "n", "r", "component", *FOLDED).repartition(n_parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The same for keys of many members: sizes and places meet first, each once for a key, and only where two of them allow a link their members."""
     kinds = apart.groupBy("key", "n", "r").agg(F.min("component").alias("least"), F.max("component").alias("most"))
@@ -528,7 +568,7 @@ def met_by_kind(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = kinds.join(apart, ["key", "n", "r"]).alias("x")
     y = apart.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.r2") == F.col("y.r"))
-    return left.join(y, same & (F.col("x.cls") != F.col("y.cls")) & unlinked("x", "y", percent)).select(*_pair("x", "y"))
+    return left.join(y, same & (F.col("x.cls") != F.col("y.cls")) & unlinked("x", "y", percent, FEWER)).select(*_pair("x", "y"))
 
 
 @dataclass(frozen=True)
@@ -557,7 +597,10 @@ class Join:
         apart = self.members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("component", "cls").alias("component"))
         split = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", "m")
         apart = written(apart.join(split, "key").join(with_folded(self.classes), "cls"), "apart")
-        pairs, many = met(apart.filter(F.col("m") <= hot), self.percent, block), apart.filter(F.col("m") > hot)
+        pairs = met_sorted(apart.filter(F.col("m") <= min(block, hot)), shards(self.docs), self.percent)
+        dealt, many = apart.filter((F.col("m") > block) & (F.col("m") <= hot)), apart.filter(F.col("m") > hot)
+        if dealt.limit(1).count():
+            pairs = pairs.union(met(dealt, self.percent, block))
         if many.limit(1).count():
             finer = written(banded(many, self.classes, self.percent), "bands")
             several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")

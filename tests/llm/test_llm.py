@@ -511,6 +511,20 @@ def test_sketch_never_loses_a_link():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sets_of_some_hundred_that_half_agree_are_told_apart_where_they_meet(spark):
+    """The members of a key make rows for the pairs that may link, not for all: their sketches have room for what is unlike."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 1 << 62, 300, dtype=np.uint64)]) for _ in range(60)]
+    sets += [np.unique(np.r_[sets[0][k:], rng.integers(0, 1 << 62, k, dtype=np.uint64)]) for k in (5, 20, 50)]
+    classes = spark.createDataFrame([(i, len(s), bytearray(ngram_join.sketch_of(s, 80))) for i, s in enumerate(sets)], "cls bigint, size int, sketch binary")
+    rows = classes.crossJoin(spark.range(2).selectExpr("id as key")).selectExpr("key", "cls", "size as n", "0 as r", "cls as component", f"{len(sets)} as m")
+    apart = rows.join(ngram_join.with_folded(classes), "cls")
+    want = {(0, 60), (0, 61), (0, 62), (60, 61), (60, 62), (61, 62)}
+    assert Counter(map(tuple, ngram_join.met(apart, 80, 7).collect())) == {p: 2 for p in want}
+    assert set(map(tuple, ngram_join.met_sorted(apart, 2, 80).collect())) == want
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_texts_of_many_or_few_documents(spark, monkeypatch, most):
     monkeypatch.setattr(ngram_join, "MOST_WANTED", most)
